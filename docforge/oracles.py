@@ -8,7 +8,9 @@ code, written independently in DuckDB's dialect.
 from __future__ import annotations
 
 from .functions.minhash import sql_band_keys, sql_signature_cte, sql_token_set_digest
+from .functions.html import sql_main_text
 from .functions.samples import sql_instruction
+from .functions.url import sql_hrefs, sql_netloc, sql_url_join
 from .functions.text import sql_grade, sql_str, sql_tokens
 from .operators.chunk import sql_chunk_list
 from .operators.gates import sql_gate_reason
@@ -153,6 +155,27 @@ def jaccard_estimate(p: HarvestParams = DOC_P) -> str:
     """
 
 
+def url_netloc() -> str:
+    return f"SELECT page_id, url, {sql_netloc('url')} AS netloc FROM pages"
+
+
+def main_text() -> str:
+    return f"SELECT page_id, {sql_main_text('html')} AS text FROM pages"
+
+
+def link_discovery() -> str:
+    raw = f"""(SELECT page_id, url AS _base, unnest(range(len(h)))::BIGINT AS link_pos,
+                      unnest(h) AS _href
+               FROM (SELECT page_id, url, {sql_hrefs('html')} AS h FROM pages))"""
+    return f"""
+    WITH j AS {sql_url_join(raw, '_base', '_href', 'link')},
+    hosts AS (SELECT DISTINCT {sql_netloc('url')} AS domain FROM pages)
+    SELECT page_id, link_pos, link FROM j
+    WHERE {sql_netloc('link')} IN (SELECT domain FROM hosts)
+      AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = j.link)
+    """
+
+
 __all__ = [
     "chunk_fold", "instruction_samples", "greedy_dedup", "gate_report",
     "minhash_signature", "lsh_candidates", "jaccard_estimate", "sql_grade", "sql_str",

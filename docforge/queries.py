@@ -12,12 +12,15 @@ from .functions.text import ws_tokens
 from .operators import dedup
 from .operators.chunk import chunk
 from .plans.documents import DOC_PARAMS, document_gate_reasons, document_samples
-from .session import ensure_checkpoint_dir, read_table
+from .session import ensure_checkpoint_dir, read_table, spread
+from .functions.html import main_text
+from .functions.url import netloc
+from .operators.links import discover_links
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def q_chunk_fold(spark, sf_dir):
@@ -73,6 +76,26 @@ def q_jaccard_estimate(spark, sf_dir):
                     jaccard(F.col("a.sig"), F.col("b.sig")).alias("jaccard_est")))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return spread(read_table(spark, sf_dir, "pages"))
+
+
+def q_url_netloc(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", "url", netloc(F.col("url")).alias("netloc"))
+
+
+def q_main_text(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", main_text(F.col("html")).alias("text"))
+
+
+def q_link_discovery(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    hosts = pages.select(netloc(F.col("url")).alias("domain"))
+    return discover_links(pages.select("page_id", "url", "html"), ["page_id"], hosts,
+                          visited=pages.select("url"))
+
+
 QUERIES = {
     "harvest_documents": q_harvest_documents,
     "chunk_fold": q_chunk_fold,
@@ -84,6 +107,12 @@ QUERIES = {
     "jaccard_estimate": q_jaccard_estimate,
 }
 
+QUERIES.update({
+    "url_netloc": q_url_netloc,
+    "main_text": q_main_text,
+    "link_discovery": q_link_discovery,
+})
+
 ORACLES = {
     "chunk_fold": oracles.chunk_fold(),
     "instruction_samples": oracles.instruction_samples(),
@@ -92,4 +121,7 @@ ORACLES = {
     "lsh_candidates": oracles.lsh_candidates(),
     "greedy_dedup": oracles.greedy_dedup(),
     "jaccard_estimate": oracles.jaccard_estimate(),
+    "url_netloc": oracles.url_netloc(),
+    "main_text": oracles.main_text(),
+    "link_discovery": oracles.link_discovery(),
 }

@@ -77,3 +77,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy per-row stages get at least one task per core.
+
+    A scan of many row groups is already parallel and is left alone (no
+    shuffle).  A scan with fewer splits than cores (e.g. a single row group)
+    is spread round-robin once, before the expensive per-row work."""
+    sc = df.sparkSession.sparkContext
+    want = min_tasks or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
