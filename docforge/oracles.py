@@ -180,3 +180,134 @@ __all__ = [
     "chunk_fold", "instruction_samples", "greedy_dedup", "gate_report",
     "minhash_signature", "lsh_candidates", "jaccard_estimate", "sql_grade", "sql_str",
 ]
+
+
+# --- harvest samples and what is derived from them -------------------------
+
+def _harvest_ctes(p: HarvestParams = DOC_P) -> str:
+    """CTEs ending in ``samples(sample_id, doc_id, chunk_no, source,
+    instruction, input, output)``."""
+    return f"""
+    reasons AS (
+        SELECT doc_id, source, text, {sql_gate_reason('text', p)} AS r FROM documents),
+    {_dedup_ctes("SELECT doc_id AS id, text FROM reasons WHERE r = 'pass'", p)},
+    kept AS (
+        SELECT r0.doc_id, r0.source, r0.text FROM reasons r0
+        JOIN verdict v ON v.id = r0.doc_id AND v.keep),
+    ch AS (
+        SELECT doc_id, source, unnest(range(len(c)))::BIGINT AS chunk_no, unnest(c) AS chunk
+        FROM (SELECT doc_id, source, {sql_chunk_list('text', p)} AS c FROM kept)),
+    samples AS (
+        SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(chunk_no AS VARCHAR) AS sample_id,
+               doc_id, chunk_no, source,
+               {sql_instruction('doc_id', 'chunk_no', 'source', p.templates, p.seed)} AS instruction,
+               'Source: ' || source AS input,
+               chunk AS output
+        FROM ch)
+    """
+
+
+def harvest_documents(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_harvest_ctes(p)}
+    SELECT doc_id, chunk_no, instruction, input, output FROM samples"""
+
+
+def _split_ctes(p: HarvestParams = DOC_P, seed: int = 42) -> str:
+    return f"""{_harvest_ctes(p)},
+    hashed AS (
+        SELECT *, md5('{seed}' || '#' || sample_id) AS split_hash FROM samples),
+    ranked AS (
+        SELECT *, row_number() OVER (ORDER BY split_hash, sample_id) AS r,
+               count(*) OVER () AS n FROM hashed),
+    split AS (
+        SELECT *, CASE WHEN r <= (n + 9) // 10 THEN 'test' ELSE 'train' END AS split
+        FROM ranked)
+    """
+
+
+def train_test_split(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_split_ctes(p)}
+    SELECT sample_id, split_hash, split FROM split"""
+
+
+def render_samples(p: HarvestParams = DOC_P) -> str:
+    from .functions.chat import sql_render_sample
+    return f"""WITH {_harvest_ctes(p)}
+    SELECT sample_id, {sql_render_sample('instruction', 'input', 'output')} AS text FROM samples"""
+
+
+def pack_blocks(p: HarvestParams = DOC_P, block: int = 2048) -> str:
+    from .functions.chat import sql_render_sample
+    text = sql_render_sample('instruction', 'input', 'output')
+    return f"""WITH {_split_ctes(p)},
+    tr AS (
+        SELECT sample_id, split_hash, len({sql_tokens(text)})::BIGINT + 1 AS len
+        FROM split WHERE split = 'train'),
+    c AS (
+        SELECT sample_id, len,
+               (sum(len) OVER (ORDER BY split_hash, sample_id ROWS UNBOUNDED PRECEDING))::BIGINT AS e
+        FROM tr),
+    seg AS (
+        SELECT sample_id, len, e, e - len AS s,
+               unnest(range((e - len) // {block}, (e - 1) // {block} + 1)) AS block_id
+        FROM c)
+    SELECT block_id::BIGINT AS block_id, sample_id,
+           (greatest(s, block_id * {block}) - s)::BIGINT AS from_tok,
+           (least(e, (block_id + 1) * {block}) - s)::BIGINT AS to_tok
+    FROM seg
+    WHERE block_id < (SELECT coalesce(max(e), 0) FROM c) // {block}
+    """
+
+
+def sample_counts(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_harvest_ctes(p)}
+    SELECT source, count(*) AS n_samples FROM samples GROUP BY source"""
+
+
+def jsonl_round_trip(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_harvest_ctes(p)}
+    SELECT instruction, input, output FROM samples"""
+
+
+def sample_contract(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_harvest_ctes(p)}
+    SELECT sample_id, 3::BIGINT AS n_keys, true AS keys_ok,
+           starts_with(input, 'Source: ') AS input_ok,
+           true AS instruction_ok, true AS round_trip_ok
+    FROM samples"""
+
+
+def render_conversations() -> str:
+    from .functions.chat import sql_message
+    from .functions.text import sql_strip
+    from .params import BEGIN_OF_TEXT, SERVING_SYSTEM_PROMPT
+    return f"""
+    WITH turns AS (
+        SELECT conv_id, turn, {sql_message('role', 'text')} AS blk FROM conversations
+        WHERE role <> 'system' AND (role <> 'assistant' OR coalesce({sql_strip('text')} <> '', false))),
+    body AS (
+        SELECT conv_id, string_agg(blk, '' ORDER BY turn) AS body, count(*) AS n
+        FROM turns GROUP BY conv_id),
+    sys AS (
+        SELECT conv_id, arg_min(text, turn) AS s FROM conversations
+        WHERE role = 'system' AND text <> '' GROUP BY conv_id),
+    convs AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT c.conv_id, (coalesce(b.n, 0) + 1)::BIGINT AS n_messages,
+           {sql_str(BEGIN_OF_TEXT)} ||
+           {sql_message("'system'", f"coalesce(nullif(s.s, ''), {sql_str(SERVING_SYSTEM_PROMPT)})")}
+           || coalesce(b.body, '') AS prompt
+    FROM convs c LEFT JOIN body b USING (conv_id) LEFT JOIN sys s USING (conv_id)
+    """
+
+
+def prompt_table() -> str:
+    from .functions.chat import sql_generation_prompt, sql_message
+    from .functions.text import sql_strip
+    from .params import BEGIN_OF_TEXT, SERVING_SYSTEM_PROMPT
+    return f"""
+    SELECT conv_id, turn,
+           {sql_str(BEGIN_OF_TEXT)} || {sql_message("'system'", sql_str(SERVING_SYSTEM_PROMPT))}
+           || {sql_message("'user'", 'text')} || {sql_generation_prompt()} AS prompt
+    FROM conversations
+    WHERE role = 'user' AND coalesce({sql_strip('text')} <> '', false)
+    """

@@ -107,6 +107,86 @@ QUERIES = {
     "jaccard_estimate": q_jaccard_estimate,
 }
 
+def _harvest_samples(spark, sf_dir):
+    """Harvest samples with a sample_id key (doc_id:chunk_no)."""
+    s = document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=True)
+    return s.withColumn("sample_id", F.concat_ws(":", "doc_id", "chunk_no")).withColumn(
+        "source", F.substring(F.col("input"), 9, 1 << 20))
+
+
+def _split(spark, sf_dir):
+    from .operators.train_prep import train_test_split
+    return train_test_split(_harvest_samples(spark, sf_dir), "sample_id")
+
+
+def q_train_test_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("sample_id", "split_hash", "split")
+
+
+def q_render_samples(spark, sf_dir):
+    from .functions.chat import render_sample
+    s = _harvest_samples(spark, sf_dir)
+    return s.select("sample_id", render_sample(F.col("instruction"), F.col("input"),
+                                               F.col("output")).alias("text"))
+
+
+def q_pack_blocks(spark, sf_dir):
+    from .functions.chat import render_sample
+    from .operators.train_prep import pack_blocks, whitespace_token_count
+    tr = _split(spark, sf_dir).where(F.col("split") == "train")
+    tr = tr.select("sample_id", "split_hash", whitespace_token_count(render_sample(
+        F.col("instruction"), F.col("input"), F.col("output"))).alias("n_tok"))
+    return pack_blocks(tr, "sample_id", ["split_hash", "sample_id"], "n_tok")
+
+
+def q_sample_counts(spark, sf_dir):
+    s = _harvest_samples(spark, sf_dir)
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+def q_jsonl_round_trip(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.samples_io import read_samples, write_samples
+    path = scratch_path(spark, "samples-jsonl")
+    write_samples(_harvest_samples(spark, sf_dir), path, mode="overwrite")
+    return read_samples(spark, path).select("instruction", "input", "output")
+
+
+def q_sample_contract(spark, sf_dir):
+    from .operators.contract import contract_checks
+    from .sources.samples_io import to_json_line
+    lines = to_json_line(_harvest_samples(spark, sf_dir))
+    return contract_checks(lines).select("sample_id", "n_keys", "keys_ok", "input_ok",
+                                         "instruction_ok", "round_trip_ok")
+
+
+def _conversations(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return read_table(spark, sf_dir, "conversations")
+
+
+def q_render_conversations(spark, sf_dir):
+    from .operators.chat import assemble_conversations
+    return assemble_conversations(_conversations(spark, sf_dir))
+
+
+def q_prompt_table(spark, sf_dir):
+    from .operators.chat import prompt_table
+    users = _conversations(spark, sf_dir).where(F.col("role") == "user")
+    return prompt_table(users, ["conv_id", "turn"], "text")
+
+
+QUERIES.update({
+    "train_test_split": q_train_test_split,
+    "render_samples": q_render_samples,
+    "pack_blocks": q_pack_blocks,
+    "sample_counts": q_sample_counts,
+    "jsonl_round_trip": q_jsonl_round_trip,
+    "sample_contract": q_sample_contract,
+    "render_conversations": q_render_conversations,
+    "prompt_table": q_prompt_table,
+})
+
 QUERIES.update({
     "url_netloc": q_url_netloc,
     "main_text": q_main_text,
@@ -124,4 +204,13 @@ ORACLES = {
     "url_netloc": oracles.url_netloc(),
     "main_text": oracles.main_text(),
     "link_discovery": oracles.link_discovery(),
+    "harvest_documents": oracles.harvest_documents(),
+    "train_test_split": oracles.train_test_split(),
+    "render_samples": oracles.render_samples(),
+    "pack_blocks": oracles.pack_blocks(),
+    "sample_counts": oracles.sample_counts(),
+    "jsonl_round_trip": oracles.jsonl_round_trip(),
+    "sample_contract": oracles.sample_contract(),
+    "render_conversations": oracles.render_conversations(),
+    "prompt_table": oracles.prompt_table(),
 }
