@@ -108,11 +108,14 @@ def greedy_rounds(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
                  p: HarvestParams = HarvestParams(),
-                 prior_buckets: DataFrame | None = None) -> DataFrame:
+                 prior_buckets: DataFrame | None = None,
+                 with_buckets: bool = False):
     """DataFrame (id_col, keep) covering every input row.
 
     ``prior_buckets`` (band, bkey) are buckets of documents kept earlier
     (previous crawl levels / micro-batches): any hit is a duplicate.
+    With ``with_buckets`` also returns the (band, bkey) buckets of the
+    documents kept here (to be added to the prior buckets of later calls).
     """
     sigs = cut_lineage(first_copies(doc_signatures(docs, id_col, order_col, text_col, p)))
     members = explode_bands(sigs.where("_first"))
@@ -122,9 +125,15 @@ def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
             ["_band", "_bkey"], "left_semi").select("_id").distinct()
         members = members.join(hit, "_id", "left_anti")
     verdict = greedy_rounds(members)
-    return sigs.select("_id").join(verdict, "_id", "left").select(
+    out = sigs.select("_id").join(verdict, "_id", "left").select(
         F.col("_id").alias(id_col),
         F.coalesce(F.col("_keep"), F.lit(False)).alias("keep"))
+    if not with_buckets:
+        return out
+    kept = explode_bands(sigs.join(verdict.where("_keep").select("_id"), "_id", "left_semi"))
+    buckets = kept.select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey"),
+                          F.col("_id").alias(id_col))
+    return out, buckets
 
 
 def kept_buckets(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str,

@@ -311,3 +311,34 @@ def prompt_table() -> str:
     FROM conversations
     WHERE role = 'user' AND coalesce({sql_strip('text')} <> '', false)
     """
+
+
+def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
+    """O2 over the page queue in page_id order (first row per URL)."""
+    return f"""
+    WITH pg AS (
+        SELECT page_id, url, html FROM (
+            SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages) WHERE page_id = m),
+    tx AS (
+        SELECT page_id, url, html, {sql_main_text('html')} AS text FROM pg),
+    reasons AS (
+        SELECT page_id, text,
+               CASE WHEN html IS NULL OR html = '' THEN 'fetch_failed'
+                    ELSE {sql_gate_reason('text', p)} END AS r
+        FROM tx),
+    {_dedup_ctes("SELECT page_id AS id, text FROM reasons WHERE r = 'pass'", p)},
+    fin AS (
+        SELECT r0.page_id,
+               CASE WHEN r0.r <> 'pass' THEN r0.r WHEN v.keep THEN 'kept' ELSE 'duplicate' END
+                   AS gate_reason,
+               r0.text
+        FROM reasons r0 LEFT JOIN verdict v ON v.id = r0.page_id),
+    cnt AS (
+        SELECT page_id, gate_reason,
+               CASE WHEN gate_reason = 'kept' THEN len({sql_chunk_list('text', p)})
+                    ELSE 0 END::BIGINT AS n_samples
+        FROM fin),
+    cum AS (
+        SELECT *, sum(n_samples) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS c FROM cnt)
+    SELECT page_id, gate_reason, n_samples FROM cum WHERE c - n_samples < {budget}
+    """

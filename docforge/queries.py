@@ -176,7 +176,33 @@ def q_prompt_table(spark, sf_dir):
     return prompt_table(users, ["conv_id", "turn"], "text")
 
 
+def _page_crawl(spark, sf_dir, max_depth):
+    from .params import HarvestParams
+    from .plans.crawl import crawl
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("pos"), "url")
+    hosts = pages.select(netloc(F.col("url")).alias("domain"))
+    return crawl(seeds, hosts, pages, HarvestParams(max_depth=max_depth))
+
+
+def q_crawl_closure(spark, sf_dir):
+    res = _page_crawl(spark, sf_dir, HarvestParams_default_depth())
+    return res.log.select("url", "depth", "page_id", "gate_reason", "n_samples")
+
+
+def HarvestParams_default_depth():
+    from .params import HarvestParams
+    return HarvestParams().max_depth
+
+
+def q_sample_budget(spark, sf_dir):
+    res = _page_crawl(spark, sf_dir, 0)
+    return res.log.select("page_id", "gate_reason", "n_samples")
+
+
 QUERIES.update({
+    "crawl_closure": q_crawl_closure,
+    "sample_budget": q_sample_budget,
     "train_test_split": q_train_test_split,
     "render_samples": q_render_samples,
     "pack_blocks": q_pack_blocks,
@@ -213,4 +239,5 @@ ORACLES = {
     "sample_contract": oracles.sample_contract(),
     "render_conversations": oracles.render_conversations(),
     "prompt_table": oracles.prompt_table(),
+    "sample_budget": oracles.sample_budget(),
 }
