@@ -106,18 +106,13 @@ def greedy_rounds(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return state.select("_id", (F.col("_st") == "K").alias("_keep"))
 
 
-def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
-                 p: HarvestParams = HarvestParams(),
-                 prior_buckets: DataFrame | None = None,
-                 with_buckets: bool = False):
-    """DataFrame (id_col, keep) covering every input row.
+def greedy_dedup_sigs(sigs: DataFrame, prior_buckets: DataFrame | None = None,
+                      with_buckets: bool = False):
+    """D1 on narrow signature rows (_id, _ord, _dig, _bkeys).
 
-    ``prior_buckets`` (band, bkey) are buckets of documents kept earlier
-    (previous crawl levels / micro-batches): any hit is a duplicate.
-    With ``with_buckets`` also returns the (band, bkey) buckets of the
-    documents kept here (to be added to the prior buckets of later calls).
-    """
-    sigs = cut_lineage(first_copies(doc_signatures(docs, id_col, order_col, text_col, p)))
+    Returns (_id, keep) for every row, and with ``with_buckets`` also the
+    (band, bkey, _id) buckets of the documents kept here."""
+    sigs = cut_lineage(first_copies(sigs))
     members = explode_bands(sigs.where("_first"))
     if prior_buckets is not None:
         hit = members.join(
@@ -126,16 +121,33 @@ def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
         members = members.join(hit, "_id", "left_anti")
     verdict = greedy_rounds(members)
     out = sigs.select("_id").join(verdict, "_id", "left").select(
-        F.col("_id").alias(id_col),
-        F.coalesce(F.col("_keep"), F.lit(False)).alias("keep"))
+        "_id", F.coalesce(F.col("_keep"), F.lit(False)).alias("keep"))
     if not with_buckets:
         return out
     kept = explode_bands(sigs.join(verdict.where("_keep").select("_id"), "_id", "left_semi"))
-    buckets = kept.select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey"),
-                          F.col("_id").alias(id_col))
+    buckets = kept.select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey"), "_id")
     return out, buckets
 
 
+def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
+                 p: HarvestParams = HarvestParams(),
+                 prior_buckets: DataFrame | None = None,
+                 with_buckets: bool = False):
+    """D1 over a text table: DataFrame (id_col, keep) covering every input row.
+
+    ``prior_buckets`` (band, bkey) are buckets of documents kept earlier
+    (previous crawl levels / micro-batches): any hit is a duplicate.
+    With ``with_buckets`` also returns the (band, bkey, id_col) buckets of
+    the documents kept here (to extend the prior buckets of later calls).
+    """
+    res = greedy_dedup_sigs(doc_signatures(docs, id_col, order_col, text_col, p),
+                            prior_buckets, with_buckets)
+    if not with_buckets:
+        return res.withColumnRenamed("_id", id_col)
+    out, buckets = res
+    return out.withColumnRenamed("_id", id_col), buckets.withColumnRenamed("_id", id_col)
+
+
 def kept_buckets(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str,
                  p: HarvestParams = HarvestParams()) -> DataFrame:
     """(band, bkey) of kept documents, to seed later dedup calls."""

@@ -23,6 +23,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def semi_join_checked(big: DataFrame, ids: DataFrame, key: str,
+                      max_rows: int = 5 * BROADCAST_MAX_ROWS) -> DataFrame:
+    """``big`` rows whose ``key`` is in ``ids``: broadcast semi join when the
+    id table is checked to be small (no shuffle of ``big``), else a shuffle
+    join on the key."""
+    n = ids.limit(max_rows + 1).count()
+    side = F.broadcast(ids) if n <= max_rows else ids
+    return big.join(side, key, "left_semi")
+
+
 def domain_allowed(df: DataFrame, url_col: str, domains: DataFrame,
                    checked_small: bool = True) -> DataFrame:
     """Keep rows whose URL netloc is in ``domains(domain)`` (exact,

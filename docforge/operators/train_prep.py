@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
 from ..params import MAX_SEQ_LENGTH, SPLIT_SEED, TEST_SIZE
+from ..session import cut_lineage
 from .ordering import global_rank, running_sum
 
 
@@ -38,7 +39,7 @@ def test_count(n: int, share: float = TEST_SIZE) -> int:
 def train_test_split(df: DataFrame, key_col: str, share: float = TEST_SIZE,
                      seed: int = SPLIT_SEED) -> DataFrame:
     """O3: adds ``split`` ('train' / 'test') and ``split_hash``."""
-    h = df.withColumn("split_hash", split_hash(F.col(key_col), seed))
+    h = cut_lineage(df.withColumn("split_hash", split_hash(F.col(key_col), seed)))
     n = h.count()
     k = test_count(n, share)
     ranked = global_rank(h, ["split_hash", key_col], "_r")

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.samples import instruction, source_tag
 from ..operators.chunk import chunk
 from ..operators.gates import apply_gates, gate_reason
+from ..functions.minhash import band_keys, signature, token_set_digest
+from ..operators.dedup import greedy_dedup_sigs
+from ..operators.links import semi_join_checked
 from ..params import HarvestParams
+from ..session import cut_lineage
 
 DOC_PARAMS = HarvestParams(sep="\n")
 
@@ -31,34 +35,49 @@ def samples_from_chunks(chunks: DataFrame, key: str, topic: str, source: str,
     )
 
 
+def document_reasons(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
+                     dedup: bool = True) -> DataFrame:
+    """P1 for every document, narrow: (doc_id, source, gate_reason) with
+    gate_reason in no_text / short / low_grade / duplicate / kept.
+
+    One map-side pass over the text computes the gate reason and, for
+    passing documents only, the token-set digest and LSH band keys; that
+    narrow table is checkpointed and everything after it (exact-copy
+    collapse, dedup rounds) runs on small rows only."""
+    base = docs.select("doc_id", "source", "text").withColumn(
+        "_reason", gate_reason(F.col("text"), p))
+    if not dedup:
+        return base.select("doc_id", "source", F.when(
+            F.col("_reason") == "pass", F.lit("kept")).otherwise(F.col("_reason"))
+            .alias("gate_reason"))
+    ok = F.col("_reason") == "pass"
+    text_ok = F.when(ok, F.col("text"))
+    narrow = cut_lineage(base.select(
+        "doc_id", "source", "_reason",
+        F.when(ok, token_set_digest(text_ok)).alias("_dig"),
+        F.when(ok, band_keys(signature(text_ok, p.num_perm), p.bands, p.rows)).alias("_bkeys")))
+    sigs = narrow.where(ok).select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_ord"),
+                                   "_dig", "_bkeys")
+    verdict = greedy_dedup_sigs(sigs)
+    return narrow.join(verdict.withColumnRenamed("_id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "source",
+        F.when(F.col("_reason") != "pass", F.col("_reason"))
+        .when(F.col("keep"), F.lit("kept")).otherwise(F.lit("duplicate")).alias("gate_reason"))
+
+
 def document_samples(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
                      dedup: bool = True) -> DataFrame:
     """documents -> gates -> (dedup) -> chunks -> samples."""
-    kept = apply_gates(docs.select("doc_id", "text", "source"), "text", p)
-    if dedup:
-        from ..operators.dedup import greedy_dedup_docs
-        verdict = greedy_dedup_docs(kept, "doc_id", "text", p)
-        kept = kept.join(verdict.where("keep").select("doc_id"), "doc_id", "left_semi")
+    if not dedup:
+        kept = apply_gates(docs.select("doc_id", "text", "source"), "text", p)
+    else:
+        ids = cut_lineage(document_reasons(docs, p, dedup=True)
+                          .where(F.col("gate_reason") == "kept").select("doc_id"))
+        kept = semi_join_checked(docs.select("doc_id", "text", "source"), ids, "doc_id")
     chunks = chunk(kept, "text", p, keep=["doc_id", "source"])
     return samples_from_chunks(chunks, "doc_id", "source", "source", p)
 
 
 def document_gate_reasons(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
                           dedup: bool = True) -> DataFrame:
-    """P1 for every document: no_text / short / low_grade / duplicate / kept."""
-    r = docs.select("doc_id", "source", "text").withColumn(
-        "gate_reason", gate_reason(F.col("text"), p))
-    if not dedup:
-        return r.select("doc_id", "source",
-                        F.when(F.col("gate_reason") == "pass", F.lit("kept"))
-                        .otherwise(F.col("gate_reason")).alias("gate_reason"))
-    from ..operators.dedup import greedy_dedup_docs
-    passed = r.where(F.col("gate_reason") == "pass")
-    verdict = greedy_dedup_docs(passed, "doc_id", "text", p)
-    return (
-        r.join(verdict, "doc_id", "left")
-        .select("doc_id", "source",
-                F.when(F.col("gate_reason") != "pass", F.col("gate_reason"))
-                .when(F.col("keep"), F.lit("kept"))
-                .otherwise(F.lit("duplicate")).alias("gate_reason"))
-    )
+    return document_reasons(docs, p, dedup)
