@@ -342,3 +342,28 @@ def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str
         SELECT *, sum(n_samples) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS c FROM cnt)
     SELECT page_id, gate_reason, n_samples FROM cum WHERE c - n_samples < {budget}
     """
+
+
+def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
+    """Batch equivalent of the incremental harvest over one pages file."""
+    return f"""
+    WITH pg AS (
+        SELECT page_id, url, html FROM (
+            SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages) WHERE page_id = m),
+    tx AS (SELECT page_id, url, html, {sql_main_text('html')} AS text FROM pg),
+    reasons AS (
+        SELECT page_id, url, text,
+               CASE WHEN html IS NULL OR html = '' THEN 'fetch_failed'
+                    ELSE {sql_gate_reason('text', p)} END AS r
+        FROM tx),
+    {_dedup_ctes("SELECT page_id AS id, text FROM reasons WHERE r = 'pass'", p)},
+    kept AS (
+        SELECT r0.url, r0.text FROM reasons r0 JOIN verdict v ON v.id = r0.page_id AND v.keep),
+    ch AS (
+        SELECT url, unnest(range(len(c)))::BIGINT AS chunk_no, unnest(c) AS chunk
+        FROM (SELECT url, {sql_chunk_list('text', p)} AS c FROM kept))
+    SELECT url, chunk_no,
+           {sql_instruction('url', 'chunk_no', sql_netloc('url'), p.templates, p.seed)} AS instruction,
+           'Source: ' || url AS input, chunk AS output
+    FROM ch
+    """

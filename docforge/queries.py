@@ -200,7 +200,18 @@ def q_sample_budget(spark, sf_dir):
     return res.log.select("page_id", "gate_reason", "n_samples")
 
 
+def q_stream_harvest(spark, sf_dir):
+    from .session import scratch_path
+    from .streaming.incremental import read_samples_sink, start_incremental_harvest
+    out = scratch_path(spark, "stream-harvest")
+    q = start_incremental_harvest(spark, sf_dir, out, file_glob="pages*.parquet")
+    q.awaitTermination()
+    return read_samples_sink(spark, out).select("url", "chunk_no", "instruction", "input",
+                                                "output")
+
+
 QUERIES.update({
+    "stream_harvest": q_stream_harvest,
     "crawl_closure": q_crawl_closure,
     "sample_budget": q_sample_budget,
     "train_test_split": q_train_test_split,
@@ -240,4 +251,5 @@ ORACLES = {
     "render_conversations": oracles.render_conversations(),
     "prompt_table": oracles.prompt_table(),
     "sample_budget": oracles.sample_budget(),
+    "stream_harvest": oracles.stream_harvest(),
 }
