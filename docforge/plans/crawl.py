@@ -42,6 +42,7 @@ from ..operators.links import BROADCAST_MAX_ROWS, domain_allowed, not_visited
 from ..operators.ordering import running_sum
 from ..params import HarvestParams
 from ..session import cut_lineage
+from ..sources.state import CrawlState, load_state, save_state
 
 log = logging.getLogger(__name__)
 
@@ -82,7 +83,10 @@ def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
-          p: HarvestParams = HarvestParams()) -> CrawlResult:
+          p: HarvestParams = HarvestParams(), state_dir: str | None = None) -> CrawlResult:
+    """Run G1.  With ``state_dir`` the state is saved after every level
+    and a committed state found there is resumed from (S6); the log and
+    samples then cover the levels run by this call."""
     spark = seeds.sparkSession
     frontier = seeds.select("url", F.array(F.col("pos").cast("bigint")).alias("crawl_key"))
     visited = spark.createDataFrame([], "url string")
@@ -92,6 +96,13 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
     samples: list[DataFrame] = []
     depth = 0
     stopped = False
+    if state_dir:
+        st = load_state(spark, state_dir)
+        if st is not None:
+            visited, frontier, kept_b = st.visited, st.frontier, st.kept_buckets
+            collected, depth = st.collected, st.depth
+            if collected >= p.max_samples:
+                depth = p.max_depth + 1
     while depth <= p.max_depth:
         f = frontier.groupBy("url").agg(F.min("crawl_key").alias("crawl_key"))
         f = not_visited(f, "url", visited)
@@ -148,6 +159,10 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         kept_b = cut_lineage(b if kept_b is None else kept_b.unionByName(b))
         if stats["n"] < n_all or collected >= p.max_samples:
             stopped = True
+            if state_dir:
+                save_state(spark, state_dir, CrawlState(
+                    visited, spark.createDataFrame([], "url string, crawl_key array<bigint>"),
+                    kept_b, collected, depth + 1))
             break
         # L1 on processed kept pages only
         raw = kept.select(F.col("url").alias("_base"), "crawl_key",
@@ -160,6 +175,8 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
             F.concat(F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))
             .alias("crawl_key")))
         depth += 1
+        if state_dir:
+            save_state(spark, state_dir, CrawlState(visited, frontier, kept_b, collected, depth))
     spark_log = logs[0] if logs else spark.createDataFrame([], LOG_SCHEMA)
     for x in logs[1:]:
         spark_log = spark_log.unionByName(x)
