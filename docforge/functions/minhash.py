@@ -47,6 +47,8 @@ def token_hashes(text: Column) -> Column:
 
 
 def _signature_udf(num_perm: int, seed: int):
+    # the UDF only closes over numpy arrays and constants, so it is shipped to
+    # the Python workers by value (workers need not import this package)
     params = np.array(perm_params(num_perm, seed), dtype=np.int64)
     a = params[:, 0][:, None]
     b = params[:, 1][:, None]

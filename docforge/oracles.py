@@ -367,3 +367,23 @@ def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
            'Source: ' || url AS input, chunk AS output
     FROM ch
     """
+
+
+def card_stats(p: HarvestParams = DOC_P) -> str:
+    return f"""WITH {_split_ctes(p)},
+    g AS (SELECT split, source, count(*) AS n FROM split GROUP BY split, source),
+    tot AS (SELECT coalesce(sum(n), 0) AS t FROM g)
+    SELECT 'samples' AS stat, 'all' AS key, CAST((SELECT t FROM tot) AS VARCHAR) AS value
+    UNION ALL
+    SELECT 'size_category', 'all',
+           CASE WHEN t < 1000 THEN 'n<1K' WHEN t < 10000 THEN '1K<n<10K'
+                WHEN t < 100000 THEN '10K<n<100K' WHEN t < 1000000 THEN '100K<n<1M'
+                ELSE 'n>1M' END FROM tot
+    UNION ALL
+    SELECT 'split_count', split, CAST(sum(n) AS VARCHAR) FROM g GROUP BY split
+    UNION ALL
+    SELECT 'split_share', split, printf('%.4f', sum(n) / greatest((SELECT t FROM tot), 1))
+    FROM g GROUP BY split
+    UNION ALL
+    SELECT 'topic_count', source, CAST(sum(n) AS VARCHAR) FROM g GROUP BY source
+    """

@@ -135,12 +135,17 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         # O2: budget cut in crawl order
         cum = running_sum(lvl.select("url", "crawl_key", "n_samples"), ["crawl_key"],
                           "n_samples", "_cum")
-        ok = cum.select("url", ((F.lit(collected) + F.col("_cum") - F.col("n_samples"))
-                                < F.lit(p.max_samples)).alias("_ok"))
-        done = cut_lineage(lvl.join(ok.where("_ok").select("url"), "url", "left_semi"))
-        stats = done.agg(F.count(F.lit(1)).alias("n"),
-                         F.coalesce(F.sum("n_samples"), F.lit(0)).alias("s")).first()
-        n_all = lvl.count()
+        ok = cut_lineage(cum.select(
+            "url", "n_samples",
+            ((F.lit(collected) + F.col("_cum") - F.col("n_samples"))
+             < F.lit(p.max_samples)).alias("_ok")))
+        stats = ok.agg(F.count(F.lit(1)).alias("all"),
+                       F.count(F.when(F.col("_ok"), 1)).alias("n"),
+                       F.coalesce(F.sum(F.when(F.col("_ok"), F.col("n_samples"))), F.lit(0))
+                       .alias("s")).first()
+        n_all = stats["all"]
+        done = lvl if stats["n"] == n_all else cut_lineage(
+            lvl.join(ok.where("_ok").select("url"), "url", "left_semi"))
         collected += int(stats["s"])
         log.info("crawl level %d: %d processed of %d, %d samples so far",
                  depth, stats["n"], n_all, collected)
@@ -157,8 +162,9 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         visited = cut_lineage(visited.unionByName(done.select("url")))
         b = new_b.join(done.select("url"), "url", "left_semi").select("band", "bkey")
         kept_b = cut_lineage(b if kept_b is None else kept_b.unionByName(b))
-        if stats["n"] < n_all or collected >= p.max_samples:
-            stopped = True
+        budget_hit = stats["n"] < n_all or collected >= p.max_samples
+        if budget_hit or depth >= p.max_depth:    # max_depth is a safety stop
+            stopped = budget_hit
             if state_dir:
                 save_state(spark, state_dir, CrawlState(
                     visited, spark.createDataFrame([], "url string, crawl_key array<bigint>"),

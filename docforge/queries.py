@@ -160,6 +160,11 @@ def q_sample_contract(spark, sf_dir):
                                          "instruction_ok", "round_trip_ok")
 
 
+def q_card_stats(spark, sf_dir):
+    from .operators.contract import card_stats
+    return card_stats(_split(spark, sf_dir).select("split", "source"), "source")
+
+
 def _conversations(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     return read_table(spark, sf_dir, "conversations")
@@ -222,6 +227,7 @@ QUERIES.update({
     "sample_contract": q_sample_contract,
     "render_conversations": q_render_conversations,
     "prompt_table": q_prompt_table,
+    "card_stats": q_card_stats,
 })
 
 QUERIES.update({
@@ -252,4 +258,5 @@ ORACLES = {
     "prompt_table": oracles.prompt_table(),
     "sample_budget": oracles.sample_budget(),
     "stream_harvest": oracles.stream_harvest(),
+    "card_stats": oracles.card_stats(),
 }
