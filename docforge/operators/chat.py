@@ -16,6 +16,9 @@ from ..functions.text import py_strip
 from ..params import BEGIN_OF_TEXT, SERVING_SYSTEM_PROMPT
 
 
+TURN_RUN = 1024
+
+
 def nonblank(col) -> F.Column:
     """text is not empty after a Unicode strip."""
     return F.coalesce(py_strip(col) != "", F.lit(False))
@@ -32,10 +35,17 @@ def assemble_conversations(history: DataFrame, default: str = SERVING_SYSTEM_PRO
         (F.col("role") != "assistant") | nonblank(F.col("text")))
     blocks = turns.select("conv_id", "turn",
                           message(F.col("role"), F.col("text")).alias("_blk"))
-    body = blocks.groupBy("conv_id").agg(
+    # two-level concatenation: turns are first joined per (conversation,
+    # run of TURN_RUN turns), so a very long conversation is spread over many
+    # tasks; the last step only joins the pre-joined runs in order
+    runs = blocks.groupBy("conv_id", F.floor(F.col("turn") / TURN_RUN).alias("_run")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "_blk"))),
-                                 lambda s: s["_blk"]), "").alias("_body"),
+                                 lambda s: s["_blk"]), "").alias("_part"),
         F.count(F.lit(1)).alias("_n"))
+    body = runs.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_run", "_part"))),
+                                 lambda s: s["_part"]), "").alias("_body"),
+        F.sum("_n").alias("_n"))
     systems = history.where(F.col("role") == "system").where(F.col("text") != "") \
         .groupBy("conv_id").agg(F.min_by("text", "turn").alias("_sys"))
     convs = history.select("conv_id").distinct()
