@@ -48,10 +48,15 @@ def doc_signatures(docs: DataFrame, id_col: str, order_col: str, text_col: str,
 
 
 def first_copies(sigs: DataFrame) -> DataFrame:
-    """Adds _first: the document is the earliest of its exact token set."""
-    firsts = sigs.groupBy("_dig").agg(F.min("_ord").alias("_first_ord"))
-    return sigs.join(firsts, "_dig").withColumn(
-        "_first", F.col("_ord") == F.col("_first_ord")).drop("_first_ord")
+    """Adds _first: the document is the earliest of its exact token set.
+
+    The earliest order per digest comes from a partial (map-side) aggregate;
+    it is joined back on the unique pair (digest, order), so a digest shared
+    by a third of all rows does not make one hot join key."""
+    firsts = sigs.groupBy("_dig").agg(F.min("_ord").alias("_ord")).withColumn(
+        "_first", F.lit(True))
+    return sigs.join(firsts, ["_dig", "_ord"], "left").withColumn(
+        "_first", F.coalesce(F.col("_first"), F.lit(False)))
 
 
 def explode_bands(sigs: DataFrame) -> DataFrame:
