@@ -313,10 +313,9 @@ def prompt_table() -> str:
     """
 
 
-def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
-    """O2 over the page queue in page_id order (first row per URL)."""
+def _page_level0(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
     return f"""
-    WITH pg AS (
+    pg AS (
         SELECT page_id, url, html FROM (
             SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages) WHERE page_id = m),
     tx AS (
@@ -339,11 +338,24 @@ def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str
                     ELSE 0 END::BIGINT AS n_samples
         FROM fin),
     cum AS (
-        SELECT *, sum(n_samples) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS c FROM cnt)
-    SELECT page_id, gate_reason, n_samples FROM cum WHERE c - n_samples < {budget}
+        SELECT *, sum(n_samples) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS c FROM cnt),
+    done AS (SELECT * FROM cum WHERE c - n_samples < {budget})
     """
 
 
+def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
+    """O2 over the page queue in page_id order (first row per URL)."""
+    return f"""WITH {_page_level0(p, budget)}
+    SELECT page_id, gate_reason, n_samples FROM done"""
+
+
+def page_gate_report(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
+    return f"""WITH {_page_level0(p, budget)}
+    SELECT {sql_netloc('pg.url')} AS netloc, done.gate_reason, count(*) AS n
+    FROM done JOIN pg USING (page_id)
+    GROUP BY 1, 2"""
+
+
 def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
     """Batch equivalent of the incremental harvest over one pages file."""
     return f"""

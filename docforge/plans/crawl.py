@@ -36,7 +36,8 @@ from ..functions.html import main_text
 from ..functions.samples import instruction, source_tag
 from ..functions.url import hrefs, netloc, with_url_join
 from ..operators.chunk import chunk, chunk_count
-from ..operators.dedup import greedy_dedup
+from ..functions.minhash import band_keys, signature, token_set_digest
+from ..operators.dedup import greedy_dedup_sigs
 from ..operators.gates import gate_reason
 from ..operators.links import BROADCAST_MAX_ROWS, domain_allowed, not_visited
 from ..operators.ordering import running_sum
@@ -70,16 +71,38 @@ def seeds_frame(spark: SparkSession, urls: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(urls)), "pos long, url string")
 
 
-def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, crawl_key, page_id, html) - html NULL when no page row."""
+def fetch_extract(frontier: DataFrame, pages: DataFrame,
+                  p: HarvestParams = HarvestParams()) -> DataFrame:
+    """J4 + X4 + gates (+ signatures and chunk counts of passing pages).
+
+    All per-page CPU work runs map-side on the pages scan, right after the
+    (size-checked broadcast) join with the frontier, so it keeps the scan's
+    parallelism; only extracted, narrow results are shuffled.  URLs with no
+    page row (or empty HTML) come back as ``fetch_failed``."""
     n = frontier.count()
     side = F.broadcast(frontier.select("url")) if n <= BROADCAST_MAX_ROWS \
         else frontier.select("url")
-    hit = (pages.select("page_id", "url", "html").join(side, "url")
-           .groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("_pg")))
-    return frontier.join(hit, "url", "left").select(
+    hit = pages.select("page_id", "url", "html").join(side, "url")
+    hit = hit.select("page_id", "url", main_text(F.col("html")).alias("text"),
+                     hrefs(F.col("html")).alias("hrefs"),
+                     (F.col("html").isNull() | (F.col("html") == "")).alias("_nofetch"))
+    hit = hit.withColumn("_r", F.when(F.col("_nofetch"), F.lit("fetch_failed"))
+                         .otherwise(gate_reason(F.col("text"), p)))
+    ok = F.col("_r") == "pass"
+    text_ok = F.when(ok, F.col("text"))
+    hit = hit.select(
+        "page_id", "url", "text", "hrefs", "_r",
+        F.when(ok, chunk_count(text_ok, p)).otherwise(F.lit(0).cast("bigint")).alias("_nchunks"),
+        F.when(ok, token_set_digest(text_ok)).alias("_dig"),
+        F.when(ok, band_keys(signature(text_ok, p.num_perm), p.bands, p.rows)).alias("_bkeys"))
+    one = hit.groupBy("url").agg(F.min_by(F.struct(
+        "page_id", "text", "hrefs", "_r", "_nchunks", "_dig", "_bkeys"), "page_id").alias("_pg"))
+    return frontier.join(one, "url", "left").select(
         "url", "crawl_key", F.col("_pg.page_id").alias("page_id"),
-        F.col("_pg.html").alias("html"))
+        F.col("_pg.text").alias("text"), F.col("_pg.hrefs").alias("hrefs"),
+        F.coalesce(F.col("_pg._r"), F.lit("fetch_failed")).alias("gate_reason"),
+        F.coalesce(F.col("_pg._nchunks"), F.lit(0).cast("bigint")).alias("_nchunks"),
+        F.col("_pg._dig").alias("_dig"), F.col("_pg._bkeys").alias("_bkeys"))
 
 
 def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
@@ -109,28 +132,20 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         f = cut_lineage(domain_allowed(f, "url", domains))
         if f.isEmpty():
             break
-        lvl = fetch(f, pages)
-        lvl = lvl.select(
-            "url", "crawl_key", "page_id",
-            main_text(F.col("html")).alias("text"),
-            hrefs(F.col("html")).alias("hrefs"),
-            (F.col("html").isNull() | (F.col("html") == "")).alias("_nofetch"))
-        lvl = lvl.withColumn(
-            "gate_reason",
-            F.when(F.col("_nofetch"), F.lit("fetch_failed"))
-            .otherwise(gate_reason(F.col("text"), p)))
-        lvl = cut_lineage(lvl)
-        passed = lvl.where(F.col("gate_reason") == "pass")
-        verdict, new_b = greedy_dedup(passed, "url", "crawl_key", "text", p,
-                                      prior_buckets=kept_b, with_buckets=True)
+        lvl = cut_lineage(fetch_extract(f, pages, p))
+        sigs = lvl.where(F.col("gate_reason") == "pass").select(
+            F.col("url").alias("_id"), F.col("crawl_key").alias("_ord"), "_dig", "_bkeys")
+        verdict, new_b = greedy_dedup_sigs(sigs, prior_buckets=kept_b, with_buckets=True)
+        verdict = verdict.withColumnRenamed("_id", "url")
+        new_b = new_b.withColumnRenamed("_id", "url")
         lvl = lvl.join(verdict, "url", "left").withColumn(
             "gate_reason",
             F.when(F.col("gate_reason") != "pass", F.col("gate_reason"))
             .when(F.col("keep"), F.lit("kept")).otherwise(F.lit("duplicate"))
         ).withColumn(
             "n_samples",
-            F.when(F.col("gate_reason") == "kept", chunk_count(F.col("text"), p))
-            .otherwise(F.lit(0).cast("bigint"))).drop("keep")
+            F.when(F.col("gate_reason") == "kept", F.col("_nchunks"))
+            .otherwise(F.lit(0).cast("bigint"))).drop("keep", "_nchunks", "_dig", "_bkeys")
         lvl = cut_lineage(lvl)
         # O2: budget cut in crawl order
         cum = running_sum(lvl.select("url", "crawl_key", "n_samples"), ["crawl_key"],

@@ -200,6 +200,13 @@ def HarvestParams_default_depth():
     return HarvestParams().max_depth
 
 
+def q_page_gate_report(spark, sf_dir):
+    """A3 for pages: processed pages of the first crawl level per (host, reason)."""
+    res = _page_crawl(spark, sf_dir, 0)
+    return res.log.groupBy(netloc(F.col("url")).alias("netloc"), "gate_reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def q_sample_budget(spark, sf_dir):
     res = _page_crawl(spark, sf_dir, 0)
     return res.log.select("page_id", "gate_reason", "n_samples")
@@ -219,6 +226,7 @@ QUERIES.update({
     "stream_harvest": q_stream_harvest,
     "crawl_closure": q_crawl_closure,
     "sample_budget": q_sample_budget,
+    "page_gate_report": q_page_gate_report,
     "train_test_split": q_train_test_split,
     "render_samples": q_render_samples,
     "pack_blocks": q_pack_blocks,
@@ -259,4 +267,5 @@ ORACLES = {
     "sample_budget": oracles.sample_budget(),
     "stream_harvest": oracles.stream_harvest(),
     "card_stats": oracles.card_stats(),
+    "page_gate_report": oracles.page_gate_report(),
 }
