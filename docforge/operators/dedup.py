@@ -145,8 +145,11 @@ def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
     With ``with_buckets`` also returns the (band, bkey, id_col) buckets of
     the documents kept here (to extend the prior buckets of later calls).
     """
-    res = greedy_dedup_sigs(doc_signatures(docs, id_col, order_col, text_col, p),
-                            prior_buckets, with_buckets)
+    # materialise the narrow signature rows once: they feed both the
+    # exact-copy aggregate and the join back, which would otherwise each
+    # re-run tokenisation and the MinHash UDF
+    sigs = cut_lineage(doc_signatures(docs, id_col, order_col, text_col, p))
+    res = greedy_dedup_sigs(sigs, prior_buckets, with_buckets)
     if not with_buckets:
         return res.withColumnRenamed("_id", id_col)
     out, buckets = res
