@@ -175,8 +175,12 @@ def lsh_candidates(docs: DataFrame, id_col: str, text_col: str,
     """J3 without emitting pairs: per document, the earliest other document it
     shares a bucket with (``first_candidate``, NULL if none) and the number
     of its bands that collide with an earlier document (``n_bands_hit``)."""
-    members = bucket_members(docs, id_col, id_col, text_col, p)
-    members = cut_lineage(members)
+    members = cut_lineage(bucket_members(docs, id_col, id_col, text_col, p))
+    return candidates_from_members(members, id_col)
+
+
+def candidates_from_members(members: DataFrame, id_col: str) -> DataFrame:
+    """J3 on membership rows (_id, _ord, _band, _bkey); see ``lsh_candidates``."""
     stats = members.groupBy("_band", "_bkey").agg(
         F.min("_ord").alias("_min1"),
         F.count(F.lit(1)).alias("_n"))

@@ -62,11 +62,17 @@ def q_greedy_dedup(spark, sf_dir):
 
 
 def q_jaccard_estimate(spark, sf_dir):
+    """X9 between every document and its first LSH candidate; signatures are
+    computed once and reused for both the candidates and the estimate."""
+    from .session import cut_lineage
     p = DOC_PARAMS
     d = _docs(spark, sf_dir).select("doc_id", "text")
-    cand = dedup.lsh_candidates(d, "doc_id", "text", p).where(
+    sig = cut_lineage(d.select("doc_id", signature(F.col("text"), p.num_perm).alias("sig")))
+    members = sig.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_ord"),
+                         F.posexplode(band_keys(F.col("sig"), p.bands, p.rows))
+                         .alias("_band", "_bkey"))
+    cand = dedup.candidates_from_members(members, "doc_id").where(
         F.col("first_candidate").isNotNull())
-    sig = d.select("doc_id", signature(F.col("text"), p.num_perm).alias("sig"))
     a = sig.alias("a")
     b = sig.alias("b")
     return (cand.join(a, "doc_id")
