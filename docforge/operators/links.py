@@ -39,6 +39,17 @@ def domain_allowed(df: DataFrame, url_col: str, domains: DataFrame,
     case-sensitive; port and userinfo are part of the netloc)."""
     d = domains.select(F.col("domain").alias("_netloc")).distinct()
     d = small_side(d) if checked_small else d
+    return domain_allowed_prepared(df, url_col, d)
+
+
+def prepare_domains(domains: DataFrame) -> DataFrame:
+    """Distinct allow-list, broadcast-hinted only if its size is checked small
+    (do this once per run, not once per crawl level)."""
+    return small_side(domains.select(F.col("domain").alias("_netloc")).distinct())
+
+
+def domain_allowed_prepared(df: DataFrame, url_col: str, d: DataFrame) -> DataFrame:
+    """F2/J2 with a prepared (``prepare_domains``) allow-list."""
     return (df.withColumn("_netloc", netloc(F.col(url_col)))
             .join(d, "_netloc", "left_semi").drop("_netloc"))
 

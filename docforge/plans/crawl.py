@@ -39,7 +39,8 @@ from ..operators.chunk import chunk, chunk_count
 from ..functions.minhash import band_keys, signature, token_set_digest
 from ..operators.dedup import greedy_dedup_sigs
 from ..operators.gates import gate_reason
-from ..operators.links import BROADCAST_MAX_ROWS, domain_allowed, not_visited
+from ..operators.links import (BROADCAST_MAX_ROWS, domain_allowed_prepared, not_visited,
+                               prepare_domains)
 from ..operators.ordering import running_sum
 from ..params import HarvestParams
 from ..session import cut_lineage
@@ -111,6 +112,7 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
     and a committed state found there is resumed from (S6); the log and
     samples then cover the levels run by this call."""
     spark = seeds.sparkSession
+    allowed = prepare_domains(domains)
     frontier = seeds.select("url", F.array(F.col("pos").cast("bigint")).alias("crawl_key"))
     visited = spark.createDataFrame([], "url string")
     kept_b = None
@@ -129,7 +131,7 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
     while depth <= p.max_depth:
         f = frontier.groupBy("url").agg(F.min("crawl_key").alias("crawl_key"))
         f = not_visited(f, "url", visited)
-        f = cut_lineage(domain_allowed(f, "url", domains))
+        f = cut_lineage(domain_allowed_prepared(f, "url", allowed))
         if f.isEmpty():
             break
         lvl = cut_lineage(fetch_extract(f, pages, p))
@@ -189,7 +191,7 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         raw = kept.select(F.col("url").alias("_base"), "crawl_key",
                           F.posexplode("hrefs").alias("link_pos", "_href"))
         links = with_url_join(raw, "_base", "_href", "link")
-        links = domain_allowed(links, "link", domains)
+        links = domain_allowed_prepared(links, "link", allowed)
         links = not_visited(links, "link", visited)
         frontier = cut_lineage(links.select(
             F.col("link").alias("url"),

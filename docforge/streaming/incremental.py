@@ -30,7 +30,7 @@ from ..operators.chunk import chunk
 from ..operators.dedup import greedy_dedup
 from ..operators.gates import gate_reason
 from ..params import HarvestParams
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -57,7 +57,7 @@ def _overwrite_partition(df: DataFrame, path: str, batch_id: int) -> None:
 def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
                   p: HarvestParams = HarvestParams()) -> None:
     spark = batch.sparkSession
-    pages = batch.select("page_id", "url", "html").withColumn(
+    pages = spread(batch).select("page_id", "url", "html").withColumn(
         "text", main_text(F.col("html"))).withColumn(
         "gate_reason",
         F.when(F.col("html").isNull() | (F.col("html") == ""), F.lit("fetch_failed"))
