@@ -83,12 +83,12 @@ def greedy_rounds(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     state = ids.join(edges.select("_id").distinct(), "_id", "left_anti").select(
         "_id", "_ord", F.lit("K").alias("_st"))
     undecided = edges.select("_id", "_ord").distinct().withColumn("_st", F.lit("U"))
-    state = cut_lineage(state.unionByName(undecided))
+    # both inputs are checkpointed, so this initial state stays cheap to derive
+    state = state.unionByName(undecided)
 
     rounds = 0
     while True:
-        n_open = state.where(F.col("_st") == "U").count()
-        if n_open == 0 or rounds >= max_rounds:
+        if rounds >= max_rounds or state.where(F.col("_st") == "U").isEmpty():
             break
         rounds += 1
         alive = edges.join(state.where(F.col("_st") != "D").select("_id", "_st"), "_id")
