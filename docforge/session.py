@@ -87,7 +87,7 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     shuffle).  A scan with fewer splits than cores (e.g. a single row group)
     is spread round-robin once, before the expensive per-row work."""
     sc = df.sparkSession.sparkContext
-    want = min_tasks or sc.defaultParallelism
+    want = min_tasks or 3 * sc.defaultParallelism   # several per core: row sizes vary
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
