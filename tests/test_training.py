@@ -28,6 +28,19 @@ def test_split_sizes_and_repartition_invariance(spark):
         assert len(ta) == k and ta == tb
 
 
+def test_group_split_keeps_groups_whole(spark):
+    from docforge.operators.train_prep import group_split
+    rows = [(f"p{i % 20}", str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page string, sample_id string")
+    out = group_split(df, "page").collect()
+    sides = {}
+    for r in out:
+        sides.setdefault(r.page, set()).add(r.split)
+    assert all(len(v) == 1 for v in sides.values())
+    assert sum(1 for v in sides.values() if v == {"test"}) == 2
+    assert len(out) == 200
+
+
 def test_packing(spark):
     df = spark.createDataFrame([("a", 1, 3), ("b", 2, 4), ("c", 3, 5)], "k string, o int, n long")
     seg = pack_blocks(df, "k", ["o"], "n", block=5).orderBy("block_id", "from_tok").collect()
