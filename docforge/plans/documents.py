@@ -8,7 +8,9 @@ Processing order (for first-wins dedup) is ``doc_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.samples import instruction, source_tag
@@ -20,6 +22,8 @@ from ..operators.links import semi_join_checked
 from ..params import HarvestParams
 from ..session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 DOC_PARAMS = HarvestParams(sep="\n")
 
 
@@ -52,10 +56,15 @@ def document_reasons(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
             .alias("gate_reason"))
     ok = F.col("_reason") == "pass"
     text_ok = F.when(ok, F.col("text"))
+    # live gate metrics (A3) collected by the same pass, no extra job
+    obs = Observation("gates")
+    base = base.observe(obs, *[F.count(F.when(F.col("_reason") == r, 1)).alias(r)
+                               for r in ("no_text", "short", "low_grade", "pass")])
     narrow = cut_lineage(base.select(
         "doc_id", "source", "_reason",
         F.when(ok, token_set_digest(text_ok)).alias("_dig"),
         F.when(ok, band_keys(signature(text_ok, p.num_perm), p.bands, p.rows)).alias("_bkeys")))
+    log.info("gate counts: %s", obs.get)
     sigs = narrow.where(ok).select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_ord"),
                                    "_dig", "_bkeys")
     verdict = greedy_dedup_sigs(sigs)

@@ -197,13 +197,9 @@ def _page_crawl(spark, sf_dir, max_depth):
 
 
 def q_crawl_closure(spark, sf_dir):
-    res = _page_crawl(spark, sf_dir, HarvestParams_default_depth())
-    return res.log.select("url", "depth", "page_id", "gate_reason", "n_samples")
-
-
-def HarvestParams_default_depth():
     from .params import HarvestParams
-    return HarvestParams().max_depth
+    res = _page_crawl(spark, sf_dir, HarvestParams().max_depth)
+    return res.log.select("url", "depth", "page_id", "gate_reason", "n_samples")
 
 
 def q_page_gate_report(spark, sf_dir):
