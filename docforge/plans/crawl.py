@@ -192,11 +192,13 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
                           F.posexplode("hrefs").alias("link_pos", "_href"))
         links = with_url_join(raw, "_base", "_href", "link")
         links = domain_allowed_prepared(links, "link", allowed)
-        links = not_visited(links, "link", visited)
-        frontier = cut_lineage(links.select(
-            F.col("link").alias("url"),
-            F.concat(F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))
-            .alias("crawl_key")))
+        # first enqueue wins: collapse repeated links with a partial (map-side)
+        # aggregate before the anti join, so a URL linked from a third of all
+        # pages is one row by the time it meets the visited set
+        links = links.groupBy(F.col("link").alias("url")).agg(F.min(
+            F.concat(F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint"))))
+            .alias("crawl_key"))
+        frontier = cut_lineage(not_visited(links, "url", visited))
         depth += 1
         if state_dir:
             save_state(spark, state_dir, CrawlState(visited, frontier, kept_b, collected, depth))
