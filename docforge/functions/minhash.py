@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import sql_str, sql_tokens, ws_tokens
+from .text import sql_tokens, ws_tokens
 
 MERSENNE = 2147483647          # 2**31 - 1
 EMPTY_SLOT = 4294967295        # signature value of an empty token set
@@ -139,5 +139,5 @@ def sql_token_set_digest(text: str) -> str:
 __all__ = [
     "perm_params", "token_hashes", "signature", "band_keys", "jaccard_estimate",
     "token_set_digest", "sql_perm_values", "sql_signature_cte", "sql_band_keys",
-    "sql_token_set_digest", "sql_str",
+    "sql_token_set_digest",
 ]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs, py_strip, sql_str, sql_strip, STRIP_PATTERN
+from ..functions.text import paragraphs, py_strip, sql_str, sql_strip
 from ..params import HarvestParams
 
 

@@ -11,7 +11,7 @@ from .functions.minhash import sql_band_keys, sql_signature_cte, sql_token_set_d
 from .functions.html import sql_main_text
 from .functions.samples import sql_instruction
 from .functions.url import sql_hrefs, sql_netloc, sql_url_join
-from .functions.text import sql_grade, sql_str, sql_tokens
+from .functions.text import sql_str, sql_tokens
 from .operators.chunk import sql_chunk_list
 from .operators.gates import sql_gate_reason
 from .params import HarvestParams
@@ -176,10 +176,6 @@ def link_discovery() -> str:
     """
 
 
-__all__ = [
-    "chunk_fold", "instruction_samples", "greedy_dedup", "gate_report",
-    "minhash_signature", "lsh_candidates", "jaccard_estimate", "sql_grade", "sql_str",
-]
 
 
 # --- harvest samples and what is derived from them -------------------------
@@ -399,3 +395,11 @@ def card_stats(p: HarvestParams = DOC_P) -> str:
     UNION ALL
     SELECT 'topic_count', source, CAST(sum(n) AS VARCHAR) FROM g GROUP BY source
     """
+
+__all__ = [
+    "chunk_fold", "instruction_samples", "greedy_dedup", "gate_report",
+    "minhash_signature", "lsh_candidates", "jaccard_estimate", "url_netloc", "main_text",
+    "link_discovery", "harvest_documents", "train_test_split", "render_samples", "pack_blocks",
+    "sample_counts", "jsonl_round_trip", "sample_contract", "render_conversations",
+    "prompt_table", "sample_budget", "page_gate_report", "stream_harvest", "card_stats",
+]
