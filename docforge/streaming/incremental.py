@@ -30,7 +30,7 @@ from ..operators.chunk import chunk
 from ..operators.dedup import greedy_dedup
 from ..operators.gates import gate_reason
 from ..params import HarvestParams
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir, path_exists, spread
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -40,12 +40,9 @@ PAGE_SCHEMA = T.StructType([
 
 
 def _read_partitions_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:      # nothing written yet
+    if not path_exists(spark, path):      # nothing written yet
         return None
-    return df.where(F.col("batch_id") < F.lit(batch_id))
+    return spark.read.parquet(path).where(F.col("batch_id") < F.lit(batch_id))
 
 
 def _overwrite_partition(df: DataFrame, path: str, batch_id: int) -> None:
