@@ -218,7 +218,12 @@ def q_stream_harvest(spark, sf_dir):
     from .session import scratch_path
     from .streaming.incremental import read_samples_sink, start_incremental_harvest
     out = scratch_path(spark, "stream-harvest")
-    q = start_incremental_harvest(spark, sf_dir, out, file_glob="pages*.parquet")
+    import os
+    table = os.path.join(sf_dir, "pages.parquet")
+    if os.path.isdir(table):        # a folder of part files: stream over it
+        q = start_incremental_harvest(spark, table, out)
+    else:                           # one file next to other tables
+        q = start_incremental_harvest(spark, sf_dir, out, file_glob="pages*.parquet")
     q.awaitTermination()
     return read_samples_sink(spark, out).select("url", "chunk_no", "instruction", "input",
                                                 "output")
