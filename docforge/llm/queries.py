@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 QUERIES = {
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
