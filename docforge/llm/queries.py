@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op6_length_buckets": packing.op6_length_buckets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
