@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, quality, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_quality_discriminant": quality.op3_quality_discriminant,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
