@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, simhash
+from . import exact_dedup, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_discriminant": quality.op3_quality_discriminant,
+    "op5_toxicity_trees": toxicity.op5_toxicity_trees,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
