@@ -2,23 +2,56 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared scratch folder and reads it again as the docs of
-the next stage.  All but the last return the columns of documents.
+the next stage.  All but the last return the columns of documents; the last
+returns where each remaining document is packed.
+
+Nulls count as empty texts, empty tables stay empty, further columns are kept
+up to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docforge.llm import exact_dedup
+from docforge.llm import exact_dedup, packing, quality, simhash, toxicity
 from docforge.llm.common import written
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, labels(spark, sf_dir))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.clean_documents(docs, labels(spark, sf_dir))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal normalised texts the one with the smallest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of the remaining documents."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_dedup_stage),
+    ("simhash near dedup", simhash_stage),
+    ("packing", packing_stage),
 ]
 
 #: The classifiers' scores can't be written in SQL; tested against brute force.

@@ -110,7 +110,7 @@ class Discriminant:
         """Log density of class 1 less that of class 0."""
         # what lies far outside of the sample's range counts as its edge
         x = self.centre + np.clip(x - self.centre, -6 * self.spread, 6 * self.spread)
-        density = [-0.5 * (np.linalg.solve(factor, (x - mean).T) ** 2).sum(0) - logdet
+        density = [-0.5 * (_whiten(factor, (x - mean).T) ** 2).sum(0) - logdet
                    for mean, factor, logdet in self.parts]
         return density[1] - density[0]
 
@@ -136,6 +136,15 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
+def _whiten(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Forward substitution, column-wise; without the BLAS library, whose
+    threads can hang in forked Python workers."""
+    z = np.empty_like(y)
+    for i, row in enumerate(factor):
+        z[i] = (y[i] - (row[:i, None] * z[:i]).sum(0)) / row[i]
+    return z
+
+
 def _matrix(texts: list) -> np.ndarray:
     return np.array([statistics(t) for t in texts], float).reshape(len(texts), len(FEATURES))
 
