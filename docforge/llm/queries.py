@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, simhash, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity_trees": toxicity.op5_toxicity_trees,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_subspace_join": embedding_dedup.op8_subspace_join,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 

@@ -68,10 +68,10 @@ def append_misses(docs: DataFrame, path: str, cache: str, text_col: str = "text"
     version = tokenizer_version(path)
     texts = docs.select(text_or_empty(text_col).alias("_text")).select(
         F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("content"), "_text")
-    if path_exists(spark, cache):
-        texts = texts.join(read_cache(spark, cache, version), "content", "left_anti")
     # copies meet inside each task first, then one text per task and content
     misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
+    if path_exists(spark, cache):
+        misses = misses.join(read_cache(spark, cache, version), "content", "left_anti")
 
     def encode(batches):
         count = counter(path)
