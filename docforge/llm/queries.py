@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, packing, quality, simhash, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, packing, quality, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_discriminant": quality.op3_quality_discriminant,
+    "op4_warc_dictionary": warc.op4_warc_dictionary,
     "op5_toxicity_trees": toxicity.op5_toxicity_trees,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc_dictionary": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
