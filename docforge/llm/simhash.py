@@ -12,7 +12,7 @@
    different sides of a node the far one visits the near side, so one of each
    pair meets the other at its leaf.
 3. A leaf (shard) compares its home points with all points that came, exactly.
-   Inside, a pivot and the triangle bound narrow each comparison once more.
+   Inside, further vantage points and the triangle bound narrow it once more.
    Large leaves are split in tiles of bounded size, and a tile returns no pairs
    but each point's smallest linked point in the tile, a star per component.
 4. Stars are contracted to global components (``components.contract``).
@@ -36,8 +36,10 @@ from .components import contract
 
 SEED = 42
 WORDS, BITS = 4, 4
-#: points in a leaf aimed at; home and visiting points in a tile at most
-LEAF, HOME_TILE, VISIT_TILE = 4096, 16384, 131072
+#: leaves and points in a leaf both grow as the root of all points (leaves:
+#: sqrt(points / GRAIN)), which balances visiting copies against comparisons;
+#: home and visiting points in a tile at most
+GRAIN, HOME_TILE, VISIT_TILE = 512, 65_536, 524_288
 #: fingerprints that the tree is fitted on at most, and its depth at most
 SAMPLE, DEPTH = 20_000, 14
 
@@ -122,6 +124,36 @@ def route(nodes: list, points: np.ndarray, bits: int):
     yield from go(0, np.arange(len(points)), True)
 
 
+def close_pairs(home: np.ndarray, visit: np.ndarray, bits: int):
+    """Yields (home positions, visit positions) of pairs within ``bits`` bits:
+    vantage points split both sides again while the triangle bound rules out
+    enough, then what is left is compared in blocks."""
+    rng = np.random.default_rng(len(home))
+    todo = [(np.arange(len(home)), np.arange(len(visit)))]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) * len(b) > 1 << 22:
+            vantage = home[rng.choice(a)]
+            da = distance(home[a], vantage).astype(np.int64)
+            db = distance(visit[b], vantage).astype(np.int64)
+            radius = int(np.median(da))
+            parts = [(a[da <= radius], b[db <= radius]),
+                     (a[da > radius], b[db > radius]),
+                     (a[(da <= radius) & (da > radius - bits)],
+                      b[(db > radius) & (db <= radius + bits)]),
+                     (a[(da > radius) & (da <= radius + bits)],
+                      b[(db <= radius) & (db > radius - bits)])]
+            if sum(len(x) * len(y) for x, y in parts) < 0.9 * len(a) * len(b):
+                todo += parts
+                continue
+        step = max(1, (1 << 21) // len(b))
+        for s in range(0, len(a), step):
+            own, other = np.nonzero(distance(home[a[s:s + step]][:, None], visit[b][None]) <= bits)
+            yield a[s:s + step][own], b[other]
+
+
 def tile_stars(home: np.ndarray, visit: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, star) of every point of the tile that is linked in it.  home and
     visit are distinct within themselves but may share points."""
@@ -134,24 +166,15 @@ def tile_stars(home: np.ndarray, visit: np.ndarray, bits: int) -> tuple[np.ndarr
             x = parent[x]
         return x
 
-    pivot = points[0]
-    order = np.argsort(dv := distance(visit, pivot).astype(np.int64), kind="stable")
-    visit, dv = visit[order], dv[order]
-    dh = distance(home, pivot).astype(np.int64)
     at_home, at_visit = np.searchsorted(points, home), np.searchsorted(points, visit)
-    for d in np.unique(dh):
-        rows = np.flatnonzero(dh == d)
-        lo, hi = np.searchsorted(dv, [d - bits, d + bits + 1])
-        step = max(1, (1 << 21) // max(1, hi - lo))
-        for s in range(0, len(rows), step):
-            part = rows[s:s + step]
-            close = distance(home[part][:, None], visit[None, lo:hi]) <= bits
-            own, other = np.nonzero(close)
-            a, b = at_home[part[own]], at_visit[lo + other]
-            for x, y in zip(a[a != b].tolist(), b[a != b].tolist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+    for own, other in close_pairs(home, visit, bits):
+        a, b = at_home[own], at_visit[other]
+        # what one star holds already needs no second look
+        new = parent[a] != parent[b]
+        for x, y in zip(a[new].tolist(), b[new].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
     root = np.array([find(x) for x in range(len(points))], np.int64)
     linked = np.bincount(root, minlength=len(points))[root] > 1
     return points[linked], points[root[linked]]
@@ -161,7 +184,7 @@ def link_fingerprints(points: DataFrame, bits: int = BITS) -> DataFrame:
     """(node, root) of all distinct fingerprints ``points`` (fp) that link with
     another one within ``bits`` bits."""
     n = points.count()
-    depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
+    depth = min(DEPTH, int(np.ceil(np.log2(max(1, n / GRAIN)) / 2)))
     sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"]
     nodes = grow(sample.to_numpy(np.int64).view(np.uint64), depth, np.random.default_rng(7))
 
