@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, packing, quality, simhash, token_counts, toxicity, warc
+from . import embedding_dedup, exact_dedup, html_extract, packing, quality, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_subspace_join": embedding_dedup.op8_subspace_join,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_html_tree_model": html_extract.op10_html_tree_model,
 }
 
 ORACLES = {
