@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, html_extract, packing, quality, simhash, token_counts, toxicity, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, html_extract, packing, quality, simhash, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_discriminant": quality.op3_quality_discriminant,
     "op4_warc_dictionary": warc.op4_warc_dictionary,
