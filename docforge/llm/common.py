@@ -38,13 +38,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
 
     Rows that repeat both id and text are one document; one of them stays.
     The text moves once, on the unique key (id, row key), so no key is hot."""
-    cols = docs.columns
-    left = docs.withColumns({"_row_key": row_key(text_col),
-                             "_id_key": F.coalesce(F.col(id_col).cast("string"), F.lit("null"))})
-    right = kept.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id_key"),
-                        "_row_key")
+    key = lambda: F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    left = docs.select(F.struct("*").alias("_doc"), key().alias("_id_key"),
+                       row_key(text_col).alias("_row_key"))
+    right = kept.select(key().alias("_id_key"), "_row_key")
     return (left.join(right, ["_id_key", "_row_key"], "left_semi")
-            .dropDuplicates(["_id_key", "_row_key"]).select(*cols))
+            .dropDuplicates(["_id_key", "_row_key"]).select("_doc.*"))
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -194,9 +194,10 @@ def default_model() -> TreeModel:
 
 def extract(pages: DataFrame, model: TreeModel | None = None, html_col: str = "html",
             text_col: str = "text") -> DataFrame:
-    """``pages`` without the html, with the main text."""
+    """``pages`` without the html, with the main text (a column of that name is
+    replaced)."""
     model = model or default_model()
-    others = [c for c in pages.columns if c != html_col]
+    others = [c for c in pages.drop(text_col).columns if c != html_col]
     schema = pages.select(*others, F.lit("").alias(text_col)).schema
     ordered = pages.select(*others, html_col)
 

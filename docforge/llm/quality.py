@@ -176,24 +176,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 def add_scores(docs: DataFrame, model: Discriminant, text_col: str = "text",
                score_col: str = "score") -> DataFrame:
-    """``docs`` with the score column, in one pass without a shuffle."""
+    """``docs`` with the score column (one of that name is replaced), in one pass
+    without a shuffle."""
+    docs = docs.drop(score_col)
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema
     at = docs.columns.index(text_col)
-    names = [*docs.columns, score_col]
 
     def score(batches):
         for b in batches:
             s = model.score(_matrix(b.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], schema.names)
 
     return docs.mapInArrow(score, schema)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
+                   text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects, columns unchanged."""
-    model = fit(docs, labels)
-    return add_scores(docs, model, score_col="_score").where(
-        F.col("_score") >= threshold).drop("_score")
+    model = fit(docs, labels, text_col=text_col)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(_matrix(b.column(at).to_pylist())) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op3_quality_discriminant(spark, sf_dir: str) -> DataFrame:
