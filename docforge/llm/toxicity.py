@@ -48,6 +48,7 @@ FEATURES = ["hits", "hit_density", "odds_top", "odds_second", "odds_third", "odd
             "exclamations", "punctuation", "obfuscation", "words"]
 
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
+_OUTER = "!?.,;:'\"()[]{}*_-%&#|/"
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD = re.compile(r"[\W\d_]")
 
@@ -71,13 +72,12 @@ def plain_words(text: str | None) -> list[tuple[str, bool]]:
             continue
         if run:
             end()
-        if not core.isalpha():
-            fixed = _ODD.sub("", raw.translate(_PLAIN)) if any(c.isalpha() for c in raw) else ""
-            inner = fixed if core and fixed else ""
-            if inner:
-                out.append((inner, True))
-            continue
-        out.append((core, False))
+        if core.isalpha() and raw[0] not in "$@":
+            out.append((core, False))
+        elif core:
+            fixed = _ODD.sub("", raw.strip(_OUTER).translate(_PLAIN))
+            if any(c.isalpha() for c in core) and fixed:
+                out.append((fixed, True))
     end()
     return out
 
