@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, row_key, written
+from .common import bounded_sample, keep_rows, row_key, written
 from .components import contract
 
 SEED = 42
@@ -185,7 +185,7 @@ def link_fingerprints(points: DataFrame, bits: int = BITS) -> DataFrame:
     another one within ``bits`` bits."""
     n = points.count()
     depth = min(DEPTH, int(np.ceil(np.log2(max(1, n / GRAIN)) / 2)))
-    sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"]
+    sample = bounded_sample(points, ["fp"], SAMPLE, n).toPandas()["fp"]
     nodes = grow(sample.to_numpy(np.int64).view(np.uint64), depth, np.random.default_rng(7))
 
     def send(batches):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import text_or_empty, written
+from .common import bounded_sample, text_or_empty, written
 
 LEAST = 1000
 LEVEL, DICTIONARY = 6, 112_640
@@ -136,9 +136,9 @@ def _payload_key(html_col: str) -> list:
 def train(pages: DataFrame, id_col: str, html_col: str) -> bytes:
     """Dictionary from at most SAMPLE records of at most SAMPLE_BYTES each."""
     text = text_or_empty(html_col)
-    some = (pages.select(F.col(id_col).cast("long").alias("_id"), text.alias("_html"))
-            .where((F.octet_length("_html") <= SAMPLE_BYTES))
-            .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).toPandas())
+    short = pages.select(F.col(id_col).cast("long").alias("_id"), text.alias("_html")).where(
+        F.octet_length("_html") <= SAMPLE_BYTES)
+    some = bounded_sample(short, ["_id", "_html"], SAMPLE, pages.count()).toPandas()
     parts = [record(None, "", h.encode("utf-8", "surrogatepass"), None, False) for h in some["_html"]]
     if sum(map(len, parts)) < 20 * 1024 or len(parts) < 10:
         return b""
