@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import (BEGIN_OF_TEXT, END_HEADER, END_OF_TURN, SERVING_SYSTEM_PROMPT,
+from ..params import (BEGIN_OF_TEXT, CONTEXT, END_HEADER, END_OF_TURN, SERVING_SYSTEM_PROMPT,
                       START_HEADER, TRAIN_SYSTEM_PROMPT)
 from .text import sql_str
 
 
 def message(role: Column, content: Column) -> Column:
-    """One rendered message block."""
-    return F.concat(F.lit(START_HEADER), role, F.lit(END_HEADER + "\n\n"), content,
+    """One rendered message block; a NULL content is rendered as an empty one."""
+    return F.concat(F.lit(START_HEADER), role, F.lit(END_HEADER + "\n\n"), F.coalesce(content, F.lit("")),
                     F.lit(END_OF_TURN))
 
 
@@ -27,7 +27,7 @@ def generation_prompt() -> Column:
 
 def user_turn(instruction: Column, input_: Column) -> Column:
     """Instruction + '\\nContext: ' + input."""
-    return F.concat(instruction, F.lit("\nContext: "), input_)
+    return F.concat(instruction, F.lit(CONTEXT), input_)
 
 
 def render_sample(instruction: Column, input_: Column, output: Column,
@@ -46,23 +46,16 @@ def default_system(system: Column, default: str = SERVING_SYSTEM_PROMPT) -> Colu
     return F.coalesce(F.nullif(system, F.lit("")), F.lit(default))
 
 
-def render_messages(msgs: Column, add_generation_prompt: bool = False) -> Column:
-    """M2: array<struct<role, content>> -> one string."""
-    body = F.array_join(F.transform(msgs, lambda m: message(m["role"], m["content"])), "")
-    out = F.concat(F.lit(BEGIN_OF_TEXT), body)
-    return F.concat(out, generation_prompt()) if add_generation_prompt else out
-
-
 # --- SQL spellings ----------------------------------------------------------
 
 def sql_message(role: str, content: str) -> str:
     return (f"({sql_str(START_HEADER)} || {role} || {sql_str(END_HEADER + chr(10) * 2)} || "
-            f"{content} || {sql_str(END_OF_TURN)})")
+            f"coalesce({content}, '') || {sql_str(END_OF_TURN)})")
 
 
 def sql_render_sample(instruction: str, input_: str, output: str,
                       system: str = TRAIN_SYSTEM_PROMPT) -> str:
-    user = f"({instruction} || {sql_str(chr(10) + 'Context: ')} || {input_})"
+    user = f"({instruction} || {sql_str(CONTEXT)} || {input_})"
     return (f"({sql_str(BEGIN_OF_TEXT)} || {sql_message(sql_str('system'), sql_str(system))} || "
             f"{sql_message(sql_str('user'), user)} || "
             f"{sql_message(sql_str('assistant'), output)})")

@@ -3,10 +3,12 @@ RE2-compatible ``regexp_replace`` steps (same rule list in Spark and SQL).
 
 Rules, in order:
 1. drop comments and the blocks head, script, style, noscript, template,
-   nav, header, footer, aside, form, and ``<div class="ad...">`` ad boxes;
+   nav, header, footer, aside, form, and ``<div class="ad">`` ad boxes up to the
+   first ``</div>`` (a box with a div of its own leaves what follows that one);
 2. ``<br>`` -> newline; table cells -> tab; block-level tags -> blank line;
 3. drop every remaining tag;
-4. decode the named entities of ``params.HTML_ENTITIES`` (``&amp;`` last);
+4. decode character references once: decimal, hexadecimal and the named ones of
+   HTML 4 (``html.entities``), those of ``&`` last; unknown ones stay;
 5. tidy blanks: spaces around newlines, runs of spaces, 3+ newlines -> 2;
 6. strip.
 Blocks therefore come out separated by ``\\n\\n``, which the chunk fold needs.
@@ -14,10 +16,11 @@ Blocks therefore come out separated by ``\\n\\n``, which the chunk fold needs.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import HTML_ENTITIES
 from .text import STRIP_PATTERN, sql_str
 
 BLOCKS = ["head", "script", "style", "noscript", "template", "nav", "header", "footer",
@@ -45,24 +48,62 @@ TIDY: list[tuple[str, str]] = [
 ]
 
 
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+NAMED = {**name2codepoint, "apos": ord("'")}
+MAX_CODE = 0x10FFFF
+
+
+def _code_point(ref: Column) -> Column:
+    """Code point of the inside of a reference, NULL if there is none."""
+    named = F.create_map(*[F.lit(x) for kv in sorted(NAMED.items()) for x in kv])
+    return F.when(F.startswith(F.lower(ref), F.lit("#x")), F.conv(F.substring(ref, 3, 6), 16, 10).cast("int")) \
+        .when(F.startswith(ref, F.lit("#")), F.substring(ref, 2, 7).cast("int")) \
+        .otherwise(F.element_at(named, ref))
+
+
+def decode_references(text: Column) -> Column:
+    """Every character reference decoded once; those of ``&`` last, so that the
+    text they make is not decoded again."""
+    refs = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))),
+                       lambda r: F.struct(r.alias("ref"), _code_point(r).alias("cp")))
+    good = F.filter(refs, lambda r: (r["cp"] > 0) & (r["cp"] <= MAX_CODE)
+                    & ~r["cp"].between(0xD800, 0xDFFF))
+    ordered = F.concat(F.filter(good, lambda r: r["cp"] != 38), F.filter(good, lambda r: r["cp"] == 38))
+    char = lambda cp: F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    return F.aggregate(ordered, text, lambda acc, r: F.replace(
+        acc, F.concat(F.lit("&"), r["ref"], F.lit(";")), char(r["cp"])))
+
+
 def main_text(html: Column) -> Column:
     """X4 over a raw-HTML column; '' when nothing is left."""
     x = html
     for pat, rep in STEPS:
         x = F.regexp_replace(x, pat, rep)
-    for ent, ch in HTML_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
+    x = F.when(F.contains(x, F.lit("&")), decode_references(x)).otherwise(x)
     for pat, rep in TIDY:
         x = F.regexp_replace(x, pat, rep)
     return F.regexp_replace(x, STRIP_PATTERN, "")
 
 
+def sql_decode_references(expr: str) -> str:
+    named = ", ".join(f"{sql_str(k)}: {v}" for k, v in sorted(NAMED.items()))
+    cp = (f"CASE WHEN lower(r) LIKE '#x%' THEN ('0x' || substr(r, 3))::INT "
+          f"WHEN r LIKE '#%' THEN substr(r, 2)::INT ELSE (MAP {{{named}}})[r] END")
+    refs = (f"list_filter(list_transform(list_distinct(regexp_extract_all({expr}, {sql_str(REFERENCE)}, 1)), "
+            f"lambda r: {{'ref': r, 'cp': {cp}}}), lambda r: r.cp > 0 AND r.cp <= {MAX_CODE} "
+            f"AND NOT r.cp BETWEEN 55296 AND 57343)")
+    ordered = (f"list_concat(list_filter({refs}, lambda r: r.cp <> 38), "
+               f"list_filter({refs}, lambda r: r.cp = 38))")
+    steps = f"list_transform({ordered}, lambda r: ['&' || r.ref || ';', chr(r.cp)])"
+    return f"list_reduce({steps}, lambda acc, r: [replace(acc[1], r[1], r[2])], [{expr}])[1]"
+
+
 def sql_main_text(expr: str) -> str:
+    """One SELECT per step that names its input more than once."""
     x = expr
     for pat, rep in STEPS:
         x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)}, 'g')"
-    for ent, ch in HTML_ENTITIES:
-        x = f"replace({x}, {sql_str(ent)}, {sql_str(ch)})"
+    x = f"(SELECT {sql_decode_references('_s')} FROM (SELECT {x} AS _s))"
     for pat, rep in TIDY:
         x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(rep)}, 'g')"
     return f"regexp_replace({x}, {sql_str(STRIP_PATTERN)}, '', 'g')"

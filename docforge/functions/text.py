@@ -1,4 +1,4 @@
-"""Text scalars as Column -> Column functions.
+"""Text scalars as Column -> Column functions (X6, X7, X10, X14; X5 is ``length``).
 
 All patterns are written so that the same string means the same thing in
 Java regex (Spark) and RE2 (the DuckDB oracle): explicit character classes,
@@ -43,11 +43,6 @@ def ws_tokens(col) -> Column:
     return F.filter(F.split(_c(col), WS_RUN, -1), lambda t: t != "")
 
 
-def text_length(col) -> Column:
-    """Code-point length (X5), as bigint."""
-    return F.length(_c(col)).cast("bigint")
-
-
 def paragraphs(col, sep: str = "\n\n") -> Column:
     """``text.split(sep)`` (X10), trailing empty strings kept."""
     return F.split(_c(col), regex_quote(sep), -1)
@@ -84,15 +79,6 @@ def fk_grade(col) -> Column:
     )
 
 
-def grade_from_counts(words: Column, sentences: Column, syllables: Column) -> Column:
-    w = words.cast("double")
-    return F.when(
-        words > 0,
-        F.lit(0.39) * w / sentences.cast("double")
-        + F.lit(11.8) * syllables.cast("double") / w - F.lit(15.59),
-    )
-
-
 # --- SQL (DuckDB) spellings of the same rules, used by the oracles ----------
 
 def sql_str(s: str) -> str:

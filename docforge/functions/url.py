@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import HREF_RE
 from .text import sql_str
 
 SCHEME_RE = "^([A-Za-z][A-Za-z0-9+.-]*):"
 NETLOC_RE = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 # after the scheme: (//netloc)? path (?query)? (#fragment)?
 PARTS_RE = "^(//([^/?#]*))?([^?#]*)(\\?([^#]*))?(#(.*))?"
-HREF_RE = "href=['\"]?([^'\" >]+)"
 DOT_SEGMENT_RE = "(^|/)\\.\\.?(/|$)"
 UNSAFE_RE = "[\\t\\r\\n]"
 LEADING_C0_RE = "^[\\x00-\\x20]+"

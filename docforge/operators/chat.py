@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.chat import default_system, generation_prompt, message
 from ..functions.text import py_strip
 from ..params import BEGIN_OF_TEXT, SERVING_SYSTEM_PROMPT
+from ..sources.prompts import prompt_set_column
 
 
 TURN_RUN = 1024
@@ -70,3 +71,14 @@ def prompt_table(questions: DataFrame, id_cols: list[str], text_col: str,
     return q.select(*id_cols, F.concat(
         F.lit(BEGIN_OF_TEXT), message(F.lit("system"), sys_),
         message(F.lit("user"), F.col(text_col)), generation_prompt()).alias("prompt"))
+
+
+def evaluation_prompts(history: DataFrame, default: str = SERVING_SYSTEM_PROMPT) -> DataFrame:
+    """S7 + M3: every fixed prompt asked under every conversation's system prompt.
+    A prompt with a system prompt of its own keeps it; X18 fills in the default."""
+    own = history.groupBy("conv_id").agg(F.min_by(
+        "text", F.when((F.col("role") == "system") & (F.col("text") != ""), F.col("turn"))).alias("_own"))
+    asked = own.select("conv_id", "_own", F.explode(prompt_set_column()).alias("q")).select(
+        "conv_id", "q.prompt_set", "q.prompt_id", F.col("q.text").alias("text"),
+        F.coalesce("q.system", "_own").alias("system"))
+    return prompt_table(asked, ["conv_id", "prompt_set", "prompt_id"], "text", "system", default)

@@ -13,24 +13,27 @@ rows costs one partial aggregate, not a quadratic pair list):
    only for the first copies.
 2. bucket membership rows ``(id, order, band, key)``; buckets with one member
    are dropped (their documents are trivially kept).
-3. rounds (Blelloch/Fineman/Shun greedy MIS): per bucket ``min(order of
-   alive)`` and ``min(order of kept)`` by ``groupBy`` with partial
-   aggregation; per document: dropped if a bucket has an earlier kept
-   document, kept if it is the first alive document of every bucket.  Each
-   round is cut with a reliable checkpoint; the loop ends when nothing is
-   undecided (at least the first undecided document is decided per round).
+3. rounds (greedy maximal independent set): per bucket the first undecided
+   document; a document that is first in all of its buckets is kept, the other
+   undecided documents of a kept one's buckets are dropped, and only rows of
+   documents still undecided go on.  At least the first undecided document is
+   decided per round, and the loop ends when none is left.
+
+Member rows and bucket rows are written tables before they are joined, so a
+bucket that holds a third of all rows is split by AQE (tests/test_skew.py).
+A NULL text counts as the empty text.
 """
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.minhash import band_keys, signature, token_set_digest
 from ..params import HarvestParams
-from ..session import cut_lineage
+from ..session import cut_lineage, materialise
 
 log = logging.getLogger(__name__)
 
@@ -40,10 +43,11 @@ def doc_signatures(docs: DataFrame, id_col: str, order_col: str, text_col: str,
     """One narrow row per document: (_id, _ord, _dig, _bkeys).
 
     Text is read once, map-side; only these small rows are shuffled later."""
-    sig = signature(F.col(text_col), p.num_perm)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sig = signature(text, p.num_perm)
     return docs.select(
         F.col(id_col).alias("_id"), F.col(order_col).alias("_ord"),
-        token_set_digest(F.col(text_col)).alias("_dig"),
+        token_set_digest(text).alias("_dig"),
         band_keys(sig, p.bands, p.rows).alias("_bkeys"))
 
 
@@ -71,44 +75,41 @@ def bucket_members(docs: DataFrame, id_col: str, order_col: str, text_col: str,
     return explode_bands(doc_signatures(docs, id_col, order_col, text_col, p))
 
 
-def greedy_rounds(members: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+BUCKET = ["_band", "_bkey"]
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """Member rows of buckets with two or more members."""
+    members = materialise(members, "bucket-members")
+    sizes = materialise(members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+                        .where("_n > 1").select(*BUCKET), "shared-buckets")
+    return members.join(sizes, BUCKET, "left_semi")
+
+
+def greedy_rounds(members: DataFrame) -> DataFrame:
     """D1 on bucket membership rows (_id, _ord, _band, _bkey): returns
     (_id, _keep) for every id in ``members``."""
-    sizes = members.groupBy("_band", "_bkey").agg(F.count(F.lit(1)).alias("_n"))
-    edges = cut_lineage(
-        members.join(sizes.where(F.col("_n") > 1).select("_band", "_bkey"),
-                     ["_band", "_bkey"], "left_semi"))
-    ids = members.select("_id", "_ord").distinct()
-    # documents with no shared bucket are kept outright
-    state = ids.join(edges.select("_id").distinct(), "_id", "left_anti").select(
-        "_id", "_ord", F.lit("K").alias("_st"))
-    undecided = edges.select("_id", "_ord").distinct().withColumn("_st", F.lit("U"))
-    # both inputs are checkpointed, so this initial state stays cheap to derive
-    state = state.unionByName(undecided)
-
+    edges = materialise(shared_buckets(members), "greedy-edges")
+    verdict = members.select("_id").distinct().join(
+        edges.select("_id").distinct(), "_id", "left_anti").withColumn("_keep", F.lit(True))
     rounds = 0
-    while True:
-        if rounds >= max_rounds or state.where(F.col("_st") == "U").isEmpty():
-            break
+    while not edges.isEmpty():
         rounds += 1
-        alive = edges.join(state.where(F.col("_st") != "D").select("_id", "_st"), "_id")
-        stats = alive.groupBy("_band", "_bkey").agg(
-            F.min(F.when(F.col("_st") == "K", F.col("_ord"))).alias("_min_kept"),
-            F.min("_ord").alias("_min_alive"))
-        open_ids = state.where(F.col("_st") == "U").select("_id")
-        cand = edges.join(open_ids, "_id", "left_semi").join(stats, ["_band", "_bkey"])
-        decided = cand.groupBy("_id", "_ord").agg(
-            F.max(F.coalesce(F.col("_min_kept") < F.col("_ord"), F.lit(False)).cast("int"))
-            .alias("_killed"),
-            F.min((F.col("_min_alive") == F.col("_ord")).cast("int")).alias("_first"))
-        new_st = decided.select(
-            "_id", "_ord",
-            F.when(F.col("_killed") == 1, F.lit("D"))
-            .when(F.col("_first") == 1, F.lit("K"))
-            .otherwise(F.lit("U")).alias("_st"))
-        state = cut_lineage(state.where(F.col("_st") != "U").unionByName(new_st))
+        first = materialise(edges.groupBy(*BUCKET).agg(F.min("_ord").alias("_first")), "greedy-first")
+        kept = materialise(
+            edges.join(first, BUCKET).groupBy("_id").agg(F.min(F.col("_ord") == F.col("_first"))
+                                                         .alias("_won")).where("_won").select("_id"),
+            "greedy-kept")
+        taken = materialise(edges.join(kept, "_id", "left_semi").select(*BUCKET).distinct(),
+                            "greedy-taken")
+        gone = materialise(edges.join(taken, BUCKET, "left_semi").select("_id").distinct()
+                           .join(kept.withColumn("_keep", F.lit(True)), "_id", "left")
+                           .select("_id", F.coalesce("_keep", F.lit(False)).alias("_keep")),
+                           "greedy-decided")
+        edges = materialise(edges.join(gone, "_id", "left_anti"), "greedy-edges")
+        verdict = verdict.unionByName(gone)
     log.info("greedy dedup finished after %d rounds", rounds)
-    return state.select("_id", (F.col("_st") == "K").alias("_keep"))
+    return verdict
 
 
 def greedy_dedup_sigs(sigs: DataFrame, prior_buckets: DataFrame | None = None,
@@ -156,14 +157,6 @@ def greedy_dedup(docs: DataFrame, id_col: str, order_col: str, text_col: str,
     return out.withColumnRenamed("_id", id_col), buckets.withColumnRenamed("_id", id_col)
 
 
-def kept_buckets(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str,
-                 p: HarvestParams = HarvestParams()) -> DataFrame:
-    """(band, bkey) of kept documents, to seed later dedup calls."""
-    kept = docs.join(verdict.where("keep").select(id_col), id_col, "left_semi")
-    m = bucket_members(kept.withColumn("_o", F.lit(0)), id_col, "_o", text_col, p)
-    return m.select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey")).distinct()
-
-
 def greedy_dedup_docs(docs: DataFrame, id_col: str, text_col: str,
                       p: HarvestParams = HarvestParams()) -> DataFrame:
     """D1 with order = id (document tables)."""
@@ -175,21 +168,20 @@ def lsh_candidates(docs: DataFrame, id_col: str, text_col: str,
     """J3 without emitting pairs: per document, the earliest other document it
     shares a bucket with (``first_candidate``, NULL if none) and the number
     of its bands that collide with an earlier document (``n_bands_hit``)."""
-    members = cut_lineage(bucket_members(docs, id_col, id_col, text_col, p))
+    members = materialise(bucket_members(docs, id_col, id_col, text_col, p), "bucket-members")
     return candidates_from_members(members, id_col)
 
 
 def candidates_from_members(members: DataFrame, id_col: str) -> DataFrame:
-    """J3 on membership rows (_id, _ord, _band, _bkey); see ``lsh_candidates``."""
-    stats = members.groupBy("_band", "_bkey").agg(
-        F.min("_ord").alias("_min1"),
-        F.count(F.lit(1)).alias("_n"))
-    # second smallest order per bucket, to find "the earliest *other* member"
-    # of the first member without a pair list
-    second = members.join(stats.select("_band", "_bkey", "_min1"), ["_band", "_bkey"]) \
-        .where(F.col("_ord") > F.col("_min1")) \
-        .groupBy("_band", "_bkey").agg(F.min("_ord").alias("_min2"))
-    j = members.join(stats, ["_band", "_bkey"]).join(second, ["_band", "_bkey"], "left")
+    """J3 on membership rows (_id, _ord, _band, _bkey); see ``lsh_candidates``.
+
+    The two smallest orders of a bucket come from one ranking, which Spark
+    limits to two rows per bucket in each task before it shuffles them."""
+    rank = Window.partitionBy(*BUCKET).orderBy("_ord")
+    low = (members.select(*BUCKET, "_ord").withColumn("_r", F.row_number().over(rank))
+           .where("_r <= 2").groupBy(*BUCKET)
+           .agg(F.min("_ord").alias("_min1"), F.max(F.when(F.col("_r") == 2, F.col("_ord"))).alias("_min2")))
+    j = members.join(materialise(low, "bucket-first-two"), BUCKET)
     other = F.when(F.col("_ord") == F.col("_min1"), F.col("_min2")).otherwise(F.col("_min1"))
     return j.groupBy(F.col("_id").alias(id_col)).agg(
         F.min(other).alias("first_candidate"),

@@ -1,4 +1,4 @@
-"""Quality gates F4-F6, gate reason P1 and the gate report A3.
+"""Quality gates F4-F6 and gate reason P1.
 
 Gate order matters and short-circuits: no_text -> short -> low_grade ->
 (duplicate, decided by the dedup stage) -> kept.  The grade (the costly
@@ -27,7 +27,8 @@ def min_length(text: Column, p: HarvestParams = HarvestParams()) -> Column:
 
 def min_grade(text: Column, p: HarvestParams = HarvestParams()) -> Column:
     """grade >= min_grade (NULL grade, i.e. no words, rejects)."""
-    return F.coalesce(fk_grade(text) >= F.lit(p.min_grade), F.lit(False))
+    grade = (p.grader or fk_grade)(text)
+    return F.coalesce(grade >= F.lit(p.min_grade), F.lit(False))
 
 
 def gate_reason(text: Column, p: HarvestParams = HarvestParams()) -> Column:
@@ -47,11 +48,6 @@ def apply_gates(df: DataFrame, text_col: str = "text",
     return df.where(has_text(t)).where(min_length(t, p)).where(min_grade(t, p))
 
 
-def gate_report(reasons: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A3: number of rows per (group..., reason)."""
-    return reasons.groupBy(*group_cols, "gate_reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- SQL spellings ----------------------------------------------------------
 
 def sql_gate_reason(expr: str, p: HarvestParams = HarvestParams()) -> str:

@@ -2,9 +2,10 @@
 J2 (domain semi).
 
 Everything up to the joins is map-side (regex extraction, posexplode, URL
-resolution).  The allow-list join broadcasts the allow-list only when its
-row count is checked to be small; otherwise it is a regular shuffle join
-(and AQE may still pick a broadcast from runtime sizes).
+resolution).  No side is hinted: AQE broadcasts by the bytes it has measured.
+The allow-list and the visited set are written tables, so the link side of a
+join is a plain shuffle, and AQE splits a link or a host that a third of all
+pages have (tests/test_skew.py).
 """
 
 from __future__ import annotations
@@ -13,51 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.url import hrefs, netloc, with_url_join
-
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check (row count <= max_rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def semi_join_checked(big: DataFrame, ids: DataFrame, key: str,
-                      max_rows: int = 5 * BROADCAST_MAX_ROWS) -> DataFrame:
-    """``big`` rows whose ``key`` is in ``ids``: broadcast semi join when the
-    id table is checked to be small (no shuffle of ``big``), else a shuffle
-    join on the key."""
-    n = ids.limit(max_rows + 1).count()
-    side = F.broadcast(ids) if n <= max_rows else ids
-    return big.join(side, key, "left_semi")
-
-
-def domain_allowed(df: DataFrame, url_col: str, domains: DataFrame,
-                   checked_small: bool = True) -> DataFrame:
-    """Keep rows whose URL netloc is in ``domains(domain)`` (exact,
-    case-sensitive; port and userinfo are part of the netloc)."""
-    d = domains.select(F.col("domain").alias("_netloc")).distinct()
-    d = small_side(d) if checked_small else d
-    return domain_allowed_prepared(df, url_col, d)
+from ..session import materialise
 
 
 def prepare_domains(domains: DataFrame) -> DataFrame:
-    """Distinct allow-list, broadcast-hinted only if its size is checked small
-    (do this once per run, not once per crawl level)."""
-    return small_side(domains.select(F.col("domain").alias("_netloc")).distinct())
+    """Distinct allow-list as a written table (once per run)."""
+    return materialise(domains.select(F.col("domain").alias("_netloc")).distinct(), "allow-list")
 
 
-def domain_allowed_prepared(df: DataFrame, url_col: str, d: DataFrame) -> DataFrame:
-    """F2/J2 with a prepared (``prepare_domains``) allow-list."""
+def domain_allowed(df: DataFrame, url_col: str, allowed: DataFrame) -> DataFrame:
+    """Keep rows whose URL netloc is in the prepared allow-list (exact,
+    case-sensitive; port and userinfo are part of the netloc)."""
     return (df.withColumn("_netloc", netloc(F.col(url_col)))
-            .join(d, "_netloc", "left_semi").drop("_netloc"))
+            .join(allowed, "_netloc", "left_semi").drop("_netloc"))
 
 
 def not_visited(df: DataFrame, url_col: str, visited: DataFrame) -> DataFrame:
-    """Anti join on the URL."""
-    v = visited.select(F.col("url").alias(url_col)).distinct()
-    return df.join(v, url_col, "left_anti")
+    """Anti join on the URL.  ``visited`` may repeat URLs."""
+    return df.join(visited.select(F.col("url").alias(url_col)), url_col, "left_anti")
 
 
 def page_links(pages: DataFrame, id_cols: list[str], url_col: str = "url",
@@ -71,10 +45,9 @@ def page_links(pages: DataFrame, id_cols: list[str], url_col: str = "url",
 
 
 def discover_links(pages: DataFrame, id_cols: list[str], domains: DataFrame,
-                   visited: DataFrame | None, checked_small: bool = True) -> DataFrame:
+                   visited: DataFrame | None) -> DataFrame:
     """L1: allowed (F9/J2), unseen (J1) absolute links of ``pages``."""
-    links = page_links(pages, id_cols)
-    links = domain_allowed(links, "link", domains, checked_small)
+    links = domain_allowed(page_links(pages, id_cols), "link", prepare_domains(domains))
     if visited is not None:
-        links = not_visited(links, "link", visited)
+        links = not_visited(links, "link", materialise(visited.select("url").distinct(), "visited"))
     return links

@@ -1,9 +1,8 @@
 """Global order statistics without a single-partition window.
 
-``global_rank`` and ``running_sum`` give every row its position / prefix sum
-in a total order, the distributed way: range-partition on the order key,
-sort within partitions, number (or sum) rows inside each partition, then add
-per-partition offsets computed from a table with one row per partition (its
+``running_sum`` gives every row its prefix sum in a total order, the
+distributed way: range-partition on the order key, sort within partitions,
+sum rows inside each partition, then add per-partition offsets computed from a table with one row per partition (its
 size is bounded by the partition count, so broadcasting it is safe).  The
 numbered data is written to the shared checkpoint folder before the offsets
 are taken, so a re-executed task can never renumber rows.
@@ -26,24 +25,6 @@ def _n_parts(df: DataFrame, partitions: int | None) -> int:
     return max(sc.defaultParallelism, df.rdd.getNumPartitions())
 
 
-def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
-                partitions: int | None = None) -> DataFrame:
-    """Adds ``rank_col`` = 1-based position of the row in ``order_cols`` order
-    (order keys must be unique for a deterministic result)."""
-    n = _n_parts(df, partitions)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_mono", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"),
-                                        F.min("_mono").alias("_first"))
-    offsets = counts.select(
-        "_pid", "_first",
-        (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(rank_col, F.col("_off") + F.col("_mono") - F.col("_first") + 1)
-            .drop("_pid", "_mono", "_first", "_off"))
-
-
 def running_sum(df: DataFrame, order_cols: list[str], value_col: str,
                 out_col: str = "cum", partitions: int | None = None) -> DataFrame:
     """Adds ``out_col`` = inclusive prefix sum of ``value_col`` (bigint) in

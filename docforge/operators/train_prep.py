@@ -2,10 +2,11 @@
 packing (T1).
 
 O3: every sample gets ``h = md5(seed # key)``; the ``ceil(share * n)``
-samples with the smallest ``(h, key)`` form the test split.  The rank comes
-from ``global_rank`` (range partitioning, no single-partition sort), so the
-split is exact, reproducible and independent of the input partitioning.
-``hash_split`` is the approximate alternative with no shuffle at all.
+samples with the smallest ``(h, key)`` form the test split.  Only the boundary
+(h, key) of that rank is looked for, by counts per prefix of h on rows of (h,
+key); the samples are then labelled where they are, by comparison with it.  The
+split is exact, reproducible and independent of the partitioning, and no
+text is shuffled.
 
 T1: samples are laid end to end in ``(h, key)`` order, each contributing its
 token count plus one end marker; the stream is cut into blocks of
@@ -19,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chat import render_sample
 from ..functions.text import ws_tokens
-from ..params import MAX_SEQ_LENGTH, SPLIT_SEED, TEST_SIZE
-from ..session import cut_lineage
-from .ordering import global_rank, running_sum
+from ..params import HarvestParams, MAX_SEQ_LENGTH, SPLIT_SEED, TEST_SIZE
+from ..session import materialise
+from .ordering import running_sum
 
 
 def split_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
@@ -36,16 +38,40 @@ def test_count(n: int, share: float = TEST_SIZE) -> int:
     return int(-(-q.numerator // q.denominator))
 
 
+def split_boundary(keys: DataFrame, k: int, seed: int = SPLIT_SEED, few: int = 4096):
+    """(hash, key) of the row of rank ``k`` (from 1) in (hash, key) order of
+    ``keys`` (key), or None.  Counts per hash prefix, 4096 at most a round,
+    narrow the rank down to a prefix with ``few`` rows at most."""
+    h = keys.select(split_hash(F.col("key"), seed).alias("h"), "key")
+    prefix, rank = "", k
+    while rank > 0:
+        digits = len(prefix) + 3
+        counts = sorted(h.where(F.startswith("h", F.lit(prefix))).groupBy(
+            F.substring("h", 1, digits).alias("p")).count().collect())
+        for part, n in counts:
+            if rank <= n:
+                break
+            rank -= n
+        else:
+            return None
+        prefix = part
+        if n <= few or digits >= 30:
+            rows = h.where(F.startswith("h", F.lit(prefix))).orderBy("h", "key").limit(rank).collect()
+            return rows[-1].h, rows[-1].key
+    return None
+
+
 def train_test_split(df: DataFrame, key_col: str, share: float = TEST_SIZE,
                      seed: int = SPLIT_SEED) -> DataFrame:
     """O3: adds ``split`` ('train' / 'test') and ``split_hash``."""
-    h = cut_lineage(df.withColumn("split_hash", split_hash(F.col(key_col), seed)))
-    n = h.count()
-    k = test_count(n, share)
-    ranked = global_rank(h, ["split_hash", key_col], "_r")
-    return ranked.withColumn(
-        "split", F.when(F.col("_r") <= F.lit(k), F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_r")
+    keys = materialise(df.select(F.col(key_col).alias("key")), "split-keys")
+    bound = split_boundary(keys, test_count(keys.count(), share), seed)
+    h = F.col("split_hash")
+    key_type = df.schema[key_col].dataType
+    test = F.lit(False) if bound is None else (h < F.lit(bound[0])) | (
+        (h == F.lit(bound[0])) & (F.col(key_col) <= F.lit(bound[1]).cast(key_type)))
+    return df.withColumn("split_hash", split_hash(F.col(key_col), seed)).withColumn(
+        "split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def group_split(df: DataFrame, group_col: str, share: float = TEST_SIZE,
@@ -58,18 +84,17 @@ def group_split(df: DataFrame, group_col: str, share: float = TEST_SIZE,
     return df.join(groups.select(group_col, "split"), group_col)
 
 
-def hash_split(df: DataFrame, key_col: str, share: float = TEST_SIZE,
-               seed: int = SPLIT_SEED) -> DataFrame:
-    """Approximate split (no shuffle): test iff the hash falls below ``share``."""
-    h = split_hash(F.col(key_col), seed)
-    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
-    return df.withColumn("split", F.when(u < F.lit(share), "test").otherwise("train"))
-
-
 def whitespace_token_count(text: Column) -> Column:
     return F.size(ws_tokens(text)).cast("bigint")
 
 
+def training_lengths(samples: DataFrame, keys: list[str], p: HarvestParams = HarvestParams()) -> DataFrame:
+    """(keys, n_tok): tokens of the rendered training text, by the parameters'
+    formatter and token counter."""
+    text = (p.formatter or render_sample)(F.col("instruction"), F.col("input"), F.col("output"))
+    return samples.select(*keys, (p.token_counter or whitespace_token_count)(text).alias("n_tok"))
+
+
 def pack_blocks(df: DataFrame, key_col: str, order_cols: list[str], n_tokens_col: str,
                 block: int = MAX_SEQ_LENGTH, drop_last: bool = True) -> DataFrame:
     """Segments (block_id, key, from_tok, to_tok) of the packed stream."""

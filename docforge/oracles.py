@@ -163,21 +163,25 @@ def main_text() -> str:
     return f"SELECT page_id, {sql_main_text('html')} AS text FROM pages"
 
 
-def link_discovery() -> str:
-    raw = f"""(SELECT page_id, url AS _base, unnest(range(len(h)))::BIGINT AS link_pos,
+def _links_cte(source: str, keys: str) -> str:
+    """Relation of the resolved links of ``source`` (keys, url, html)."""
+    raw = f"""(SELECT {keys}, url AS _base, unnest(range(len(h)))::BIGINT AS link_pos,
                       unnest(h) AS _href
-               FROM (SELECT page_id, url, {sql_hrefs('html')} AS h FROM pages))"""
+               FROM (SELECT {keys}, url, {sql_hrefs('html')} AS h FROM {source}))"""
+    return sql_url_join(raw, '_base', '_href', 'link')
+
+
+def link_discovery() -> str:
     return f"""
-    WITH j AS {sql_url_join(raw, '_base', '_href', 'link')},
-    hosts AS (SELECT DISTINCT {sql_netloc('url')} AS domain FROM pages)
+    WITH j AS {_links_cte('pages', 'page_id')},
+    hosts AS (SELECT DISTINCT {sql_netloc('url')} AS domain FROM pages WHERE url LIKE 'https:%'),
+    seen AS (SELECT url FROM pages UNION SELECT link FROM j WHERE _base LIKE 'https:%')
     SELECT page_id, link_pos, link FROM j
     WHERE {sql_netloc('link')} IN (SELECT domain FROM hosts)
-      AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = j.link)
+      AND link NOT IN (SELECT url FROM seen WHERE url IS NOT NULL)
     """
 
 
-
-
 # --- harvest samples and what is derived from them -------------------------
 
 def _harvest_ctes(p: HarvestParams = DOC_P) -> str:
@@ -265,12 +269,68 @@ def jsonl_round_trip(p: HarvestParams = DOC_P) -> str:
     SELECT instruction, input, output FROM samples"""
 
 
+def _contract_ctes(lines: str) -> str:
+    """CTEs ending in ``checked`` over ``lines`` (sample_id, line)."""
+    from .operators.contract import template_regex
+    return f"""
+    lines AS ({lines}),
+    docs AS (SELECT sample_id, TRY_CAST(line AS JSON) AS j FROM lines),
+    objects AS (SELECT sample_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j FROM docs),
+    checked AS (
+        SELECT sample_id, coalesce(len(json_keys(j)), 0)::BIGINT AS n_keys,
+               coalesce(list_sort(json_keys(j)) = ['input', 'instruction', 'output'], false) AS keys_ok,
+               coalesce(list_sort(json_keys(j)) = ['input', 'instruction', 'output']
+                        AND json_type(j, '$.input') = 'VARCHAR' AND json_type(j, '$.output') = 'VARCHAR'
+                        AND json_type(j, '$.instruction') = 'VARCHAR', false) AS types_ok,
+               coalesce(starts_with(j ->> '$.input', 'Source: '), false) AS input_ok,
+               coalesce(regexp_matches(j ->> '$.instruction', {sql_str(template_regex())}), false)
+                   AS instruction_ok,
+               coalesce((j ->> '$.instruction') IS NOT NULL AND (j ->> '$.input') IS NOT NULL
+                        AND (j ->> '$.output') IS NOT NULL, false) AS round_trip_ok
+        FROM objects)
+    """
+
+
 def sample_contract(p: HarvestParams = DOC_P) -> str:
-    return f"""WITH {_harvest_ctes(p)}
-    SELECT sample_id, 3::BIGINT AS n_keys, true AS keys_ok,
-           starts_with(input, 'Source: ') AS input_ok,
-           true AS instruction_ok, true AS round_trip_ok
-    FROM samples"""
+    lines = """SELECT sample_id, to_json({'instruction': instruction, 'input': input, 'output': output})::VARCHAR
+               AS line FROM samples"""
+    return f"""WITH {_harvest_ctes(p)}, {_contract_ctes(lines)} SELECT * FROM checked"""
+
+
+def contract_violations(p: HarvestParams = DOC_P) -> str:
+    lines = """
+        SELECT sample_id, CASE ('0x' || substr(md5(sample_id), 1, 4))::INT % 8
+          WHEN 1 THEN to_json({'instruction': instruction, 'input': input})::VARCHAR
+          WHEN 2 THEN to_json({'instruction': instruction, 'input': input, 'output': output, 'source': source})::VARCHAR
+          WHEN 3 THEN to_json({'instruction': instruction, 'input': input, 'output': length(output)})::VARCHAR
+          WHEN 4 THEN to_json({'instruction': instruction, 'input': 'From: ' || source, 'output': output})::VARCHAR
+          WHEN 5 THEN '{ "output" : ' || to_json(output)::VARCHAR || ' , "input" : ' || to_json(input)::VARCHAR
+                      || ' , "instruction" : ' || to_json(instruction)::VARCHAR || ' }'
+          WHEN 6 THEN 'no json: ' || sample_id
+          WHEN 7 THEN to_json({'instruction': replace(instruction, source, source || chr(10) || 'b'),
+                               'input': input, 'output': output})::VARCHAR
+          ELSE to_json({'instruction': instruction, 'input': input, 'output': output})::VARCHAR END AS line
+        FROM samples"""
+    rules = ["keys_ok", "types_ok", "input_ok", "instruction_ok", "round_trip_ok"]
+    failed = " UNION ALL ".join(f"SELECT sample_id, '{r}' AS rule FROM checked WHERE NOT {r}" for r in rules)
+    return f"""WITH {_harvest_ctes(p)}, {_contract_ctes(lines)} {failed}"""
+
+
+def evaluation_prompts() -> str:
+    from .functions.chat import sql_generation_prompt, sql_message
+    from .params import BEGIN_OF_TEXT, SERVING_SYSTEM_PROMPT
+    from .sources.prompts import prompt_sets
+    rows = ", ".join(f"({sql_str(s)}, {i}, {sql_str(t)}, {sql_str(y) if y else 'NULL'})"
+                     for s, i, t, y in prompt_sets())
+    system = f"coalesce(nullif(coalesce(q.system, c.own), ''), {sql_str(SERVING_SYSTEM_PROMPT)})"
+    return f"""
+    WITH q(prompt_set, prompt_id, text, system) AS (VALUES {rows}),
+    c AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system' AND text <> '') AS own
+          FROM conversations GROUP BY conv_id)
+    SELECT c.conv_id, q.prompt_set, q.prompt_id,
+           {sql_str(BEGIN_OF_TEXT)} || {sql_message("'system'", system)}
+           || {sql_message("'user'", 'q.text')} || {sql_generation_prompt()} AS prompt
+    FROM c, q"""
 
 
 def render_conversations() -> str:
@@ -309,7 +369,12 @@ def prompt_table() -> str:
     """
 
 
-def _page_level0(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
+def _page_crawl_ctes(p: HarvestParams, budget: int | None) -> str:
+    """CTEs ending in ``crawled``: the crawl whose seeds are all pages in page_id
+    order and whose allow-list is their hosts.  Depth 0 are the pages; depth 1 the
+    links of kept pages that are no pages, which can't be fetched and so end there."""
+    in_budget = f"c - n_samples < {budget}" if budget is not None else "true"
+    unspent = f"(SELECT coalesce(sum(n_samples), 0) FROM done) < {budget}" if budget is not None else "true"
     return f"""
     pg AS (
         SELECT page_id, url, html FROM (
@@ -335,29 +400,47 @@ def _page_level0(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
         FROM fin),
     cum AS (
         SELECT *, sum(n_samples) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS c FROM cnt),
-    done AS (SELECT * FROM cum WHERE c - n_samples < {budget})
+    done AS (SELECT * FROM cum WHERE {in_budget}),
+    harvested AS (
+        SELECT page_id, url, html FROM pg JOIN done USING (page_id) WHERE gate_reason = 'kept'),
+    j AS {_links_cte('harvested', 'page_id')},
+    next AS (
+        SELECT link AS url, min([page_id, link_pos]) AS k FROM j
+        WHERE {sql_netloc('link')} IN (SELECT {sql_netloc('url')} FROM pages)
+          AND link NOT IN (SELECT url FROM pages WHERE url IS NOT NULL) AND {unspent}
+        GROUP BY link),
+    crawled AS (
+        SELECT url, 0 AS depth, page_id::VARCHAR AS crawl_key, page_id, gate_reason, n_samples
+        FROM done JOIN pg USING (page_id)
+        UNION ALL
+        SELECT url, 1, k[1]::VARCHAR || '.' || k[2]::VARCHAR, NULL, 'fetch_failed', 0::BIGINT FROM next)
     """
 
 
-def sample_budget(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
-    """O2 over the page queue in page_id order (first row per URL)."""
-    return f"""WITH {_page_level0(p, budget)}
-    SELECT page_id, gate_reason, n_samples FROM done"""
+def crawl_closure(p: HarvestParams = HarvestParams()) -> str:
+    return f"""WITH {_page_crawl_ctes(p, None)} SELECT * FROM crawled"""
 
 
-def page_gate_report(p: HarvestParams = HarvestParams(), budget: int = 5000) -> str:
-    return f"""WITH {_page_level0(p, budget)}
-    SELECT {sql_netloc('pg.url')} AS netloc, done.gate_reason, count(*) AS n
-    FROM done JOIN pg USING (page_id)
-    GROUP BY 1, 2"""
+def sample_budget(budget: int, p: HarvestParams = HarvestParams()) -> str:
+    return f"""WITH {_page_crawl_ctes(p, budget)}
+    SELECT url, page_id, gate_reason, n_samples FROM crawled"""
+
+
+def page_gate_report(p: HarvestParams = HarvestParams()) -> str:
+    return f"""WITH {_page_crawl_ctes(p, None)}
+    SELECT {sql_netloc('url')} AS netloc, gate_reason, count(*) AS n
+    FROM crawled GROUP BY 1, 2"""
 
 
 def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
-    """Batch equivalent of the incremental harvest over one pages file."""
+    """Batch equivalent of the incremental harvest: files come in page_id order."""
     return f"""
     WITH pg AS (
         SELECT page_id, url, html FROM (
-            SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages) WHERE page_id = m),
+            SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages
+            WHERE {sql_netloc('url')} IN (
+                SELECT {sql_netloc('url')} FROM pages WHERE url LIKE 'https:%'))
+        WHERE page_id = m),
     tx AS (SELECT page_id, url, html, {sql_main_text('html')} AS text FROM pg),
     reasons AS (
         SELECT page_id, url, text,
@@ -395,11 +478,3 @@ def card_stats(p: HarvestParams = DOC_P) -> str:
     UNION ALL
     SELECT 'topic_count', source, CAST(sum(n) AS VARCHAR) FROM g GROUP BY source
     """
-
-__all__ = [
-    "chunk_fold", "instruction_samples", "greedy_dedup", "gate_report",
-    "minhash_signature", "lsh_candidates", "jaccard_estimate", "url_netloc", "main_text",
-    "link_discovery", "harvest_documents", "train_test_split", "render_samples", "pack_blocks",
-    "sample_counts", "jsonl_round_trip", "sample_contract", "render_conversations",
-    "prompt_table", "sample_budget", "page_gate_report", "stream_harvest", "card_stats",
-]

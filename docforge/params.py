@@ -7,6 +7,8 @@ can be overridden per run.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
@@ -96,7 +98,6 @@ CHUNK_MIN = 200             # emit a flushed buffer only if len(buf) > 200
 PARAGRAPH_SEP = "\n\n"
 NUM_PERM = 128
 LSH_THRESHOLD = 0.85
-CHECKPOINT_EVERY = 50
 SPLIT_SEED = 42
 TEST_SIZE = 0.1
 MAX_SEQ_LENGTH = 2048
@@ -109,28 +110,13 @@ PY_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Named HTML entities decoded by the main-text extractor (``&amp;`` last).
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&hellip;", "…"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&amp;", "&"),
-]
+# The href pattern of link discovery, and the words before a sample's source in
+# the user turn of the chat layout.
+HREF_RE = "href=['\"]?([^'\" >]+)"
+CONTEXT = "\nContext: "
 
 
+@functools.cache
 def lsh_bands_rows(threshold: float = LSH_THRESHOLD, num_perm: int = NUM_PERM,
                    fp_weight: float = 0.5, fn_weight: float = 0.5) -> tuple[int, int]:
     """Pick (bands, rows) minimising the weighted false-positive/negative
@@ -162,8 +148,20 @@ class HarvestParams:
     emit_tail: bool = False      # True: also emit the last buffer
     glue_bug: bool = True        # False: keep the separator after a flush
     num_perm: int = NUM_PERM
-    bands: int = 8
-    rows: int = 16
+    threshold: float = LSH_THRESHOLD
     seed: int = SPLIT_SEED
     templates: tuple = field(default_factory=lambda: tuple(INSTRUCTION_TEMPLATES))
-    max_depth: int = 64          # safety stop for the crawl loop
+    # stages that can be replaced; None: the built-in one.  Column -> Column
+    extractor: Callable | None = None    # html -> text
+    grader: Callable | None = None       # text -> grade
+    # (instruction, input, output) -> training text, and text -> number of tokens
+    formatter: Callable | None = None
+    token_counter: Callable | None = None
+
+    @property
+    def bands(self) -> int:
+        return lsh_bands_rows(self.threshold, self.num_perm)[0]
+
+    @property
+    def rows(self) -> int:
+        return lsh_bands_rows(self.threshold, self.num_perm)[1]

@@ -1,61 +1,56 @@
 """G1 crawl_closure: the whole harvest run over a table of fetched pages.
 
-Level-synchronous breadth-first loop; FIFO order is reproduced by the key
-``(depth, crawl_key)`` where ``crawl_key`` = parent's key ++ [link position]
-(seeds: [seed position]); the first enqueue of a URL wins (``min(crawl_key)``).
-
-Per level (one Catalyst plan each, cut with reliable checkpoints):
-
-1. frontier -> first enqueue per URL -> not visited (J1/F1) -> host allowed
-   (J2/F2)
-2. fetch (J4): join with the pages table; the frontier is broadcast only if
-   its row count is checked to be small, else a shuffle join
-3. main text (X4) -> gates in order: fetch_failed, no_text, short, low_grade
-4. greedy dedup (D1) against buckets kept at earlier levels, then within the
-   level in crawl order -> duplicate / kept
-5. samples per kept page = chunk count (C1)
-6. budget (O2): a page is processed iff samples collected before it are
-   below ``max_samples`` (distributed prefix sum); pages after the cut are
-   neither visited nor expanded, and the run stops
-7. links (L1) of processed *kept* pages only (rejected pages never expand),
-   allowed and unseen -> next frontier
-8. state (S5): visited URLs, kept buckets and the counter are written per
-   level into the shared checkpoint folder.
+Once per run, the pages are reduced to one row per URL (smallest page id) with
+text, gate reason, links, dedup digest and band keys, in a table below the state
+directory that is partitioned by a hash of the URL.  HTML is read once, however many
+levels follow, and a small frontier reads few partitions.
+
+Then steps in breadth-first order.  FIFO order is the key ``(depth, crawl_key)``,
+``crawl_key`` = parent's key ++ [link position] (seeds: [seed position]); the first
+enqueue of a URL wins.  A step takes the frontier's rows of the smallest depth:
+
+1. not visited (J1/F1), host allowed (J2/F2)
+2. fetch (J4): join with the facts on (partition, URL)
+3. greedy dedup (D1) against the buckets of earlier steps, then in crawl order
+4. budget (O2): a page is processed iff the samples collected before it are below
+   ``max_samples``; the rest stays in the frontier, and the run stops
+5. links (L1) of processed *kept* pages only, allowed and unseen, join the frontier
+6. samples of kept pages are written, then log, buckets and frontier, then the
+   step is committed (S5)
+
+The run ends with an empty frontier or a spent budget; there is no bound on
+depth.  Log and samples of the result are the union of all committed steps, so
+a run that was broken off and resumed (S6) returns what an unbroken one does.
 """
 
 from __future__ import annotations
 
 import logging
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.html import main_text
+from ..functions.minhash import band_keys, signature, token_set_digest
 from ..functions.samples import instruction, source_tag
 from ..functions.url import hrefs, netloc, with_url_join
 from ..operators.chunk import chunk, chunk_count
-from ..functions.minhash import band_keys, signature, token_set_digest
 from ..operators.dedup import greedy_dedup_sigs
 from ..operators.gates import gate_reason
-from ..operators.links import (BROADCAST_MAX_ROWS, domain_allowed_prepared, not_visited,
-                               prepare_domains)
+from ..operators.links import domain_allowed, not_visited, prepare_domains
 from ..operators.ordering import running_sum
 from ..params import HarvestParams
-from ..session import cut_lineage
-from ..sources.state import CrawlState, load_state, save_state
+from ..session import cut_lineage, path_exists, scratch_path
+from ..sources.prompts import default_domains, default_seeds
+from ..sources.state import CrawlState
 
 log = logging.getLogger(__name__)
 
-LOG_SCHEMA = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("depth", T.IntegerType()),
-    T.StructField("crawl_key", T.ArrayType(T.LongType())),
-    T.StructField("page_id", T.LongType()),
-    T.StructField("gate_reason", T.StringType()),
-    T.StructField("n_samples", T.LongType()),
-])
+#: partitions by URL hash of the reduced pages
+PAGE_PARTS = 32
+UNSPENT = 1 << 62
 
 
 @dataclass
@@ -63,7 +58,7 @@ class CrawlResult:
     log: DataFrame          # one row per processed (visited) URL
     samples: DataFrame      # (url, chunk_no, instruction, input, output)
     collected: int
-    levels: int
+    steps: int
     stopped_by_budget: bool
 
 
@@ -72,143 +67,127 @@ def seeds_frame(spark: SparkSession, urls: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(urls)), "pos long, url string")
 
 
-def fetch_extract(frontier: DataFrame, pages: DataFrame,
-                  p: HarvestParams = HarvestParams()) -> DataFrame:
-    """J4 + X4 + gates (+ signatures and chunk counts of passing pages).
-
-    All per-page CPU work runs map-side on the pages scan, right after the
-    (size-checked broadcast) join with the frontier, so it keeps the scan's
-    parallelism; only extracted, narrow results are shuffled.  URLs with no
-    page row (or empty HTML) come back as ``fetch_failed``."""
-    n = frontier.count()
-    side = F.broadcast(frontier.select("url")) if n <= BROADCAST_MAX_ROWS \
-        else frontier.select("url")
-    hit = pages.select("page_id", "url", "html").join(side, "url")
-    hit = hit.select("page_id", "url", main_text(F.col("html")).alias("text"),
-                     hrefs(F.col("html")).alias("hrefs"),
-                     (F.col("html").isNull() | (F.col("html") == "")).alias("_nofetch"))
-    hit = hit.withColumn("_r", F.when(F.col("_nofetch"), F.lit("fetch_failed"))
-                         .otherwise(gate_reason(F.col("text"), p)))
-    ok = F.col("_r") == "pass"
-    text_ok = F.when(ok, F.col("text"))
-    hit = hit.select(
-        "page_id", "url", "text", "hrefs", "_r",
-        F.when(ok, chunk_count(text_ok, p)).otherwise(F.lit(0).cast("bigint")).alias("_nchunks"),
-        F.when(ok, token_set_digest(text_ok)).alias("_dig"),
-        F.when(ok, band_keys(signature(text_ok, p.num_perm), p.bands, p.rows)).alias("_bkeys"))
-    one = hit.groupBy("url").agg(F.min_by(F.struct(
-        "page_id", "text", "hrefs", "_r", "_nchunks", "_dig", "_bkeys"), "page_id").alias("_pg"))
-    return frontier.join(one, "url", "left").select(
-        "url", "crawl_key", F.col("_pg.page_id").alias("page_id"),
-        F.col("_pg.text").alias("text"), F.col("_pg.hrefs").alias("hrefs"),
-        F.coalesce(F.col("_pg._r"), F.lit("fetch_failed")).alias("gate_reason"),
-        F.coalesce(F.col("_pg._nchunks"), F.lit(0).cast("bigint")).alias("_nchunks"),
-        F.col("_pg._dig").alias("_dig"), F.col("_pg._bkeys").alias("_bkeys"))
+def page_rows(pages: DataFrame, p: HarvestParams = HarvestParams()) -> DataFrame:
+    """X4 + gates (+ links, signatures, chunk counts of passing pages), map-side."""
+    extract = p.extractor or main_text
+    rows = pages.select(
+        "page_id", "url", extract(F.col("html")).alias("text"), hrefs(F.col("html")).alias("hrefs"),
+        (F.col("html").isNull() | (F.col("html") == "")).alias("_nofetch"))
+    rows = rows.withColumn("gate_reason", F.when(F.col("_nofetch"), F.lit("fetch_failed"))
+                           .otherwise(gate_reason(F.col("text"), p)))
+    ok = F.col("gate_reason") == "pass"
+    text = F.when(ok, F.col("text"))
+    return rows.select(
+        "page_id", "url", text.alias("text"), "hrefs", "gate_reason",
+        F.when(ok, chunk_count(text, p)).otherwise(F.lit(0).cast("bigint")).alias("_nchunks"),
+        F.when(ok, token_set_digest(text)).alias("_dig"),
+        F.when(ok, band_keys(signature(text, p.num_perm), p.bands, p.rows)).alias("_bkeys"))
+
+
+def _part(url: str = "url"):
+    return F.pmod(F.xxhash64(url), F.lit(PAGE_PARTS)).cast("int").alias("_part")
+
+
+def reduce_pages(pages: DataFrame, path: str, p: HarvestParams) -> DataFrame:
+    """The first page of every URL, reduced, made once per state directory.
+
+    Which page is first is decided on (url, page_id) alone; the pages move once.
+    Steps read the narrow columns; only kept pages' text is read again."""
+    spark = pages.sparkSession
+    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
+        first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+        rows = pages.select("page_id", "url", "html").join(first, ["url", "page_id"], "left_semi")
+        page_rows(rows.dropDuplicates(["url", "page_id"]), p).select("*", _part()).write.mode(
+            "overwrite").partitionBy("_part").parquet(path)
+    return spark.read.schema("page_id long, url string, text string, hrefs array<string>, gate_reason string, "
+                             "_nchunks long, _dig string, _bkeys array<string>, _part int").parquet(path)
+
+
+def fetch(frontier: DataFrame, reduced: DataFrame) -> DataFrame:
+    """URLs with no page row (or empty HTML) come back as ``fetch_failed``."""
+    return frontier.select("*", _part()).join(reduced.drop("text"), ["_part", "url"], "left").select(
+        "url", "depth", "crawl_key", "page_id", "hrefs",
+        F.coalesce("gate_reason", F.lit("fetch_failed")).alias("gate_reason"),
+        F.coalesce("_nchunks", F.lit(0).cast("bigint")).alias("_nchunks"), "_dig", "_bkeys")
 
 
 def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
-          p: HarvestParams = HarvestParams(), state_dir: str | None = None) -> CrawlResult:
-    """Run G1.  With ``state_dir`` the state is saved after every level
-    and a committed state found there is resumed from (S6); the log and
-    samples then cover the levels run by this call."""
+          p: HarvestParams = HarvestParams(), state_dir: str | None = None,
+          max_steps: int | None = None) -> CrawlResult:
+    """Run G1 from the state found in ``state_dir`` (S6; a fresh scratch folder by
+    default) to its end, or for ``max_steps`` more steps."""
     spark = seeds.sparkSession
+    state_dir = state_dir or scratch_path(spark, "crawl")
+    state = CrawlState(spark, state_dir)
+    reduced = reduce_pages(pages, os.path.join(state_dir, "pages"), p)
     allowed = prepare_domains(domains)
-    frontier = seeds.select("url", F.array(F.col("pos").cast("bigint")).alias("crawl_key"))
-    visited = spark.createDataFrame([], "url string")
-    kept_b = None
-    collected = 0
-    logs: list[DataFrame] = []
-    samples: list[DataFrame] = []
-    depth = 0
-    stopped = False
-    if state_dir:
-        st = load_state(spark, state_dir)
-        if st is not None:
-            visited, frontier, kept_b = st.visited, st.frontier, st.kept_buckets
-            collected, depth = st.collected, st.depth
-            if collected >= p.max_samples:
-                depth = p.max_depth + 1
-    while depth <= p.max_depth:
-        f = frontier.groupBy("url").agg(F.min("crawl_key").alias("crawl_key"))
-        f = not_visited(f, "url", visited)
-        f = cut_lineage(domain_allowed_prepared(f, "url", allowed))
-        if f.isEmpty():
-            break
-        lvl = cut_lineage(fetch_extract(f, pages, p))
-        sigs = lvl.where(F.col("gate_reason") == "pass").select(
-            F.col("url").alias("_id"), F.col("crawl_key").alias("_ord"), "_dig", "_bkeys")
-        verdict, new_b = greedy_dedup_sigs(sigs, prior_buckets=kept_b, with_buckets=True)
-        verdict = verdict.withColumnRenamed("_id", "url")
-        new_b = new_b.withColumnRenamed("_id", "url")
-        lvl = lvl.join(verdict, "url", "left").withColumn(
-            "gate_reason",
-            F.when(F.col("gate_reason") != "pass", F.col("gate_reason"))
-            .when(F.col("keep"), F.lit("kept")).otherwise(F.lit("duplicate"))
-        ).withColumn(
-            "n_samples",
-            F.when(F.col("gate_reason") == "kept", F.col("_nchunks"))
-            .otherwise(F.lit(0).cast("bigint"))).drop("keep", "_nchunks", "_dig", "_bkeys")
-        lvl = cut_lineage(lvl)
-        # O2: budget cut in crawl order
-        cum = running_sum(lvl.select("url", "crawl_key", "n_samples"), ["crawl_key"],
-                          "n_samples", "_cum")
-        ok = cut_lineage(cum.select(
-            "url", "n_samples",
-            ((F.lit(collected) + F.col("_cum") - F.col("n_samples"))
-             < F.lit(p.max_samples)).alias("_ok")))
-        stats = ok.agg(F.count(F.lit(1)).alias("all"),
-                       F.count(F.when(F.col("_ok"), 1)).alias("n"),
-                       F.coalesce(F.sum(F.when(F.col("_ok"), F.col("n_samples"))), F.lit(0))
-                       .alias("s")).first()
-        n_all = stats["all"]
-        done = lvl if stats["n"] == n_all else cut_lineage(
-            lvl.join(ok.where("_ok").select("url"), "url", "left_semi"))
-        collected += int(stats["s"])
-        log.info("crawl level %d: %d processed of %d, %d samples so far",
-                 depth, stats["n"], n_all, collected)
-        logs.append(done.select("url", F.lit(depth).alias("depth"), "crawl_key", "page_id",
-                                "gate_reason", "n_samples"))
-        kept = done.where(F.col("gate_reason") == "kept")
-        ch = chunk(kept.select("url", "text"), "text", p, keep=["url"])
-        samples.append(ch.select(
-            "url", "chunk_no",
-            instruction(F.col("url"), F.col("chunk_no"), netloc(F.col("url")),
-                        p.templates, p.seed).alias("instruction"),
-            source_tag(F.col("url")).alias("input"),
-            F.col("chunk").alias("output")))
-        visited = cut_lineage(visited.unionByName(done.select("url")))
-        b = new_b.join(done.select("url"), "url", "left_semi").select("band", "bkey")
-        kept_b = cut_lineage(b if kept_b is None else kept_b.unionByName(b))
-        budget_hit = stats["n"] < n_all or collected >= p.max_samples
-        if budget_hit or depth >= p.max_depth:    # max_depth is a safety stop
-            stopped = budget_hit
-            if state_dir:
-                save_state(spark, state_dir, CrawlState(
-                    visited, spark.createDataFrame([], "url string, crawl_key array<bigint>"),
-                    kept_b, collected, depth + 1))
+    frontier = state.frontier()
+    if frontier is None:
+        frontier = seeds.select("url", F.lit(0).alias("depth"), F.array(
+            F.col("pos").cast("bigint")).alias("crawl_key"))
+    made = 0
+    while state.collected < p.max_samples and (max_steps is None or made < max_steps):
+        depth = frontier.agg(F.min("depth")).first()[0]
+        if depth is None:
             break
-        # L1 on processed kept pages only
-        raw = kept.select(F.col("url").alias("_base"), "crawl_key",
-                          F.posexplode("hrefs").alias("link_pos", "_href"))
-        links = with_url_join(raw, "_base", "_href", "link")
-        links = domain_allowed_prepared(links, "link", allowed)
-        # first enqueue wins: collapse repeated links with a partial (map-side)
-        # aggregate before the anti join, so a URL linked from a third of all
-        # pages is one row by the time it meets the visited set
-        links = links.groupBy(F.col("link").alias("url")).agg(F.min(
-            F.concat(F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint"))))
-            .alias("crawl_key"))
-        frontier = cut_lineage(not_visited(links, "url", visited))
-        depth += 1
-        if state_dir:
-            save_state(spark, state_dir, CrawlState(visited, frontier, kept_b, collected, depth))
-    spark_log = logs[0] if logs else spark.createDataFrame([], LOG_SCHEMA)
-    for x in logs[1:]:
-        spark_log = spark_log.unionByName(x)
-    out_samples = samples[0] if samples else None
-    for x in samples[1:]:
-        out_samples = out_samples.unionByName(x)
-    if out_samples is None:
-        out_samples = spark.createDataFrame(
-            [], "url string, chunk_no bigint, instruction string, input string, output string")
-    return CrawlResult(spark_log, out_samples, collected, depth + 1, stopped)
+        _step(state, frontier, depth, reduced, allowed, p)
+        frontier = state.frontier()
+        made += 1
+    left = not frontier.isEmpty()
+    return CrawlResult(state.read("log"), state.read("samples"), state.collected, state.steps,
+                       left and state.collected >= p.max_samples)
+
+
+def _step(state: CrawlState, frontier: DataFrame, depth: int, reduced: DataFrame,
+          allowed: DataFrame, p: HarvestParams) -> None:
+    visited = state.read("log")
+    now = frontier.where(F.col("depth") == depth).groupBy("url", "depth").agg(
+        F.min("crawl_key").alias("crawl_key"))
+    now = domain_allowed(not_visited(now, "url", visited), "url", allowed)
+    rows = cut_lineage(fetch(now, reduced))
+    sigs = rows.where("gate_reason = 'pass'").select(
+        F.col("url").alias("_id"), F.col("crawl_key").alias("_ord"), "_dig", "_bkeys")
+    verdict, buckets = greedy_dedup_sigs(sigs, prior_buckets=state.read("buckets"), with_buckets=True)
+    kept = F.coalesce(F.col("keep"), F.lit(False))
+    decided = rows.join(verdict.withColumnRenamed("_id", "url"), "url", "left").select(
+        "url", "depth", "crawl_key", "page_id", "hrefs",
+        F.when(F.col("gate_reason") != "pass", F.col("gate_reason"))
+        .when(kept, F.lit("kept")).otherwise(F.lit("duplicate")).alias("gate_reason"),
+        F.when(kept, F.col("_nchunks")).otherwise(F.lit(0).cast("bigint")).alias("n_samples"))
+    decided = cut_lineage(decided)
+    # O2: the budget's cut in crawl order
+    before = running_sum(decided.select("url", "crawl_key", "n_samples"), ["crawl_key"], "n_samples", "_cum")
+    before = before.select("url", (F.lit(state.collected) + F.col("_cum") - F.col("n_samples")).alias("_before"))
+    decided = cut_lineage(decided.join(before, "url").withColumn("_ok", F.col("_before") < F.lit(p.max_samples)))
+    done = state.write("log", decided.where("_ok"))
+    collected = state.collected + (done.agg(F.sum("n_samples")).first()[0] or 0)
+    chunks = chunk(done.where("gate_reason = 'kept'").select("url", _part()).join(reduced, ["_part", "url"])
+                   .select("url", "text"), "text", p, keep=["url"])
+    state.write("samples", chunks.select(
+        "url", "chunk_no",
+        instruction(F.col("url"), F.col("chunk_no"), netloc(F.col("url")), p.templates, p.seed)
+        .alias("instruction"),
+        source_tag(F.col("url")).alias("input"), F.col("chunk").alias("output")))
+    state.write("buckets", buckets.join(done.select(F.col("url").alias("_id")), "_id", "left_semi"))
+    # L1 on processed kept pages only
+    raw = decided.where("_ok AND gate_reason = 'kept'").select(
+        F.col("url").alias("_base"), "crawl_key", F.posexplode("hrefs").alias("link_pos", "_href"))
+    links = domain_allowed(with_url_join(raw, "_base", "_href", "link"), "link", allowed)
+    # repeated links collapse map-side before the visited set is joined
+    links = links.groupBy(F.col("link").alias("url")).agg(F.min(F.concat(
+        F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))).alias("crawl_key"))
+    links = not_visited(not_visited(links, "url", visited), "url", done)
+    waiting = decided.where("NOT _ok").select("url", "depth", "crawl_key")
+    queue = frontier.where(F.col("depth") > depth).unionByName(waiting).unionByName(
+        links.select("url", F.lit(depth + 1).alias("depth"), "crawl_key"))
+    first = queue.groupBy("url").agg(F.min(F.struct("depth", "crawl_key")).alias("_k"))
+    state.write("frontier", first.select("url", "_k.depth", "_k.crawl_key"))
+    state.commit(collected)
+    log.info("crawl step %d at depth %d: %d samples so far", state.steps, depth, collected)
+
+
+def default_crawl(pages: DataFrame, p: HarvestParams = HarvestParams(),
+                  state_dir: str | None = None) -> CrawlResult:
+    """G1 from the default seeds under the default allow-list."""
+    spark = pages.sparkSession
+    return crawl(default_seeds(spark), default_domains(spark), pages, p, state_dir)

@@ -18,9 +18,8 @@ from ..operators.chunk import chunk
 from ..operators.gates import apply_gates, gate_reason
 from ..functions.minhash import band_keys, signature, token_set_digest
 from ..operators.dedup import greedy_dedup_sigs
-from ..operators.links import semi_join_checked
 from ..params import HarvestParams
-from ..session import cut_lineage
+from ..session import cut_lineage, materialise
 
 log = logging.getLogger(__name__)
 
@@ -29,13 +28,13 @@ DOC_PARAMS = HarvestParams(sep="\n")
 
 def samples_from_chunks(chunks: DataFrame, key: str, topic: str, source: str,
                         p: HarvestParams = HarvestParams()) -> DataFrame:
-    """Chunk rows -> (key, chunk_no, instruction, input, output)."""
+    """Chunk rows -> (key, chunk_no, instruction, input, output, source)."""
     return chunks.select(
         F.col(key), F.col("chunk_no"),
         instruction(F.col(key), F.col("chunk_no"), F.col(topic), p.templates, p.seed)
         .alias("instruction"),
         source_tag(F.col(source)).alias("input"),
-        F.col("chunk").alias("output"),
+        F.col("chunk").alias("output"), F.col(source).alias("source"),
     )
 
 
@@ -80,13 +79,9 @@ def document_samples(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
     if not dedup:
         kept = apply_gates(docs.select("doc_id", "text", "source"), "text", p)
     else:
-        ids = cut_lineage(document_reasons(docs, p, dedup=True)
-                          .where(F.col("gate_reason") == "kept").select("doc_id"))
-        kept = semi_join_checked(docs.select("doc_id", "text", "source"), ids, "doc_id")
+        # a written id table: broadcast by AQE if its bytes are few, else a shuffle join
+        ids = materialise(document_reasons(docs, p, dedup=True)
+                          .where(F.col("gate_reason") == "kept").select("doc_id"), "kept-ids")
+        kept = docs.select("doc_id", "text", "source").join(ids, "doc_id", "left_semi")
     chunks = chunk(kept, "text", p, keep=["doc_id", "source"])
     return samples_from_chunks(chunks, "doc_id", "source", "source", p)
-
-
-def document_gate_reasons(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
-                          dedup: bool = True) -> DataFrame:
-    return document_reasons(docs, p, dedup)

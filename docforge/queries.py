@@ -11,11 +11,11 @@ from .functions.minhash import band_keys, jaccard_estimate as jaccard, signature
 from .functions.text import ws_tokens
 from .operators import dedup
 from .operators.chunk import chunk
-from .plans.documents import DOC_PARAMS, document_gate_reasons, document_samples
-from .session import ensure_checkpoint_dir, read_table, spread
+from .plans.documents import DOC_PARAMS, document_reasons, document_samples
+from .session import ensure_checkpoint_dir, materialise, read_table, spread
 from .functions.html import main_text
 from .functions.url import netloc
-from .operators.links import discover_links
+from .operators.links import discover_links, page_links
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +29,15 @@ def q_chunk_fold(spark, sf_dir):
 
 
 def q_instruction_samples(spark, sf_dir):
-    return document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=False)
+    return document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=False).drop("source")
 
 
 def q_harvest_documents(spark, sf_dir):
-    return document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=True)
+    return document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=True).drop("source")
 
 
 def q_gate_report(spark, sf_dir):
-    r = document_gate_reasons(_docs(spark, sf_dir), DOC_PARAMS, dedup=True)
+    r = document_reasons(_docs(spark, sf_dir), DOC_PARAMS, dedup=True)
     return r.groupBy("source", "gate_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -64,10 +64,9 @@ def q_greedy_dedup(spark, sf_dir):
 def q_jaccard_estimate(spark, sf_dir):
     """X9 between every document and its first LSH candidate; signatures are
     computed once and reused for both the candidates and the estimate."""
-    from .session import cut_lineage
     p = DOC_PARAMS
     d = _docs(spark, sf_dir).select("doc_id", "text")
-    sig = cut_lineage(d.select("doc_id", signature(F.col("text"), p.num_perm).alias("sig")))
+    sig = materialise(d.select("doc_id", signature(F.col("text"), p.num_perm).alias("sig")), "signatures")
     members = sig.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_ord"),
                          F.posexplode(band_keys(F.col("sig"), p.bands, p.rows))
                          .alias("_band", "_bkey"))
@@ -96,10 +95,13 @@ def q_main_text(spark, sf_dir):
 
 
 def q_link_discovery(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    hosts = pages.select(netloc(F.col("url")).alias("domain"))
-    return discover_links(pages.select("page_id", "url", "html"), ["page_id"], hosts,
-                          visited=pages.select("url"))
+    """Links of all pages.  Allowed are the hosts that serve a page over https;
+    visited are all pages and the links found on pages fetched over https."""
+    pages = _pages(spark, sf_dir).select("page_id", "url", "html")
+    https = F.startswith(F.col("url"), F.lit("https:"))
+    hosts = pages.where(https).select(netloc(F.col("url")).alias("domain"))
+    seen = pages.select("url").union(page_links(pages.where(https), []).select("link"))
+    return discover_links(pages, ["page_id"], hosts, visited=seen)
 
 
 QUERIES = {
@@ -116,8 +118,7 @@ QUERIES = {
 def _harvest_samples(spark, sf_dir):
     """Harvest samples with a sample_id key (doc_id:chunk_no)."""
     s = document_samples(_docs(spark, sf_dir), DOC_PARAMS, dedup=True)
-    return s.withColumn("sample_id", F.concat_ws(":", "doc_id", "chunk_no")).withColumn(
-        "source", F.substring(F.col("input"), 9, 1 << 20))
+    return s.withColumn("sample_id", F.concat_ws(":", "doc_id", "chunk_no"))
 
 
 def _split(spark, sf_dir):
@@ -137,12 +138,10 @@ def q_render_samples(spark, sf_dir):
 
 
 def q_pack_blocks(spark, sf_dir):
-    from .functions.chat import render_sample
-    from .operators.train_prep import pack_blocks, whitespace_token_count
-    tr = _split(spark, sf_dir).where(F.col("split") == "train")
-    tr = tr.select("sample_id", "split_hash", whitespace_token_count(render_sample(
-        F.col("instruction"), F.col("input"), F.col("output"))).alias("n_tok"))
-    return pack_blocks(tr, "sample_id", ["split_hash", "sample_id"], "n_tok")
+    from .operators.train_prep import pack_blocks, training_lengths
+    train = _split(spark, sf_dir).where(F.col("split") == "train")
+    lengths = training_lengths(train, ["sample_id", "split_hash"], DOC_PARAMS)
+    return pack_blocks(lengths, "sample_id", ["split_hash", "sample_id"], "n_tok")
 
 
 def q_sample_counts(spark, sf_dir):
@@ -159,11 +158,33 @@ def q_jsonl_round_trip(spark, sf_dir):
 
 
 def q_sample_contract(spark, sf_dir):
-    from .operators.contract import contract_checks
+    from .operators.contract import RULES, contract_checks
     from .sources.samples_io import to_json_line
     lines = to_json_line(_harvest_samples(spark, sf_dir))
-    return contract_checks(lines).select("sample_id", "n_keys", "keys_ok", "input_ok",
-                                         "instruction_ok", "round_trip_ok")
+    return contract_checks(lines).select("sample_id", "n_keys", *RULES)
+
+
+def q_contract_violations(spark, sf_dir):
+    """V1 on lines made from every sample, most of which break one rule: by the
+    hash of its id a line is right, lacks a key, has one too many, a number for a
+    text, another source tag, blanks between its parts, no JSON, or a topic of
+    two lines."""
+    from .operators.contract import contract_checks, violations
+    s = _harvest_samples(spark, sf_dir)
+    kind = F.conv(F.substring(F.md5("sample_id"), 1, 4), 16, 10).cast("int") % 8
+    text = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    plain = F.to_json(F.struct("instruction", "input", "output"))
+    line = (F.when(kind == 1, F.to_json(F.struct("instruction", "input")))
+            .when(kind == 2, F.to_json(F.struct("instruction", "input", "output", "source")))
+            .when(kind == 3, F.to_json(F.struct("instruction", "input", F.length("output").alias("output"))))
+            .when(kind == 4, F.to_json(F.struct("instruction", F.concat(F.lit("From: "), "source").alias("input"), "output")))
+            .when(kind == 5, F.concat(F.lit('{ "output" : '), text("output"), F.lit(' , "input" : '), text("input"),
+                                      F.lit(' ,\n "instruction" : '), text("instruction"), F.lit(" }")))
+            .when(kind == 6, F.concat(F.lit("no json: "), "sample_id"))
+            .when(kind == 7, F.to_json(F.struct(F.replace("instruction", "source", F.concat("source", F.lit("\nb")))
+                                                .alias("instruction"), "input", "output")))
+            .otherwise(plain))
+    return violations(contract_checks(s.select("sample_id", line.alias("line"))), ["sample_id"])
 
 
 def q_card_stats(spark, sf_dir):
@@ -187,48 +208,69 @@ def q_prompt_table(spark, sf_dir):
     return prompt_table(users, ["conv_id", "turn"], "text")
 
 
-def _page_crawl(spark, sf_dir, max_depth):
+def q_evaluation_prompts(spark, sf_dir):
+    from .operators.chat import evaluation_prompts
+    return evaluation_prompts(_conversations(spark, sf_dir))
+
+
+#: sample budget of the sample_budget query, below what the pages yield
+BUDGET = 20
+
+
+def _page_crawl(spark, sf_dir, max_samples):
+    """Every page a seed, in page_id order; allowed are all hosts of the table."""
     from .params import HarvestParams
     from .plans.crawl import crawl
     pages = _pages(spark, sf_dir)
     seeds = pages.select(F.col("page_id").alias("pos"), "url")
     hosts = pages.select(netloc(F.col("url")).alias("domain"))
-    return crawl(seeds, hosts, pages, HarvestParams(max_depth=max_depth))
+    return crawl(seeds, hosts, pages, HarvestParams(max_samples=max_samples))
+
+
+def _whole_crawl(spark, sf_dir):
+    from .plans.crawl import UNSPENT
+    return _page_crawl(spark, sf_dir, UNSPENT)
 
 
 def q_crawl_closure(spark, sf_dir):
-    from .params import HarvestParams
-    res = _page_crawl(spark, sf_dir, HarvestParams().max_depth)
-    return res.log.select("url", "depth", "page_id", "gate_reason", "n_samples")
+    return _whole_crawl(spark, sf_dir).log.select(
+        "url", "depth", F.array_join(F.col("crawl_key").cast("array<string>"), ".").alias("crawl_key"),
+        "page_id", "gate_reason", "n_samples")
 
 
 def q_page_gate_report(spark, sf_dir):
-    """A3 for pages: processed pages of the first crawl level per (host, reason)."""
-    res = _page_crawl(spark, sf_dir, 0)
-    return res.log.groupBy(netloc(F.col("url")).alias("netloc"), "gate_reason").agg(
-        F.count(F.lit(1)).alias("n"))
+    """A3 for pages: all URLs of the whole crawl per (host, reason)."""
+    return _whole_crawl(spark, sf_dir).log.groupBy(
+        netloc(F.col("url")).alias("netloc"), "gate_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_sample_budget(spark, sf_dir):
-    res = _page_crawl(spark, sf_dir, 0)
-    return res.log.select("page_id", "gate_reason", "n_samples")
+    """O2: the URLs processed until the budget is spent."""
+    return _page_crawl(spark, sf_dir, BUDGET).log.select("url", "page_id", "gate_reason", "n_samples")
 
 
 def q_stream_harvest(spark, sf_dir):
+    """The pages as a stream of several files, one per batch in page_id order, each
+    repeating its last pages in the next file; allowed are https hosts."""
     from .session import scratch_path
     from .streaming.incremental import read_samples_sink, start_incremental_harvest
-    out = scratch_path(spark, "stream-harvest")
-    import os
-    table = os.path.join(sf_dir, "pages.parquet")
-    if os.path.isdir(table):        # a folder of part files: stream over it
-        q = start_incremental_harvest(spark, table, out)
-    else:                           # one file next to other tables
-        q = start_incremental_harvest(spark, sf_dir, out, file_glob="pages*.parquet")
+    out, files = scratch_path(spark, "stream-harvest"), scratch_path(spark, "stream-pages")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    top = pages.agg(F.max("page_id")).first()[0] or 0
+    hosts = pages.where(F.startswith("url", F.lit("https:"))).select(netloc(F.col("url")).alias("domain"))
+    part = F.floor(F.col("page_id") * STREAM_FILES / (top + 1)).cast("int")
+    for k in range(STREAM_FILES):       # written in turn: the stream takes files by age
+        pages.where((part == k) | (part == k - 1)).coalesce(1).write.parquet(f"{files}/part={k}")
+    q = start_incremental_harvest(spark, f"{files}/*", out, domains=hosts)
     q.awaitTermination()
     return read_samples_sink(spark, out).select("url", "chunk_no", "instruction", "input",
                                                 "output")
 
 
+#: files, and so batches, of the stream query
+STREAM_FILES = 3
+
+
 QUERIES.update({
     "stream_harvest": q_stream_harvest,
     "crawl_closure": q_crawl_closure,
@@ -240,6 +282,8 @@ QUERIES.update({
     "sample_counts": q_sample_counts,
     "jsonl_round_trip": q_jsonl_round_trip,
     "sample_contract": q_sample_contract,
+    "contract_violations": q_contract_violations,
+    "evaluation_prompts": q_evaluation_prompts,
     "render_conversations": q_render_conversations,
     "prompt_table": q_prompt_table,
     "card_stats": q_card_stats,
@@ -269,9 +313,12 @@ ORACLES = {
     "sample_counts": oracles.sample_counts(),
     "jsonl_round_trip": oracles.jsonl_round_trip(),
     "sample_contract": oracles.sample_contract(),
+    "contract_violations": oracles.contract_violations(),
+    "evaluation_prompts": oracles.evaluation_prompts(),
+    "crawl_closure": oracles.crawl_closure(),
     "render_conversations": oracles.render_conversations(),
     "prompt_table": oracles.prompt_table(),
-    "sample_budget": oracles.sample_budget(),
+    "sample_budget": oracles.sample_budget(BUDGET),
     "stream_harvest": oracles.stream_harvest(),
     "card_stats": oracles.card_stats(),
     "page_gate_report": oracles.page_gate_report(),

@@ -1,23 +1,27 @@
-"""S7 prompt_source and small parameter tables (S1 seeds, allow-list,
-templates) as DataFrames."""
+"""S7 prompt_source, and the small parameter tables of S1 (default seeds and
+allow-list) as DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..params import (ALLOWED_DOMAINS, EVAL_SYSTEM_PROMPT, EXAMPLE_PROMPTS, GOLDEN_QUESTIONS,
-                      INSTRUCTION_TEMPLATES, SEED_URLS)
+                      SEED_URLS)
 
 
-def golden_prompts(spark: SparkSession) -> DataFrame:
-    """The evaluation questions with their system prompt."""
-    rows = [(i, q, EVAL_SYSTEM_PROMPT) for i, q in enumerate(GOLDEN_QUESTIONS)]
-    return spark.createDataFrame(rows, "prompt_id int, text string, system string")
+def prompt_sets() -> list[tuple[str, int, str, str | None]]:
+    """(set, prompt_id, text, system) of the fixed prompts; no system prompt
+    of its own: the conversation's or the default one is taken."""
+    return ([("golden", i, q, EVAL_SYSTEM_PROMPT) for i, q in enumerate(GOLDEN_QUESTIONS)]
+            + [("example", i, q, None) for i, q in enumerate(EXAMPLE_PROMPTS)])
 
 
-def example_prompts(spark: SparkSession) -> DataFrame:
-    rows = [(i, q, None) for i, q in enumerate(EXAMPLE_PROMPTS)]
-    return spark.createDataFrame(rows, "prompt_id int, text string, system string")
+def prompt_set_column() -> Column:
+    """The fixed prompts as an array column, to explode per row of a table."""
+    return F.array(*[F.struct(F.lit(s).alias("prompt_set"), F.lit(i).alias("prompt_id"),
+                              F.lit(t).alias("text"), F.lit(y).cast("string").alias("system"))
+                     for s, i, t, y in prompt_sets()])
 
 
 def default_seeds(spark: SparkSession) -> DataFrame:
@@ -26,8 +30,3 @@ def default_seeds(spark: SparkSession) -> DataFrame:
 
 def default_domains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(d,) for d in ALLOWED_DOMAINS], "domain string")
-
-
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(INSTRUCTION_TEMPLATES)),
-                                 "pos int, template string")

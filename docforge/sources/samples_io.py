@@ -36,9 +36,3 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 def to_json_line(samples: DataFrame) -> DataFrame:
     """X15 encode: adds ``line``."""
     return samples.withColumn("line", F.to_json(F.struct("instruction", "input", "output")))
-
-
-def from_json_line(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """X15 decode with the fixed schema."""
-    return lines.withColumn("_s", F.from_json(F.col(line_col), SAMPLE)).select(
-        "*", "_s.instruction", "_s.input", "_s.output").drop("_s")

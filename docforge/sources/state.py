@@ -1,11 +1,12 @@
-"""S5 state_save / S6 state_load: crawl state as tables.
-
-State of a run = visited URLs, the frontier (queue) with its crawl keys,
-buckets of kept documents (the dedup index, which a JSON checkpoint of the
-visited set and queue alone would lose) and the sample counter.  Each save
-goes to a new ``level=N`` folder and is committed last by a small marker
-file, so a load sees either a complete state or none ("start fresh"); an
-unreadable/corrupt state is logged and ignored, never half-restored.
+"""S5 state_save / S6 state_load: the crawl's state as append-only tables.
+
+Every step of a run writes its own folder ``step=N`` below the state directory:
+``log`` (visited URLs with their decisions), ``samples``, ``buckets`` (of kept
+documents, the dedup index), ``frontier`` (the queue after the step).  A small
+marker file, written under another name and renamed, commits the step.  The state
+is the union of the committed steps and the last one's frontier; a step without
+marker is not part of it and is overwritten by the next run.  An unreadable
+marker ends the committed steps there: a state is complete or absent, never half.
 """
 
 from __future__ import annotations
@@ -13,83 +14,99 @@ from __future__ import annotations
 import json
 import logging
 import os
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 MARKER = "_COMMITTED.json"
 
-
-@dataclass
-class CrawlState:
-    visited: DataFrame
-    frontier: DataFrame
-    kept_buckets: DataFrame | None
-    collected: int
-    depth: int
+TABLES = {
+    "log": "url string, depth int, crawl_key array<bigint>, page_id long, gate_reason string, "
+           "n_samples long",
+    "samples": "url string, chunk_no long, instruction string, input string, output string",
+    "buckets": "band int, bkey string",
+    "frontier": "url string, depth int, crawl_key array<bigint>",
+}
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, hpath, _ = _fs(spark, path)
-    out = fs.create(hpath, True)
+    """Readers see the whole file or none: written aside, then renamed."""
+    fs, hpath = _fs(spark, path)
+    _, aside = _fs(spark, path + ".tmp")
+    out = fs.create(aside, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
+    fs.delete(hpath, False)
+    if not fs.rename(aside, hpath):
+        raise OSError(f"cannot commit {path}")
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, hpath, jvm = _fs(spark, path)
+    fs, hpath = _fs(spark, path)
     if not fs.exists(hpath):
         return None
-    stream = fs.open(hpath)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    lines = []
-    line = reader.readLine()
-    while line is not None:
-        lines.append(line)
-        line = reader.readLine()
-    reader.close()
-    return "\n".join(lines)
-
-
-def save_state(spark: SparkSession, state_dir: str, st: CrawlState) -> str:
-    """Write one complete state, commit marker last."""
-    d = os.path.join(state_dir, f"level={st.depth}")
-    st.visited.select("url").write.mode("overwrite").parquet(os.path.join(d, "visited"))
-    st.frontier.select("url", "crawl_key").write.mode("overwrite").parquet(
-        os.path.join(d, "frontier"))
-    if st.kept_buckets is not None:
-        st.kept_buckets.select("band", "bkey").write.mode("overwrite").parquet(
-            os.path.join(d, "kept_buckets"))
-    meta = {"collected_count": st.collected, "depth": st.depth,
-            "has_buckets": st.kept_buckets is not None}
-    _write_text(spark, os.path.join(d, MARKER), json.dumps(meta))
-    _write_text(spark, os.path.join(state_dir, "LATEST"), str(st.depth))
-    return d
-
-
-def load_state(spark: SparkSession, state_dir: str) -> CrawlState | None:
-    """The latest committed state, or None (start fresh) on any problem."""
-    try:
-        latest = _read_text(spark, os.path.join(state_dir, "LATEST"))
-        if latest is None:
+    scanner = spark.sparkContext._jvm.java.util.Scanner(fs.open(hpath), "UTF-8").useDelimiter("\\A")
+    text = scanner.next() if scanner.hasNext() else ""
+    scanner.close()
+    return text
+
+
+class CrawlState:
+    """The committed steps of a state directory."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.steps, self.collected = 0, 0
+        while (meta := self._marker(self.steps)) is not None:
+            self.collected = int(meta["collected_count"])
+            self.steps += 1
+
+    def folder(self, step: int, table: str) -> str:
+        return os.path.join(self.path, f"step={step}", table)
+
+    def _marker(self, step: int) -> dict | None:
+        try:
+            text = _read_text(self.spark, self.folder(step, MARKER))
+            if text is None:
+                return None
+            meta = json.loads(text)
+            int(meta["collected_count"])
+            return meta
+        except Exception as e:  # unreadable: the state ends before this step
+            log.error("crawl state %s, step %d is unreadable: %s", self.path, step, e)
             return None
-        d = os.path.join(state_dir, f"level={int(latest.strip())}")
-        meta = json.loads(_read_text(spark, os.path.join(d, MARKER)) or "")
-        kb = (spark.read.parquet(os.path.join(d, "kept_buckets"))
-              if meta.get("has_buckets") else None)
-        return CrawlState(
-            visited=spark.read.parquet(os.path.join(d, "visited")),
-            frontier=spark.read.parquet(os.path.join(d, "frontier")),
-            kept_buckets=kb,
-            collected=int(meta["collected_count"]),
-            depth=int(meta["depth"]))
-    except Exception as e:  # corrupt or partial state: start fresh
-        log.error("Failed to load crawl state from %s: %s", state_dir, e)
-        return None
+
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        """Write a table of the step that is being made and read it back."""
+        schema = T._parse_datatype_string(TABLES[table])
+        path = self.folder(self.steps, table)
+        df.select(*schema.fieldNames()).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def commit(self, collected: int) -> None:
+        """The marker goes last, after all tables of the step."""
+        _write_text(self.spark, self.folder(self.steps, MARKER),
+                    json.dumps({"collected_count": collected}))
+        self.collected = collected
+        self.steps += 1
+
+    def read(self, table: str) -> DataFrame:
+        """A table over all committed steps."""
+        schema = T._parse_datatype_string(TABLES[table])
+        paths = [self.folder(k, table) for k in range(self.steps)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def frontier(self) -> DataFrame | None:
+        """The queue after the last committed step; None before the first."""
+        if not self.steps:
+            return None
+        schema = T._parse_datatype_string(TABLES["frontier"])
+        return self.spark.read.schema(schema).parquet(self.folder(self.steps - 1, "frontier"))

@@ -1,17 +1,18 @@
 """Resumable incremental harvest over a stream of fetched pages.
 
 * R1: ``readStream`` (file source, explicit schema, ``maxFilesPerTrigger``)
-  -> ``foreachBatch``: main text -> gates -> dedup against the history ->
-  samples appended to the sink.
-* R2: the visited set survives restarts as ``dropDuplicates(["url"])`` keyed
-  state in the streaming checkpoint (unbounded by design: a URL is harvested
-  once, ever).
-* R3: the dedup index survives restarts as Parquet ``kept_buckets/batch_id=N``;
-  batch N reads partitions ``< N`` and overwrites its own partition, so a
-  replayed batch is idempotent.  Samples and discovered links are written
-  the same way (``batch_id=N`` partitions, overwrite), i.e. exactly once.
-* R4: the per-micro-batch commit of the streaming checkpoint replaces the
-  "save every 50 samples" cadence.
+  -> ``foreachBatch``: allowed hosts (F2) -> first page of each URL not seen
+  before -> main text -> gates -> dedup against the history -> samples.
+* R2: seen URLs are a table, ``seen_urls/batch_id=N``, not keyed state: of the rows
+  of a URL the smallest page id of the first batch wins, and nothing grows on
+  the executors' heap.
+* R3: the dedup index survives restarts as ``kept_buckets/batch_id=N``; only
+  the buckets that the batch's own keys ask for are joined.
+* Batch N reads partitions ``< N`` of the tables and overwrites its own
+  partition, so a replayed batch is idempotent; samples and discovered links
+  (allowed, F9, and not seen, J1) are written the same way, exactly once.
+* R4: the per-micro-batch commit of the streaming checkpoint.
+All tables are read by an explicit schema: a batch may write no rows at all.
 Processing order inside a batch (for first-wins dedup) is ``page_id``.
 """
 
@@ -23,85 +24,100 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.html import main_text
 from ..functions.samples import instruction, source_tag
-from ..functions.url import hrefs, netloc, with_url_join
+from ..functions.url import netloc, with_url_join
 from ..operators.chunk import chunk
-from ..operators.dedup import greedy_dedup
-from ..operators.gates import gate_reason
+from ..operators.dedup import explode_bands, greedy_dedup_sigs
+from ..operators.links import domain_allowed, not_visited, prepare_domains
 from ..params import HarvestParams
-from ..session import ensure_checkpoint_dir, path_exists, spread
+from ..plans.crawl import page_rows
+from ..session import ensure_checkpoint_dir, materialise, path_exists, spread
 
 PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("html", T.StringType()),
 ])
+SINKS = {
+    "samples": "url string, chunk_no long, instruction string, input string, output string",
+    "kept_buckets": "band int, bkey string",
+    "discovered_links": "page_url string, link_pos int, link string",
+    "seen_urls": "url string",
+}
 
 
-def _read_partitions_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not path_exists(spark, path):      # nothing written yet
-        return None
-    return spark.read.parquet(path).where(F.col("batch_id") < F.lit(batch_id))
+def read_sink(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """A table of the stream with its ``batch_id``; no rows before the first batch."""
+    schema = SINKS[table] + ", batch_id long"
+    path = os.path.join(out_dir, table)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
-def _overwrite_partition(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+def read_samples_sink(spark: SparkSession, out_dir: str) -> DataFrame:
+    return read_sink(spark, out_dir, "samples")
 
 
-def process_batch(batch: DataFrame, batch_id: int, out_dir: str,
-                  p: HarvestParams = HarvestParams()) -> None:
+def process_batch(batch: DataFrame, batch_id: int, out_dir: str, p: HarvestParams = HarvestParams(),
+                  domains: DataFrame | None = None) -> None:
     spark = batch.sparkSession
-    pages = spread(batch).select("page_id", "url", "html").withColumn(
-        "text", main_text(F.col("html"))).withColumn(
-        "gate_reason",
-        F.when(F.col("html").isNull() | (F.col("html") == ""), F.lit("fetch_failed"))
-        .otherwise(gate_reason(F.col("text"), p)))
-    pages = pages.persist()
-    prior = _read_partitions_before(spark, os.path.join(out_dir, "kept_buckets"), batch_id)
-    passed = pages.where(F.col("gate_reason") == "pass")
-    verdict, buckets = greedy_dedup(passed, "page_id", "page_id", "text", p,
-                                    prior_buckets=prior, with_buckets=True)
-    kept = passed.join(verdict.where("keep").select("page_id"), "page_id", "left_semi")
-    ch = chunk(kept.select("url", "text"), "text", p, keep=["url"])
-    samples = ch.select(
+    before = lambda table: read_sink(spark, out_dir, table).where(
+        F.col("batch_id") < F.lit(batch_id))
+
+    def write(df: DataFrame, table: str) -> None:
+        path = os.path.join(out_dir, table, f"batch_id={batch_id}")
+        df.select(*T._parse_datatype_string(SINKS[table]).fieldNames()).write.mode("overwrite").parquet(path)
+
+    allowed = prepare_domains(domains) if domains is not None else None
+    pages = batch.select("page_id", "url", "html")
+    if allowed is not None:
+        pages = domain_allowed(pages, "url", allowed)
+    # which row of a URL is taken is decided on narrow rows
+    first = not_visited(pages.groupBy("url").agg(F.min("page_id").alias("page_id")), "url", before("seen_urls"))
+    first = materialise(first, "first-pages")
+    rows = pages.join(first, ["url", "page_id"], "left_semi").dropDuplicates(["url", "page_id"])
+    rows = materialise(page_rows(spread(rows), p), "batch-pages")
+    passed = rows.where("gate_reason = 'pass'")
+    sigs = passed.select(F.col("url").alias("_id"), F.col("page_id").alias("_ord"), "_dig", "_bkeys")
+    own_keys = explode_bands(sigs).select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey")).distinct()
+    prior = before("kept_buckets").select("band", "bkey").join(
+        materialise(own_keys, "batch-keys"), ["band", "bkey"], "left_semi")
+    verdict, buckets = greedy_dedup_sigs(sigs, prior_buckets=prior, with_buckets=True)
+    keep = materialise(verdict.where("keep").select(F.col("_id").alias("url")), "batch-kept")
+    kept = passed.join(keep, "url", "left_semi")
+    chunks = chunk(kept.select("url", "text"), "text", p, keep=["url"])
+    write(chunks.select(
         "url", "chunk_no",
         instruction(F.col("url"), F.col("chunk_no"), netloc(F.col("url")), p.templates,
                     p.seed).alias("instruction"),
-        source_tag(F.col("url")).alias("input"), F.col("chunk").alias("output"))
-    _overwrite_partition(samples, os.path.join(out_dir, "samples"), batch_id)
-    _overwrite_partition(buckets.select("band", "bkey"), os.path.join(out_dir, "kept_buckets"),
-                         batch_id)
-    raw = kept.select(F.col("url").alias("_base"),
-                      F.posexplode(hrefs(F.col("html"))).alias("link_pos", "_href"))
-    links = with_url_join(raw, "_base", "_href", "link").select(
-        F.col("_base").alias("page_url"), "link_pos", "link")
-    _overwrite_partition(links, os.path.join(out_dir, "discovered_links"), batch_id)
-    pages.unpersist()
+        source_tag(F.col("url")).alias("input"), F.col("chunk").alias("output")), "samples")
+    write(buckets, "kept_buckets")
+    raw = kept.select(F.col("url").alias("_base"), F.posexplode("hrefs").alias("link_pos", "_href"))
+    links = with_url_join(raw, "_base", "_href", "link")
+    if allowed is not None:
+        links = domain_allowed(links, "link", allowed)
+    links = not_visited(not_visited(links, "link", before("seen_urls")), "link", first)
+    write(links.withColumnRenamed("_base", "page_url"), "discovered_links")
+    write(first, "seen_urls")
 
 
 def start_incremental_harvest(spark: SparkSession, pages_dir: str, out_dir: str,
                               p: HarvestParams = HarvestParams(),
                               max_files_per_trigger: int = 1,
                               available_now: bool = True,
-                              file_glob: str | None = None):
+                              file_glob: str | None = None,
+                              domains: DataFrame | None = None):
     """Start the stream over the page files of ``pages_dir`` (optionally only
-    names matching ``file_glob``); returns the StreamingQuery."""
+    names matching ``file_glob``); returns the StreamingQuery.  ``domains`` is the
+    allow-list (domain); without it every host is allowed."""
     ensure_checkpoint_dir(spark)
     reader = (spark.readStream.schema(PAGE_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger))
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    stream = reader.parquet(pages_dir)
-    deduped = stream.dropDuplicates(["url"])        # R2: seen-URL state
-    writer = (deduped.writeStream
-              .foreachBatch(lambda df, bid: process_batch(df, bid, out_dir, p))
+    writer = (reader.parquet(pages_dir).writeStream
+              .foreachBatch(lambda df, bid: process_batch(df, bid, out_dir, p, domains))
               .option("checkpointLocation", os.path.join(out_dir, "_stream_checkpoint")))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
-
-
-def read_samples_sink(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(out_dir, "samples"))

@@ -103,3 +103,25 @@ def test_hot_bucket_matches_sequential(spark):
     assert got == _sequential_greedy(members)
     hot = [i for i in range(0, 1200, 3)]
     assert got[0] and sum(got[i] for i in hot) < len(hot) // 2
+
+
+def test_null_and_empty_texts_are_one_document(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "x y")], "id long, text string")
+    got = {r.id: r.keep for r in greedy_dedup(df, "id", "id", "text").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_long_path_is_decided_to_its_end(spark):
+    """No bound on rounds: along a path every second document is kept."""
+    n = 14
+    assert _rounds(spark, [(i, i + 1) for i in range(1, n)], n) == set(range(1, n + 1, 2))
+
+
+def test_bands_follow_the_threshold():
+    from docforge.params import HarvestParams, lsh_bands_rows
+    assert (HarvestParams().bands, HarvestParams().rows) == (8, 16)
+    for t in (0.3, 0.6, 0.95):
+        b, r = lsh_bands_rows(t)
+        p = HarvestParams(threshold=t)
+        assert (p.bands, p.rows) == (b, r) and b * r <= 128
+        assert abs((1 / b) ** (1 / r) - t) < 0.12          # where the curve turns

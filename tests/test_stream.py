@@ -6,8 +6,10 @@ import os
 from pyspark.sql import functions as F
 
 from docforge.session import scratch_path
-from docforge.streaming.incremental import read_samples_sink, start_incremental_harvest
+from docforge.streaming.incremental import (PAGE_SCHEMA, process_batch, read_samples_sink, read_sink,
+                                            start_incremental_harvest)
 from tests.conftest import SF_SMALL
+from tests.test_crawl import long_text, page
 
 
 def _run(spark, src, out, per_trigger):
@@ -35,3 +37,53 @@ def test_batches_equal_single_batch(spark):
     q.awaitTermination()
     c = sorted(tuple(r) for r in read_samples_sink(spark, two).drop("batch_id").collect())
     assert c == b
+
+
+def harvest(spark, batches, domains=None):
+    """Run the batches one after the other through the stream's own function."""
+    out = scratch_path(spark, "stream-test")
+    for k, rows in enumerate(batches):
+        process_batch(spark.createDataFrame(rows, PAGE_SCHEMA), k, out, domains=domains)
+    return out
+
+
+def outputs(spark, out):
+    return sorted((r.url, r.output[:6]) for r in read_samples_sink(spark, out).collect())
+
+
+def html(word, *links):
+    return page("", long_text(word), list(links))[1]
+
+
+def test_empty_first_batches(spark):
+    rows = [(1, "https://h/a", html("aaaaaa"))]
+    assert read_samples_sink(spark, scratch_path(spark, "none")).count() == 0
+    out = harvest(spark, [[], [(7, "https://h/s", "<p>short</p>")], rows])
+    assert outputs(spark, out) == outputs(spark, harvest(spark, [rows])) != []
+
+
+def test_first_page_of_a_url_wins_within_and_across_batches(spark):
+    one, two, three = html("oneone"), html("twotwo"), html("threee")
+    out = harvest(spark, [[(9, "https://h/a", one), (1, "https://h/a", two)],
+                          [(0, "https://h/a", three), (3, "https://h/b", three)]])
+    got = {u: o for u, o in outputs(spark, out)}
+    assert got == {"https://h/a": "twotwo", "https://h/b": "threee"}
+
+
+def test_allow_list_and_links(spark):
+    domains = spark.createDataFrame([("h",)], "domain string")
+    out = harvest(spark, [
+        [(1, "https://evil/a", html("evilev")),
+         (2, "https://h/a", html("goodgo", "mailto:a@b", "https://evil/x", "/b", "/a", "//h/c"))],
+        [(3, "https://h/d", html("dddddd", "/a", "/e"))]], domains)
+    assert {u for u, _ in outputs(spark, out)} == {"https://h/a", "https://h/d"}
+    links = [(r.batch_id, r.link) for r in read_sink(spark, out, "discovered_links").collect()]
+    assert sorted(links) == [(0, "https://h/b"), (0, "https://h/c"), (1, "https://h/e")]
+
+
+def test_replayed_batch_changes_nothing_and_history_dedups(spark):
+    a, b = (1, "https://h/a", html("samesa")), (2, "https://h/b", html("samesa"))
+    out = harvest(spark, [[a], [b]])
+    before = outputs(spark, out)
+    process_batch(spark.createDataFrame([b], PAGE_SCHEMA), 1, out)
+    assert outputs(spark, out) == before and {u for u, _ in before} == {"https://h/a"}

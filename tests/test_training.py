@@ -1,14 +1,17 @@
 """Samples, split, packing, chat rendering, JSON contract, state (FIXTURES 6-7)."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from docforge.functions.chat import render_sample, user_turn
-from docforge.operators.chat import assemble_conversations, prompt_table
-from docforge.operators.contract import contract_checks
-from docforge.operators.train_prep import pack_blocks, train_test_split
-from docforge.params import (BEGIN_OF_TEXT, INSTRUCTION_TEMPLATES, SERVING_SYSTEM_PROMPT)
+from docforge.operators.chat import assemble_conversations, evaluation_prompts, prompt_table
+from docforge.operators.contract import RULES, contract_checks, violations
+from docforge.operators.train_prep import (pack_blocks, split_boundary, train_test_split,
+                                           training_lengths)
+from docforge.params import (BEGIN_OF_TEXT, EVAL_SYSTEM_PROMPT, EXAMPLE_PROMPTS, GOLDEN_QUESTIONS,
+                             INSTRUCTION_TEMPLATES, SERVING_SYSTEM_PROMPT, HarvestParams)
 from docforge.sources.samples_io import read_samples, to_json_line, write_samples
 
 
@@ -87,22 +90,87 @@ def test_json_round_trip_and_contract(spark, tmp_path):
                      "input": "Source: u", "output": "o"}),),
         ('{"instruction": "nope", "input": "u", "output": "o", "extra": "1"}',)], "line string")
     r = contract_checks(lines).collect()
-    assert (r[0].keys_ok, r[0].input_ok, r[0].instruction_ok) == (True, True, True)
-    assert (r[1].keys_ok, r[1].input_ok, r[1].instruction_ok) == (False, False, False)
+    assert all(r[0][k] for k in RULES) and r[0].n_keys == 3
+    assert [k for k in RULES if r[1][k]] == ["round_trip_ok"]
     assert to_json_line(s).first().line.startswith('{"instruction":')
 
 
+def test_contract_rules_one_by_one(spark):
+    good = {"instruction": INSTRUCTION_TEMPLATES[1].format(topic="a\nb é"), "input": "Source: u", "output": "o"}
+    cases = [
+        (json.dumps(good), []),
+        (json.dumps(good, ensure_ascii=False, indent=1), []),
+        (json.dumps({**good, "output": True}), ["types_ok"]),
+        (json.dumps({**good, "instruction": 5}), ["types_ok", "instruction_ok"]),
+        (json.dumps({**good, "output": None}), ["types_ok", "round_trip_ok"]),
+        (json.dumps({k: good[k] for k in ("instruction", "input")}), ["keys_ok", "types_ok", "round_trip_ok"]),
+        (json.dumps({**good, "more": "x"}), ["keys_ok", "types_ok"]),
+        (json.dumps({**good, "input": "source: u"}), ["input_ok"]),
+        (json.dumps([good]), list(RULES)), ("", list(RULES)), (None, list(RULES)), ("{broken", list(RULES)),
+    ]
+    lines = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, line string")
+    got = {i: [] for i in range(len(cases))}
+    for r in violations(contract_checks(lines), ["i"]).collect():
+        got[r.i].append(r.rule)
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_null_user_turn_is_rendered_empty(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", None), (1, 2, "assistant", "a")]
+    r = assemble_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert r.n_messages == 3 and r.prompt.count("<|start_header_id|>") == 3
+
+
+def test_evaluation_prompts(spark):
+    rows = [(1, 0, "system", "own"), (1, 1, "user", "u"), (2, 0, "user", "u"), (3, 0, "system", "")]
+    got = evaluation_prompts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    n = len(GOLDEN_QUESTIONS) + len(EXAMPLE_PROMPTS)
+    assert got.count() == 3 * n
+    by = {(r.conv_id, r.prompt_set, r.prompt_id): r.prompt for r in got.collect()}
+    assert EVAL_SYSTEM_PROMPT in by[1, "golden", 0] and "\n\nown<" in by[1, "example", 0]
+    assert SERVING_SYSTEM_PROMPT in by[2, "example", 7] and SERVING_SYSTEM_PROMPT in by[3, "example", 0]
+
+
+def test_split_moves_no_text(spark):
+    df = spark.range(1000).selectExpr("cast(id AS string) AS k", "repeat('x', 50) AS output")
+    out = train_test_split(df, "k")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and out.where("split = 'test'").count() == 100
+
+
+def test_split_boundary_is_the_row_of_its_rank(spark):
+    keys = spark.range(5000).selectExpr("cast(id % 4990 AS string) AS key")
+    want = sorted((hashlib.md5(f"42#{r.key}".encode()).hexdigest(), r.key) for r in keys.collect())
+    for k in (1, 2, 500, 4999, 5000):
+        assert split_boundary(keys, k, few=7) == want[k - 1]
+    assert split_boundary(keys, 0) is None and split_boundary(keys, 5001) is None
+
+
+def test_pluggable_lengths(spark):
+    s = spark.createDataFrame([("k", "a b", "Source: u", "c d e")],
+                              "sample_id string, instruction string, input string, output string")
+    p = HarvestParams(formatter=lambda i, x, o: o, token_counter=lambda t: F.length(t).cast("bigint"))
+    assert training_lengths(s, ["sample_id"], p).first().n_tok == 5
+    assert training_lengths(s, ["sample_id"]).first().n_tok > 5
+
+
 def test_state_round_trip_and_corrupt(spark, tmp_path):
-    from docforge.sources.state import CrawlState, load_state, save_state
+    from docforge.sources.state import CrawlState
     d = str(tmp_path / "state")
-    v = spark.createDataFrame([("url1",), ("url2",), ("url3",)], "url string")
-    f = spark.createDataFrame([("url4", [0]), ("url5", [1])], "url string, crawl_key array<bigint>")
-    save_state(spark, d, CrawlState(v, f, None, 42, 1))
-    st = load_state(spark, d)
-    assert st.collected == 42
-    assert {r.url for r in st.visited.collect()} == {"url1", "url2", "url3"}
-    assert {r.url for r in st.frontier.collect()} == {"url4", "url5"}
-    bad = tmp_path / "bad"
-    bad.mkdir()
-    (bad / "LATEST").write_text("{invalid json")
-    assert load_state(spark, str(bad)) is None
+    st = CrawlState(spark, d)
+    assert st.steps == 0 and st.frontier() is None and st.read("log").count() == 0
+    st.write("log", spark.createDataFrame([(f"url{k}", 0, [k], k, "kept", 1) for k in (1, 2, 3)],
+                                          "url string, depth int, crawl_key array<long>, page_id long, "
+                                          "gate_reason string, n_samples long"))
+    st.write("frontier", spark.createDataFrame([("url4", 1, [0]), ("url5", 1, [1])],
+                                               "url string, depth int, crawl_key array<long>"))
+    assert CrawlState(spark, d).steps == 0          # not committed yet
+    st.commit(42)
+    st = CrawlState(spark, d)
+    assert st.collected == 42 and st.steps == 1
+    assert {r.url for r in st.read("log").collect()} == {"url1", "url2", "url3"}
+    assert {r.url for r in st.frontier().collect()} == {"url4", "url5"}
+    (tmp_path / "state" / "step=0" / "_COMMITTED.json").write_text("{invalid json")
+    for crc in (tmp_path / "state" / "step=0").glob("._COMMITTED*.crc"):
+        crc.unlink()
+    assert CrawlState(spark, d).steps == 0

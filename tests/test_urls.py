@@ -34,3 +34,11 @@ def test_url_join_matches_python(spark):
     got = {(r.b, r.l): r.j for r in with_url_join(df, "b", "l", "j").collect()}
     for b, l_ in pairs:
         assert got[(b, l_)] == urljoin(b, l_), (b, l_)
+
+
+def test_character_references(spark):
+    from docforge.functions.html import main_text
+    df = spark.createDataFrame([("<p>It&#8217;s &#x27;q&#x27; &eacute; &amp;lt; &#38;gt; &none; &#0; &#xD800; &#128512;",)],
+                               "h string")
+    assert df.select(main_text(F.col("h")).alias("t")).first().t == \
+        "It’s 'q' é &lt; &gt; &none; &#0; &#xD800; \U0001f600"
