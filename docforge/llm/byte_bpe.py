@@ -1,30 +1,33 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 1. Texts are split into pre-tokens, each match of the pattern, and gathered in
-   blocks of some megabytes of text.  Each distinct word of a block is exploded to
-   a row (block, number, word); the block's own row holds the words' numbers in
-   position order.  Both are written.  A word has one row per block at most,
-   so no word is hot, however common it is.
-2. The word rows of all blocks are shuffled by word and sorted; equal words are
-   adjacent and each distinct word is encoded once by the rank table.
-3. The ids go back to the blocks that hold the word, packed per task and block,
-   and each block's documents are put together by position.
+   blocks of some megabytes of text.  Each distinct word of a block is exploded
+   once, with its number in the block, to a bucket by its hash; the block's words
+   of one bucket travel packed in a row.  The block's own rows hold the words'
+   numbers of its documents in position order; they are carried along.  A word goes once per block at
+   most, so no word is hot, however common it is.
+2. The words of all blocks are shuffled by bucket.  Equal words meet there, and
+   each distinct word is encoded once by the rank table.
+3. The ids are joined back to every block that sent the word, and each block's
+   documents are put together by position.
 4. Decoding is the join of ids with the token-byte table, whose size is fixed by
    the vocabulary: ``decode`` explodes ids with their positions, joins the table
-   by broadcast and concatenates by position.  Reassembly joins the same table
-   for the ids of the block's distinct words, then concatenates by position.
-
-No group grows with the corpus: a block is bounded, a text is never cut, and a
-text longer than a block is a block of its own.  Null texts count as empty.
-Ids of documents are carried along and may be null or repeat.
+   by broadcast and concatenates by position.  Where documents are put together
+   the same table is joined to their ids inside the task.
+
+A task holds the distinct words of a bucket, of which there are four per shuffle
+partition, or one block.  A text is never cut; one longer than a block is a block
+of its own.  Null texts count as empty.  Ids of documents are carried along and may
+be null or repeat.  A task that is run again must see its rows in the same order,
+as in a scan of files; other inputs have to be written before (``stable=False``).
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -33,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import scratch_path
 from .common import text_or_empty, written
 
-#: characters of text after which a block is closed; word rows packed at a time
-BLOCK, PACK = 16_000_000, 400_000
+#: characters of text after which a block is closed; pre-tokens of documents in a
+#: row of their word numbers, and words put together at once
+BLOCK, PIECE = 24_000_000, 150_000
+COLUMNS = ["block", "piece", "numbers", "lengths", "tokens", "ids", "sizes", "order"]
 _LOADED: dict = {}
 
 
@@ -67,16 +71,27 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
+def _steps(rising: np.ndarray) -> bytes:
+    return squeeze(np.diff(rising, prepend=0))
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def explode_words(docs: DataFrame, id_col: str, text_col: str, pattern: str, block: int) -> DataFrame:
-    """Written rows of two kinds: (block, number, word), and the block's own
-    (block, ids, sizes, order), the ids and numbers of pre-tokens of its
-    documents and the word numbers by position."""
+    """Rows of two kinds: (block, bucket, numbers, lengths, words), and the block's
+    own (block, bucket, piece, ids, sizes, order), the ids and numbers of pre-tokens
+    of some of its documents and the word numbers by position; their bucket is any."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
-    arrow = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()),
+    arrow = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("piece", pa.int32()),
+                       ("numbers", pa.binary()),
+                       ("lengths", pa.binary()), ("words", pa.binary()),
                        ("ids", pa.list_(to_arrow_type(id_type))), ("sizes", pa.list_(pa.int32())),
                        ("order", pa.binary())])
     source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    buckets = 4 * _partitions(spark)
 
     def batch(**cols):
         n = len(next(iter(cols.values())))
@@ -85,16 +100,31 @@ def explode_words(docs: DataFrame, id_col: str, text_col: str, pattern: str, blo
             for f in arrow], schema=arrow)
 
     def close(key, ids, seen, order):
-        numbers = np.concatenate([np.zeros(0, np.uint32), *order])
-        words = np.array(list(seen), object)
-        by_count = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[by_count] = np.arange(len(words))
-        for at in range(0, len(words), 20_000):
-            part = words[by_count[at:at + 20_000]]
-            yield batch(block=[key] * len(part), number=np.arange(at, at + len(part)), word=part)
-        yield batch(block=[key], ids=[ids], sizes=[[len(x) for x in order]],
-                    order=[squeeze(rank[numbers] if len(words) else numbers)])
+        counts = np.bincount(np.concatenate(order), minlength=len(seen))
+        by_count = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(seen), np.uint32)
+        rank[by_count] = np.arange(len(seen))       # small numbers for common words
+        words = np.array(list(seen), object)[by_count]
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        place = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[place], return_index=True)
+        for k, a, b in zip(used.tolist(), first, [*first[1:], len(place)]):
+            own = place[a:b]
+            parts = words[own].tolist()
+            yield batch(block=[key], bucket=[k], numbers=[_steps(own)],
+                        lengths=[squeeze(np.fromiter(map(len, parts), np.uint32, len(parts)))],
+                        words=[zstandard.compress("".join(parts).encode(), 3)])
+        at = 0
+        while at < len(ids):
+            to, n = at, 0
+            while to < len(ids) and (to == at or n + len(order[to]) <= PIECE):
+                n += len(order[to])
+                to += 1
+            part = order[at:to]
+            yield batch(block=[key], bucket=[zlib.crc32(f"{key} {at}".encode()) % buckets], piece=[at],
+                        ids=[ids[at:to]], sizes=[[len(x) for x in part]],
+                        order=[squeeze(rank[np.concatenate(part)])])
+            at = to
 
     def split(batches):
         from pyspark import TaskContext
@@ -115,95 +145,122 @@ def explode_words(docs: DataFrame, id_col: str, text_col: str, pattern: str, blo
         if ids:
             yield from close(key, ids, seen, order)
 
-    path = scratch_path(spark, "block-words")
     kind = id_type.simpleString()
-    source.mapInArrow(split, "block long, number int, word string, "
-                      f"ids array<{kind}>, sizes array<int>, `order` binary") \
-        .write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return source.mapInArrow(split, "block long, bucket int, piece int, numbers binary, lengths binary, "
+                             f"words binary, ids array<{kind}>, sizes array<int>, `order` binary")
+
+
+def encode_words(rows: DataFrame, path: str) -> DataFrame:
+    """COLUMNS: a row for each row of ``rows``, the words replaced by their ids; a
+    block's own rows as they are."""
+    kind = rows.schema["ids"].dataType
+
+    def ids_of(encode, known, lengths, data):
+        text, at, ids = zstandard.decompress(data).decode(), 0, []
+        for n in unsqueeze(lengths).tolist():
+            word = text[at:at + n]
+            at += n
+            got = known.get(word)
+            if got is None:
+                got = known[word] = encode(word)
+            ids.append(got)
+        return (squeeze(np.fromiter(map(len, ids), np.uint32, len(ids))),
+                squeeze(np.array([x for part in ids for x in part], np.uint32)))
 
+    def run(batches):
+        encode, known, last = word_encoder(path), {}, None
+        for b in batches:
+            for at in range(b.num_rows):
+                row = b.slice(at, 1)
+                block, bucket, piece, numbers, lengths, words, ids, sizes, order = row.columns
+                if bucket[0].as_py() != last:
+                    known, last = {}, bucket[0].as_py()
+                got = (ids_of(encode, known, lengths[0].as_py(), words[0].as_py())
+                       if words[0].is_valid else (None, None))
+                yield pa.RecordBatch.from_arrays(
+                    [block, piece, numbers, *(pa.array([x], pa.binary()) for x in got),
+                     ids, sizes, order], COLUMNS)
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, numbers, lengths, ids), packed: the ids of the blocks' words.
-    Word rows meet by word; adjacent equal words are encoded once."""
+    return (rows.repartition(_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(run, "block long, piece int, numbers binary, lengths binary, tokens binary, "
+                        f"ids {kind.simpleString()}, sizes array<int>, `order` binary"))
 
-    def run(batches):
-        encode = word_encoder(path)
-        blocks, numbers, which, lengths, ids, last, rows = [], [], [], [], [], None, 0
-
-        def close():
-            block, number = np.concatenate(blocks), np.concatenate(numbers)
-            length = np.array(lengths, np.int64)
-            flat = np.array([x for part in ids for x in part], np.uint32)
-            start = np.cumsum(length) - length
-            order = np.lexsort((number, block))
-            at = np.array(which, np.int64)[order]
-            keys, first = np.unique(block[order], return_index=True)
-            out = []
-            for a, b in zip(first, [*first[1:], len(order)]):
-                own = at[a:b]
-                n = length[own]
-                from_ = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append((squeeze(number[order[a:b]]), squeeze(n), squeeze(flat[from_])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64())] + [pa.array(c, pa.binary()) for c in zip(*out)],
-                ["block", "numbers", "lengths", "ids"])
 
-        for b in batches:
-            blocks.append(b.column(0).to_numpy())
-            numbers.append(b.column(1).to_numpy())
-            for word in b.column(2).to_pylist():
-                if word != last:
-                    last = word
-                    ids.append(encode(word))
-                    lengths.append(len(ids[-1]))
-                which.append(len(ids) - 1)
-            rows += b.num_rows
-            if rows >= PACK:
-                yield close()
-                keep = ids[-1]              # the last word may go on
-                blocks, numbers, which, rows = [], [], [], 0
-                ids, lengths = [keep], [len(keep)]
-        if rows:
-            yield close()
-
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (words.repartition(parts, "word").sortWithinPartitions("word")
-            .select("block", "number", "word")
-            .mapInArrow(run, "block long, numbers binary, lengths binary, ids binary"))
+def _pieces(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches (start, length) of ``flat``, one after the other."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class TokenBytes:
+    """The token-byte table as arrays, to join ids by their number."""
+
+    def __init__(self, path: str):
+        table = {rank: token for token, rank in read_ranks(path).items()}
+        tokens = [table.get(k, b"") for k in range(max(table) + 1)]
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        return b"".join(_pieces(self.flat, self.start[part], self.length[part]).tobytes()
+                        for part in (ids[k:k + PIECE] for k in range(0, len(ids), PIECE)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
-           id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
+           stable: bool = True) -> DataFrame:
     """Per row: id, token_ids array<int>, decoded binary (the ids decoded again)."""
-    rows = explode_words(docs, id_col, text_col, pattern, block)
-    packed = encode_words(rows.where("word IS NOT NULL"), path)
-    own = rows.where("`order` IS NOT NULL").select("block", F.col("ids").alias("docs"), "sizes", "order")
-    tokens = docs.sparkSession.sparkContext.broadcast(sorted(read_ranks(path).items(), key=lambda x: x[1]))
-
-    def assemble(key, pdf):
-        head = pdf[pdf["order"].notna()].iloc[0]
-        order = unsqueeze(head["order"])
-        table = {rank: token for token, rank in tokens.value}
-        n_words = int(order.max()) + 1 if len(order) else 0
-        ids, text = [None] * n_words, [b""] * n_words
-        for _, row in pdf[pdf["numbers"].notna()].iterrows():
-            flat, ends = unsqueeze(row["ids"]), np.cumsum(unsqueeze(row["lengths"]))
-            joined = [table[i] for i in flat.tolist()]
-            for number, a, b in zip(unsqueeze(row["numbers"]).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                ids[number], text[number] = flat[a:b], b"".join(joined[a:b])
-        out_ids, out_text, at = [], [], 0
-        for size in head["sizes"]:
-            words = order[at:at + size].tolist()
-            out_ids.append(np.concatenate([ids[w] for w in words]).astype(np.int32) if words
-                           else np.zeros(0, np.int32))
-            out_text.append(b"".join([text[w] for w in words]))
-            at += size
-        return pd.DataFrame({id_col: list(head["docs"]), "token_ids": out_ids, "decoded": out_text})
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return (packed.unionByName(own, allowMissingColumns=True).groupBy("block")
-            .applyInPandas(assemble, f"{id_col} {id_type}, token_ids array<int>, decoded binary"))
+    spark = docs.sparkSession
+    if not stable:
+        docs = written(docs.select(id_col, text_col), "texts")
+    packed = encode_words(explode_words(docs, id_col, text_col, pattern, block), path)
+    id_type = docs.schema[id_col].dataType
+    arrow = pa.schema([(id_col, to_arrow_type(id_type)), ("token_ids", pa.list_(pa.int32())),
+                       ("decoded", pa.binary())])
+
+    def word_ids(rows):
+        """(flat ids, start and length by word number) of a block's words."""
+        tokens = [unsqueeze(r["tokens"]) for r in rows]
+        lengths = [unsqueeze(r["lengths"]).astype(np.int64) for r in rows]
+        numbers = [np.cumsum(unsqueeze(r["numbers"])) for r in rows]
+        if not rows:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number, every = np.concatenate(numbers), np.concatenate(lengths)
+        start, length = np.empty_like(every), np.empty_like(every)
+        start[number], length[number] = np.cumsum(every) - every, every
+        return np.concatenate(tokens), start, length
+
+    def documents(row, flat, start, length, table):
+        order, at = unsqueeze(row["order"]), 0
+        ids, texts = [], []
+        for n in row["sizes"]:
+            words = order[at:at + n]
+            at += n
+            got = np.concatenate([_pieces(flat, start[part], length[part]) for part in
+                                  (words[k:k + PIECE] for k in range(0, max(1, n), PIECE))])
+            ids.append(got.astype(np.int32))
+            texts.append(table.text(got))
+        return pa.RecordBatch.from_arrays([
+            pa.array(c, f.type) for c, f in zip((row["ids"], ids, texts), arrow)], schema=arrow)
+
+    def assemble(batches):
+        """A block's words come first, then its documents."""
+        table, last, words, joined = TokenBytes(path), None, [], None
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(i)[k].as_py() for i, c in enumerate(COLUMNS)}
+                if row["block"] != last:
+                    last, words, joined = row["block"], [], None
+                if row["order"] is None:
+                    words.append(row)
+                    continue
+                if joined is None:
+                    joined, words = word_ids(words), []
+                yield documents(row, *joined, table)
+
+    return (packed.repartition(_partitions(spark), "block").sortWithinPartitions("block", "piece")
+            .mapInArrow(assemble, f"{id_col} {id_type.simpleString()}, token_ids array<int>, decoded binary"))
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:

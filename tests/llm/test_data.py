@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 import zstandard
@@ -27,25 +28,34 @@ def pairs_of(df, *cols):
 # ---------------------------------------------------------------- BPE
 
 
-@pytest.mark.parametrize("block", [1, 200, 10**9])
-def test_encode_equals_the_library(odd_docs, block):
+@pytest.mark.parametrize("block,piece", [(1, 10**9), (200, 2), (10**9, 7), (10**9, 150_000)])
+def test_encode_equals_the_library(odd_docs, block, piece, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECE", piece)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
                                 mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     docs = odd_docs.repartition(3).union(odd_docs.sparkSession.createDataFrame(
         [(50, "<|endoftext|> x" + chr(0x1c) + "\x85    don't DON'T  ", "en", "s", 1, "c", 0.5, 1, "k")],
         odd_docs.schema))
-    got = byte_bpe.encode(docs, RANKS, block=block).collect()
+    got = byte_bpe.encode(docs, RANKS, block=block, stable=block > 1).collect()
     want = [(r.doc_id, library.encode_ordinary(r.text or ""), (r.text or "").encode())
             for r in docs.collect()]
     key = lambda x: (str(x[0]), x[2], x[1])
     assert sorted(((r.doc_id, r.token_ids, bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
 
 
-def test_pack_boundary_words_are_encoded_once(odd_docs, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "PACK", 3)
-    got = byte_bpe.encode(odd_docs.repartition(4), RANKS, block=20)
-    assert sorted(bytes(r.decoded) for r in got.collect()) == sorted(
-        (r.text or "").encode() for r in odd_docs.collect())
+def test_equal_words_meet_in_one_bucket(some_docs):
+    """So that each distinct word is encoded once, and sent once per block."""
+    rows = byte_bpe.explode_words(some_docs, "doc_id", "text", public_tokenizers.PATTERN, 50_000)
+    bucket_of, sent = {}, set()
+    for r in rows.where("words IS NOT NULL").collect():
+        text, at = zstandard.decompress(bytes(r.words)).decode(), 0
+        for n in byte_bpe.unsqueeze(bytes(r.lengths)).tolist():
+            word = text[at:at + n]
+            at += n
+            assert bucket_of.setdefault(word, r.bucket) == r.bucket and (word, r.block) not in sent
+            sent.add((word, r.block))
+    assert len({b for _, b in sent}) > 3 and set(bucket_of) == {
+        w for r in some_docs.collect() for w in regex.findall(public_tokenizers.PATTERN, r.text)}
 
 
 def test_decode_is_a_join(spark):
