@@ -34,6 +34,13 @@ def not_visited(df: DataFrame, url_col: str, visited: DataFrame) -> DataFrame:
     return df.join(visited.select(F.col("url").alias(url_col)), url_col, "left_anti")
 
 
+def resolved(links: DataFrame) -> DataFrame:
+    """Resolved links as a written table.  Catalyst moves semi and anti joins below
+    the projections that resolve a link, and would repeat all of them in the
+    join's condition."""
+    return materialise(links, "resolved-links")
+
+
 def page_links(pages: DataFrame, id_cols: list[str], url_col: str = "url",
                html_col: str = "html") -> DataFrame:
     """X3 + X2: (id_cols..., link_pos, link) absolute links of each page, in
@@ -47,7 +54,8 @@ def page_links(pages: DataFrame, id_cols: list[str], url_col: str = "url",
 def discover_links(pages: DataFrame, id_cols: list[str], domains: DataFrame,
                    visited: DataFrame | None) -> DataFrame:
     """L1: allowed (F9/J2), unseen (J1) absolute links of ``pages``."""
-    links = domain_allowed(page_links(pages, id_cols), "link", prepare_domains(domains))
+    links = resolved(page_links(pages, id_cols))
+    links = domain_allowed(links, "link", prepare_domains(domains))
     if visited is not None:
         links = not_visited(links, "link", materialise(visited.select("url").distinct(), "visited"))
     return links

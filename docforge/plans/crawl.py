@@ -39,7 +39,7 @@ from ..functions.url import hrefs, netloc, with_url_join
 from ..operators.chunk import chunk, chunk_count
 from ..operators.dedup import greedy_dedup_sigs
 from ..operators.gates import gate_reason
-from ..operators.links import domain_allowed, not_visited, prepare_domains
+from ..operators.links import domain_allowed, not_visited, prepare_domains, resolved
 from ..operators.ordering import running_sum
 from ..params import HarvestParams
 from ..session import cut_lineage, path_exists, scratch_path
@@ -172,7 +172,8 @@ def _step(state: CrawlState, frontier: DataFrame, depth: int, reduced: DataFrame
     # L1 on processed kept pages only
     raw = decided.where("_ok AND gate_reason = 'kept'").select(
         F.col("url").alias("_base"), "crawl_key", F.posexplode("hrefs").alias("link_pos", "_href"))
-    links = domain_allowed(with_url_join(raw, "_base", "_href", "link"), "link", allowed)
+    links = resolved(with_url_join(raw, "_base", "_href", "link").select("link", "crawl_key", "link_pos"))
+    links = domain_allowed(links, "link", allowed)
     # repeated links collapse map-side before the visited set is joined
     links = links.groupBy(F.col("link").alias("url")).agg(F.min(F.concat(
         F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))).alias("crawl_key"))

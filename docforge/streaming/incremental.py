@@ -28,7 +28,7 @@ from ..functions.samples import instruction, source_tag
 from ..functions.url import netloc, with_url_join
 from ..operators.chunk import chunk
 from ..operators.dedup import explode_bands, greedy_dedup_sigs
-from ..operators.links import domain_allowed, not_visited, prepare_domains
+from ..operators.links import domain_allowed, not_visited, prepare_domains, resolved
 from ..params import HarvestParams
 from ..plans.crawl import page_rows
 from ..session import ensure_checkpoint_dir, materialise, path_exists, spread
@@ -94,7 +94,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, p: HarvestParam
         source_tag(F.col("url")).alias("input"), F.col("chunk").alias("output")), "samples")
     write(buckets, "kept_buckets")
     raw = kept.select(F.col("url").alias("_base"), F.posexplode("hrefs").alias("link_pos", "_href"))
-    links = with_url_join(raw, "_base", "_href", "link")
+    links = resolved(with_url_join(raw, "_base", "_href", "link").select("_base", "link_pos", "link"))
     if allowed is not None:
         links = domain_allowed(links, "link", allowed)
     links = not_visited(not_visited(links, "link", before("seen_urls")), "link", first)
