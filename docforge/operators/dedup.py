@@ -80,7 +80,6 @@ BUCKET = ["_band", "_bkey"]
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Member rows of buckets with two or more members."""
-    members = materialise(members, "bucket-members")
     sizes = materialise(members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("_n"))
                         .where("_n > 1").select(*BUCKET), "shared-buckets")
     return members.join(sizes, BUCKET, "left_semi")

@@ -126,16 +126,13 @@ def crawl(seeds: DataFrame, domains: DataFrame, pages: DataFrame,
         frontier = seeds.select("url", F.lit(0).alias("depth"), F.array(
             F.col("pos").cast("bigint")).alias("crawl_key"))
     made = 0
-    while state.collected < p.max_samples and (max_steps is None or made < max_steps):
-        depth = frontier.agg(F.min("depth")).first()[0]
-        if depth is None:
-            break
+    depth = state.depth if state.steps else 0
+    while depth is not None and state.collected < p.max_samples and (max_steps is None or made < max_steps):
         _step(state, frontier, depth, reduced, allowed, p)
-        frontier = state.frontier()
+        frontier, depth = state.frontier(), state.depth
         made += 1
-    left = not frontier.isEmpty()
     return CrawlResult(state.read("log"), state.read("samples"), state.collected, state.steps,
-                       left and state.collected >= p.max_samples)
+                       depth is not None and state.collected >= p.max_samples)
 
 
 def _step(state: CrawlState, frontier: DataFrame, depth: int, reduced: DataFrame,
@@ -154,7 +151,6 @@ def _step(state: CrawlState, frontier: DataFrame, depth: int, reduced: DataFrame
         F.when(F.col("gate_reason") != "pass", F.col("gate_reason"))
         .when(kept, F.lit("kept")).otherwise(F.lit("duplicate")).alias("gate_reason"),
         F.when(kept, F.col("_nchunks")).otherwise(F.lit(0).cast("bigint")).alias("n_samples"))
-    decided = cut_lineage(decided)
     # O2: the budget's cut in crawl order
     before = running_sum(decided.select("url", "crawl_key", "n_samples"), ["crawl_key"], "n_samples", "_cum")
     before = before.select("url", (F.lit(state.collected) + F.col("_cum") - F.col("n_samples")).alias("_before"))
@@ -182,8 +178,8 @@ def _step(state: CrawlState, frontier: DataFrame, depth: int, reduced: DataFrame
     queue = frontier.where(F.col("depth") > depth).unionByName(waiting).unionByName(
         links.select("url", F.lit(depth + 1).alias("depth"), "crawl_key"))
     first = queue.groupBy("url").agg(F.min(F.struct("depth", "crawl_key")).alias("_k"))
-    state.write("frontier", first.select("url", "_k.depth", "_k.crawl_key"))
-    state.commit(collected)
+    queue = state.write("frontier", first.select("url", "_k.depth", "_k.crawl_key"))
+    state.commit(collected, queue.agg(F.min("depth")).first()[0])
     log.info("crawl step %d at depth %d: %d samples so far", state.steps, depth, collected)
 
 

@@ -62,9 +62,10 @@ class CrawlState:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.steps, self.collected = 0, 0
+        #: committed steps, samples so far, smallest depth in the queue (None: empty)
+        self.steps, self.collected, self.depth = 0, 0, None
         while (meta := self._marker(self.steps)) is not None:
-            self.collected = int(meta["collected_count"])
+            self.collected, self.depth = int(meta["collected_count"]), meta["depth"]
             self.steps += 1
 
     def folder(self, step: int, table: str) -> str:
@@ -76,7 +77,7 @@ class CrawlState:
             if text is None:
                 return None
             meta = json.loads(text)
-            int(meta["collected_count"])
+            int(meta["collected_count"]), meta["depth"]
             return meta
         except Exception as e:  # unreadable: the state ends before this step
             log.error("crawl state %s, step %d is unreadable: %s", self.path, step, e)
@@ -89,11 +90,11 @@ class CrawlState:
         df.select(*schema.fieldNames()).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def commit(self, collected: int) -> None:
+    def commit(self, collected: int, depth: int | None) -> None:
         """The marker goes last, after all tables of the step."""
         _write_text(self.spark, self.folder(self.steps, MARKER),
-                    json.dumps({"collected_count": collected}))
-        self.collected = collected
+                    json.dumps({"collected_count": collected, "depth": depth}))
+        self.collected, self.depth = collected, depth
         self.steps += 1
 
     def read(self, table: str) -> DataFrame:

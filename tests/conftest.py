@@ -13,5 +13,5 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from docforge.session import local_session
-    s = local_session("*", shuffle_partitions=8, app="docforge-tests")
+    s = local_session("*", shuffle_partitions=4, app="docforge-tests")
     yield s

@@ -1,5 +1,6 @@
 """G1 crawl closure on the hand-made graph (FIXTURES section 5)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docforge.params import HarvestParams
@@ -40,9 +41,15 @@ def graph(spark):
     return pages, domains
 
 
-def test_crawl_graph_order_and_reasons(spark):
+@pytest.fixture(scope="module")
+def whole(spark):
+    """The graph's crawl in one run."""
     pages, domains = graph(spark)
-    res = crawl(seeds_frame(spark, ["https://h/p1"]), domains, pages, HarvestParams())
+    return crawl(seeds_frame(spark, ["https://h/p1"]), domains, pages, HarvestParams())
+
+
+def test_crawl_graph_order_and_reasons(whole):
+    res = whole
     got = {r.url: (r.depth, r.gate_reason) for r in res.log.collect()}
     assert got == {
         "https://h/p1": (0, "kept"),
@@ -76,7 +83,7 @@ def rows(df):
 
 def test_chain_is_crawled_to_its_end(spark):
     """No bound on depth: the run ends when the frontier is empty."""
-    n = 9
+    n = 4
     data = [page(f"https://h/{i}", long_text(f"w{i}x"), [f"/{i + 1}"]) for i in range(n)]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(data)],
                                   "page_id long, url string, html string")
@@ -87,10 +94,9 @@ def test_chain_is_crawled_to_its_end(spark):
     assert not res.stopped_by_budget and not hasattr(HarvestParams(), "max_depth")
 
 
-def test_resume_after_every_step_equals_one_run(spark):
+def test_resume_after_every_step_equals_one_run(spark, whole):
     pages, domains = graph(spark)
     seeds = seeds_frame(spark, ["https://h/p1"])
-    whole = crawl(seeds, domains, pages)
     state = scratch_path(spark, "resume")
     steps = 0
     while True:      # one step per run, as if the run were killed after each
@@ -103,11 +109,10 @@ def test_resume_after_every_step_equals_one_run(spark):
     assert res.collected == whole.collected == res.samples.count()
 
 
-def test_step_without_marker_is_made_again(spark):
+def test_step_without_marker_is_made_again(spark, whole):
     from docforge.sources.state import CrawlState, MARKER
     pages, domains = graph(spark)
     seeds = seeds_frame(spark, ["https://h/p1"])
-    whole = crawl(seeds, domains, pages)
     state = scratch_path(spark, "uncommitted")
     crawl(seeds, domains, pages, state_dir=state, max_steps=2)
     last = CrawlState(spark, state).folder(1, MARKER)
@@ -118,10 +123,9 @@ def test_step_without_marker_is_made_again(spark):
     assert rows(res.log) == rows(whole.log) and rows(res.samples) == rows(whole.samples)
 
 
-def test_larger_budget_goes_on_where_a_smaller_one_stopped(spark):
+def test_larger_budget_goes_on_where_a_smaller_one_stopped(spark, whole):
     pages, domains = graph(spark)
     seeds = seeds_frame(spark, ["https://h/p1"])
-    whole = crawl(seeds, domains, pages)
     state = scratch_path(spark, "budget")
     small = crawl(seeds, domains, pages, HarvestParams(max_samples=1), state_dir=state)
     assert small.stopped_by_budget and small.log.count() < whole.log.count()

@@ -165,9 +165,9 @@ def test_state_round_trip_and_corrupt(spark, tmp_path):
     st.write("frontier", spark.createDataFrame([("url4", 1, [0]), ("url5", 1, [1])],
                                                "url string, depth int, crawl_key array<long>"))
     assert CrawlState(spark, d).steps == 0          # not committed yet
-    st.commit(42)
+    st.commit(42, 1)
     st = CrawlState(spark, d)
-    assert st.collected == 42 and st.steps == 1
+    assert (st.collected, st.steps, st.depth) == (42, 1, 1)
     assert {r.url for r in st.read("log").collect()} == {"url1", "url2", "url3"}
     assert {r.url for r in st.frontier().collect()} == {"url4", "url5"}
     (tmp_path / "state" / "step=0" / "_COMMITTED.json").write_text("{invalid json")
