@@ -27,6 +27,7 @@ A NULL text counts as the empty text.
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,26 +90,24 @@ def greedy_rounds(members: DataFrame) -> DataFrame:
     """D1 on bucket membership rows (_id, _ord, _band, _bkey): returns
     (_id, _keep) for every id in ``members``."""
     edges = materialise(shared_buckets(members), "greedy-edges")
-    verdict = members.select("_id").distinct().join(
-        edges.select("_id").distinct(), "_id", "left_anti").withColumn("_keep", F.lit(True))
+    alone = members.select("_id").distinct().join(edges.select("_id").distinct(), "_id", "left_anti")
+    kept = [alone]
     rounds = 0
     while not edges.isEmpty():
         rounds += 1
         first = materialise(edges.groupBy(*BUCKET).agg(F.min("_ord").alias("_first")), "greedy-first")
-        kept = materialise(
+        won = materialise(
             edges.join(first, BUCKET).groupBy("_id").agg(F.min(F.col("_ord") == F.col("_first"))
                                                          .alias("_won")).where("_won").select("_id"),
             "greedy-kept")
-        taken = materialise(edges.join(kept, "_id", "left_semi").select(*BUCKET).distinct(),
-                            "greedy-taken")
-        gone = materialise(edges.join(taken, BUCKET, "left_semi").select("_id").distinct()
-                           .join(kept.withColumn("_keep", F.lit(True)), "_id", "left")
-                           .select("_id", F.coalesce("_keep", F.lit(False)).alias("_keep")),
-                           "greedy-decided")
-        edges = materialise(edges.join(gone, "_id", "left_anti"), "greedy-edges")
-        verdict = verdict.unionByName(gone)
+        taken = materialise(edges.join(won, "_id", "left_semi").select(*BUCKET).distinct(), "greedy-taken")
+        decided = edges.join(taken, BUCKET, "left_semi").select("_id").distinct()
+        edges = materialise(edges.join(decided, "_id", "left_anti"), "greedy-edges")
+        kept.append(won)
     log.info("greedy dedup finished after %d rounds", rounds)
-    return verdict
+    kept_ids = reduce(DataFrame.unionByName, kept).withColumn("_keep", F.lit(True))
+    return members.select("_id").distinct().join(kept_ids, "_id", "left").select(
+        "_id", F.coalesce("_keep", F.lit(False)).alias("_keep"))
 
 
 def greedy_dedup_sigs(sigs: DataFrame, prior_buckets: DataFrame | None = None,
