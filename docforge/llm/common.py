@@ -55,16 +55,18 @@ def label_sample(labels: DataFrame, label: str, folds: int, held_out: int, bound
     """(doc_id, label) of at most ``bound`` labelled rows outside the held-out
     fold, those with the smallest id hashes: a bounded table, safe to broadcast.
     Of several labels of one document the largest counts; null labels don't."""
-    rows = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()
-                         & (fold("doc_id", folds) != held_out))
-            .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")))
-    return bounded_sample(rows, ["doc_id"], bound, labels.count())
+    rows = written(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()
+                                & (fold("doc_id", folds) != held_out))
+                   .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")),
+                   "usable-labels")
+    return bounded_sample(rows, ["doc_id"], bound, rows.count())
 
 
 def bounded_sample(rows: DataFrame, key: list[str], bound: int, about: int) -> DataFrame:
-    """The at most ``bound`` rows with the smallest hashes of ``key``.  ``about``, a
-    bound of the number of rows, thins them out by hash first, so that tasks
-    don't each send ``bound`` rows to the one that picks."""
+    """The at most ``bound`` rows with the smallest hashes of ``key``.  ``about``, the
+    number of ``rows`` themselves (a larger one would leave too few), thins them
+    out by hash first, so that tasks don't each send ``bound`` rows to the one
+    that picks."""
     at = F.abs(F.xxhash64(*key) / float(1 << 63))
     if about > 4 * bound:
         rows = rows.where(at < 4 * bound / about)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from docforge.llm import html_extract, html_tree, quality, toxicity
+from docforge.llm.common import label_sample
 from docforge.llm.html_pages import labelled_pages
 from docforge.llm.queries import QUERIES
 
@@ -61,6 +62,17 @@ def test_filters_on_odd_rows(spark, odd_docs, no_docs, module, reject):
     assert module.add_scores(odd_docs, module.fit(no_docs, labels)).count() == odd_docs.count()
 
 
+def test_label_sample_is_full_if_few_labels_are_usable(spark):
+    """Null labels, repeats and the held-out fold don't thin out the usable rows."""
+    labels = spark.range(20_000).selectExpr(
+        "id DIV 2 AS doc_id", "IF(id < 400, int(id DIV 2 % 2), NULL) AS toxic")
+    usable = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for bound in (50, 1000):
+        got = label_sample(labels, "toxic", 4, 2, bound).collect()
+        assert len(got) == min(bound, len(usable)) and {r.doc_id for r in got} <= set(usable)
+        assert all(r.label == r.doc_id % 2 for r in got) and {r.label for r in got} == {0, 1}
+
+
 def test_discriminant_matches_densities():
     rng = np.random.default_rng(0)
     x = [rng.normal(size=(400, 14)) @ rng.normal(size=(14, 14)) * 0.3 + m for m in (0, 0.4)]
