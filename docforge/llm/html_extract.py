@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_pages import labelled_pages
+from .html_pages import embedding_pages, labelled_pages
 from .html_tree import BLOCK, HINTS, Node, parse
 
 THRESHOLD = 0.5
@@ -36,7 +36,7 @@ STEPS, RATE, RIDGE = 150, 0.15, 0.01
 _TAGS = {tag: k for k, tag in enumerate(sorted(BLOCK | {"root"}))}
 _KINDS = {kind: k for k, kind in enumerate([*HINTS, "hidden"])}
 _NUMBERS = ["element", "leaf", "log_words", "linked", "all_linked", "sentence", "few_words",
-            "many_words", "single_word"]
+            "many_words", "single_word", "embedded"]
 _AT_KIND = 2 * (len(_TAGS) + 1)
 _AT_NUMBER = _AT_KIND + len(_KINDS)
 _FEATURES = _AT_NUMBER + len(_NUMBERS)
@@ -61,6 +61,8 @@ def node_features(node: Node) -> list[tuple[int, float]]:
         out.append((_AT_NUMBER + 4, 1.0))
     if node.text[-1] in ".!?:\"”»…":
         out.append((_AT_NUMBER + 5, 1.0))
+    if node.embedded:
+        out.append((_AT_NUMBER + 9, node.embedded))
     out.append((_AT_NUMBER + (6 if n <= 4 else 7 if n >= 20 else 8), 1.0 if n != 1 else 1.5))
     return out
 
@@ -189,7 +191,7 @@ def train(pages: list[str], steps: int = STEPS) -> TreeModel:
 @functools.cache
 def default_model() -> TreeModel:
     """The model of the labelled pages, trained once per process."""
-    return train(labelled_pages())
+    return train(labelled_pages() + embedding_pages())
 
 
 def extract(pages: DataFrame, model: TreeModel | None = None, html_col: str = "html",

@@ -148,3 +148,31 @@ class _Page:
 def labelled_pages(n: int = 120, seed: int = 1) -> list[str]:
     rng = random.Random(seed)
     return [_Page(rng).page() for _ in range(n)]
+
+
+class _EmbeddingPage(_Page):
+    """Pages with fallback and foreign content: main text where it stands in the
+    article, not main text outside; some of the elements have no end tag."""
+
+    def embedded(self) -> str:
+        tag = self.some("object", "noscript", "video", "audio", "canvas", "svg")
+        text = self.sentences(1, 3)
+        inner = f"<text>{text}</text>" if tag == "svg" else text
+        return f"<{tag}>{inner}</{tag}>"
+
+    def body(self) -> str:
+        start = self.some("", "", "<svg>", "<object>", "<video>", "<canvas>")
+        return (start + super().body() + self.embedded() + self.paragraph()
+                + f"<p>{self.sentences(1, 1)} <math><mi>{self.words(1, 1)}</mi></math> {self.sentences(1, 1)}</p>")
+
+    def top(self) -> str:
+        options = "".join(f"<option>{self.words(1, 2)}" for _ in range(self.rng.randint(2, 5)))
+        return self.some(self.embedded(), f"<select>{options}</select>") + super().top()
+
+    def bottom(self) -> str:
+        return super().bottom() + self.embedded()
+
+
+def embedding_pages(n: int = 30, seed: int = 2) -> list[str]:
+    rng = random.Random(seed)
+    return [_EmbeddingPage(rng).page() for _ in range(n)]

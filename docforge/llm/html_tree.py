@@ -4,7 +4,8 @@ A tolerant reader of whole pages: comments, declarations and raw-text elements
 are passed over, end tags may be missing, attributes unquoted or cut off.
 Block elements are the inner nodes; a run of inline content between block
 borders is a leaf.  Inline elements make no nodes unless their class or id says
-what they are (an advert in a span).
+what they are (an advert in a span).  Fallback and foreign content (``EMBED``) is
+read like other inline content; a run knows what share of it is of that kind.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Fixed values of HTML.
-RAW = {"script", "style", "noscript", "title", "textarea", "iframe", "xmp", "template",
-       "svg", "math", "object", "noembed", "noframes", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "iframe", "template"}
+EMBED = {"audio", "canvas", "noembed", "noframes", "noscript", "object", "select", "svg", "video"}
+#: a start tag of a block ends these, unless it stands in one of INTEGRATION
+FOREIGN = {"svg", "math"}
+INTEGRATION = {"foreignobject", "annotation-xml", "desc"}
+#: words on both sides of such a tag are apart
+APART = EMBED - {"svg"} | {"option", "optgroup", "text", "desc"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center",
@@ -56,6 +62,7 @@ HINTS = {
              "articlebody", "maincontent", "page"],
 }
 _KIND = {word: kind for kind, words in HINTS.items() for word in words}
+XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -80,11 +87,12 @@ def hints(attributes: str) -> tuple[set, dict]:
 
 class Node:
     """A block element (text is None) or a run of text (tag of its element)."""
-    __slots__ = ("tag", "kinds", "attributes", "parent", "text", "words", "linked")
+    __slots__ = ("tag", "kinds", "attributes", "parent", "text", "words", "linked", "embedded")
 
-    def __init__(self, tag, kinds, attributes, parent, text=None, words=0, linked=0.0):
+    def __init__(self, tag, kinds, attributes, parent, text=None, words=0, linked=0.0,
+                 embedded=0.0):
         self.tag, self.kinds, self.attributes, self.parent = tag, kinds, attributes, parent
-        self.text, self.words, self.linked = text, words, linked
+        self.text, self.words, self.linked, self.embedded = text, words, linked, embedded
 
 
 def parse(page: str | None) -> list[Node]:
@@ -95,27 +103,37 @@ def parse(page: str | None) -> list[Node]:
     stack = [("root", 0)]               # open elements: (tag, node or None for inline)
     at_node = 0
     links = 0                           # open links
-    run: list = []                      # (text, linked?)
+    embeds = [0]                        # open elements of EMBED inside each open node
+    foreign = 0                         # open elements of FOREIGN
+    run: list = []                      # (text, linked?, embedded?)
 
     def flush():
         if run:
-            text = " ".join(html.unescape("".join(x for x, _ in run)).split())
+            text = " ".join(html.unescape("".join(x for x, _, _ in run)).split())
             if text:
-                all_chars = sum(len(x) for x, _ in run)
-                linked = sum(len(x) for x, a in run if a) / all_chars
+                all_chars = sum(len(x) for x, _, _ in run)
+                linked = sum(len(x) for x, a, _ in run if a) / all_chars
+                embedded = sum(len(x) for x, _, e in run if e) / all_chars
                 nodes.append(Node(nodes[at_node].tag, set(), {}, at_node, text,
-                                  text.count(" ") + 1, linked))
+                                  text.count(" ") + 1, linked, embedded))
             run.clear()
 
+    def add(text):
+        run.append((text, links > 0, embeds[-1] > 0))
+
     def pop_to(k):
-        nonlocal at_node, links
+        nonlocal at_node, links, foreign
         if any(node is not None for _, node in stack[k:]):
             flush()
         for tag, node in reversed(stack[k:]):
             if tag == "a":
                 links -= 1
+            foreign -= tag in FOREIGN
             if node is not None:
                 at_node = nodes[node].parent
+                embeds.pop()
+            else:
+                embeds[-1] -= tag in EMBED
         del stack[k:]
 
     def close(tags, scope):
@@ -132,59 +150,80 @@ def parse(page: str | None) -> list[Node]:
     while pos < size:
         start = page.find("<", pos)
         if start < 0:
-            run.append((page[pos:], links > 0))
+            add(page[pos:])
             break
         m = TOKEN.match(page, start)
         if not m:
-            run.append((page[pos:start + 1], links > 0))
+            add(page[pos:start + 1])
             pos = start + 1
             continue
         if start > pos:
-            run.append((page[pos:start], links > 0))
+            add(page[pos:start])
         pos = m.end()
         tag = m[2] or m[5]
         if not tag:
             if page.startswith("<![CDATA[", start):
-                run.append((html.escape(m[0][9:].removesuffix("]]>")), links > 0))
+                add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
             if tag == "br":
-                run.append((" ", links > 0))
+                add(" ")
             elif tag not in ("html", "body"):
-                close({tag}, () if tag in BLOCK else BLOCK)
+                close({tag}, () if tag in BLOCK else BLOCK - {"p"} if tag in EMBED else BLOCK)
+                if tag in APART:
+                    add(" ")
             continue
         attributes = m[3] if m[2] else m[6]
         if tag in RAW:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
                 pos = end.end() if end else size
-            if tag not in ("script", "style", "svg", "math"):
-                run.append((" ", links > 0))
+            if tag not in ("script", "style"):
+                add(" ")
             continue
         if tag in VOID:
             if tag == "hr":
                 close({"p"}, SCOPE | {"td", "th"})
                 flush()
             elif tag in ("br", "img", "wbr", "input"):
-                run.append(("" if tag == "wbr" else " ", links > 0))
+                add("" if tag == "wbr" else " ")
+            continue
+        if tag in APART:
+            add(" ")
+        if attributes.endswith("/") and (foreign or tag in EMBED or tag in FOREIGN):
             continue
         kinds, found = hints(attributes) if attributes else (set(), {})
+        literal = None
+        if tag == "xmp":                # like pre, without markup up to its end tag, if any
+            tag = "pre"
+            if end := XMP_END.search(page, pos):
+                literal, pos = page[pos:end.start()], end.end()
         if tag in ("html", "body") and any(t == tag for t, _ in stack):
             continue
+        while foreign and tag in BLOCK and close(FOREIGN, BLOCK | INTEGRATION):
+            pass
         if tag in BLOCK and tag not in IN_P:
             close({"p"}, SCOPE | {"td", "th", "button"})
         if tag in ENDS:
             for _ in range(2):
                 if not close(ENDS[tag], SCOPE - {"html"}):
                     break
-        if tag in BLOCK or "-" in tag or kinds - {"main", "share"}:
+        drawn = foreign or tag in FOREIGN       # an icon doesn't break up a paragraph
+        if tag in BLOCK or not drawn and ("-" in tag or kinds - {"main", "share"}):
             flush()
             nodes.append(Node(tag, kinds, found, at_node))
             at_node = len(nodes) - 1
             stack.append((tag, at_node))
+            embeds.append(0)
+            if literal is not None:
+                add(html.escape(literal))
+                pop_to(len(stack) - 1)
         else:
             links += tag == "a"
             stack.append((tag, None))
+        foreign += tag in FOREIGN
+        if stack[-1][1] is None:
+            embeds[-1] += tag in EMBED
     flush()
     return nodes

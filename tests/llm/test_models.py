@@ -193,6 +193,30 @@ def test_one_page():
         "one point of the list", "another point of the list"]
 
 
+@pytest.mark.parametrize("start", ["<svg><path d=x/>", "<object data=x>", "<math>", "<select><option>",
+                                   "<video src=x>", "<canvas>", "<svg><svg></svg>", "<noscript>", "<xmp>"])
+def test_nothing_is_lost_after_an_open_element(start):
+    """Without an end tag such an element doesn't take the rest of the page along."""
+    page = (f"<html><body><nav><a href=/>Home</a></nav><article>{start}<h1>The title of it</h1>"
+            "<p>First paragraph, it has some more words.</p><p>Second paragraph, it ends here.</p></article>"
+            "<footer>&copy; 2020 Somebody.</footer>")
+    assert html_extract.default_model().blocks(page) == [
+        "The title of it", "First paragraph, it has some more words.", "Second paragraph, it ends here."]
+
+
+def test_embedded_text_of_an_article_stays():
+    page = """<html><head><noscript><style>p {}</style></noscript></head><body><nav><a href=/>Home</a></nav>
+<article><h1>The title of it</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg class="menu-icon" aria-hidden=true><path d=x/></svg>one, we say.</p>
+<object data=a><object data=b>The inner words of it.</object> The outer words of it.</object>
+<p>A paragraph after that, with some words.</p><xmp>a <b>literal</b> &amp; text</xmp>
+<svg><foreignObject><p>A paragraph inside of a drawing.</p></foreignObject></svg></article>
+<noscript>Please turn on the scripts.</noscript><footer>&copy; 2020 Somebody.</footer>"""
+    assert html_extract.default_model().blocks(page) == [
+        "The title of it", "Let x=1 be one, we say.", "The inner words of it. The outer words of it.",
+        "A paragraph after that, with some words.", "a <b>literal</b> &amp; text",
+        "A paragraph inside of a drawing."]
+
+
 @pytest.mark.parametrize("page", [
     None, "", "   ", "<", "<<<>>>", "</p></div>", "<p", "<a href='x", "<!-- open", "<script>never ends",
     "plain text without markup", "<b><i>x</b></i>", "<table><p>x<td>y</table>", "<p>" * 3000,
