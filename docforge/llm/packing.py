@@ -1,8 +1,9 @@
 """Packing: length buckets that minimise padding, and token-budget batches.
 
 1. Lengths: tokens are the runs of non-white-space bytes of the whole text
-   (null counts as empty), or a given column.  A length is padded up to a
-   multiple of ``quantum``, which bounds the histogram by the longest text.
+   (null counts as empty), or a given column.  Each length counts by itself; a
+   ``quantum`` above 1 rounds lengths up to its multiples first, and padding is
+   the least among bounds of that kind.
 2. The global histogram is one partially aggregated count per length; dynamic
    programming over it chooses at most ``buckets`` upper bounds with the least
    total padding.  The costs are lines in the length with falling slopes, so
@@ -20,7 +21,6 @@ make batches of their own.  Ids may be null or repeat.
 from __future__ import annotations
 
 from collections import deque
-from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-BUCKETS, BUDGET, QUANTUM = 16, 65_536, 8
+BUCKETS, BUDGET, QUANTUM = 16, 65_536, 1
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
 
 def _covered(a, b, c) -> bool:
     """The middle line is nowhere below both others."""
-    return (Fraction(c[1] - a[1], a[0] - c[0]) <= Fraction(b[1] - a[1], a[0] - b[0])
+    return ((c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
             if a[0] != b[0] and a[0] != c[0] else b[1] >= c[1])
 
 

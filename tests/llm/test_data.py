@@ -197,6 +197,22 @@ def test_packing(odd_docs, some_docs, table):
         assert len({r.padded_length for r in rows}) == 1
 
 
+def test_registered_query_pads_to_any_length(spark, tmp_path):
+    """Bounds aren't restricted to multiples of 8."""
+    rows = [(k, "w " * n) for k, n in enumerate([1, 2, 3, 5, 8, 9, 9, 9, 17])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_length_buckets"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.padded_length == r.n_tokens for r in got)
+
+
+def test_least_padding_of_the_table(spark):
+    got = queries.QUERIES["op6_length_buckets"](spark, SMALL).collect()
+    hist = defaultdict(int)
+    for r in got:
+        hist[r.n_tokens] += 1
+    assert sum(r.padded_length - r.n_tokens for r in got) == brute_padding(sorted(hist.items()), 16)
+
+
 def test_packing_no_rows(no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
