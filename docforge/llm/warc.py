@@ -5,7 +5,8 @@
    partial aggregation; the largest page id of each group is its response, the
    others are revisits of it.  Only groups of two or more are joined back, by
    broadcast if their rows are counted to be few, else by a shuffle join.
-2. A Zstandard dictionary is trained on a bounded sample of records.  Every
+2. A Zstandard dictionary is trained on a bounded sample of records and pieces of
+   long ones; a tiny table has none, its dictionary frames are empty.  Every
    partition becomes an archive: a leading skippable frame (magic 0x184D2A5D)
    that embeds the dictionary, then one Zstandard frame per WARC record.
 3. Spark's own text writer commits the archives, so a task that runs twice leaves
@@ -39,7 +40,7 @@ from .common import bounded_sample, text_or_empty, written
 
 LEAST = 1000
 LEVEL, DICTIONARY = 6, 112_640
-#: records that the dictionary is trained on at most, and the longest of them
+#: records or pieces that the dictionary is trained on at most, and the longest of them
 SAMPLE, SAMPLE_BYTES = 1000, 32_768
 #: revisit groups joined by broadcast at most (some 100 bytes each)
 BROADCAST_ROWS = 200_000
@@ -134,12 +135,18 @@ def _payload_key(html_col: str) -> list:
 
 
 def train(pages: DataFrame, id_col: str, html_col: str) -> bytes:
-    """Dictionary from at most SAMPLE records of at most SAMPLE_BYTES each."""
+    """Dictionary from at most SAMPLE records, longer ones in pieces of SAMPLE_BYTES;
+    none for a table of fewer than 10 of these or less than 20 KB."""
     text = text_or_empty(html_col)
-    short = pages.select(F.col(id_col).cast("long").alias("_id"), text.alias("_html")).where(
-        F.octet_length("_html") <= SAMPLE_BYTES)
-    some = bounded_sample(short, ["_id", "_html"], SAMPLE, pages.count()).toPandas()
-    parts = [record(None, "", h.encode("utf-8", "surrogatepass"), None, False) for h in some["_html"]]
+    rows = pages.select(F.col(id_col).cast("long").alias("_id"), text.cast("binary").alias("_html"),
+                        F.xxhash64(text).alias("_hash"))
+    last = F.floor((F.greatest(F.octet_length("_html"), F.lit(1)) - 1) / SAMPLE_BYTES)
+    # only a piece goes on, so the whole text of a long record is in no sort
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("_piece")).select(
+        "_id", "_hash", "_piece",
+        F.expr(f"substring(_html, _piece * {SAMPLE_BYTES} + 1, {SAMPLE_BYTES})").alias("_part"))
+    some = bounded_sample(pieces, ["_id", "_hash", "_piece"], SAMPLE, pieces.count()).toPandas()
+    parts = [record(None, "", bytes(x), None, False) for x in some["_part"]]
     if sum(map(len, parts)) < 20 * 1024 or len(parts) < 10:
         return b""
     size = min(DICTIONARY, sum(map(len, parts)) // 10)

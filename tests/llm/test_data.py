@@ -139,6 +139,27 @@ def test_archive_format(spark):
     assert seen == spark.read.parquet(f"{SMALL}/pages.parquet").count()
 
 
+@pytest.mark.parametrize("n,size", [(3, 400_000), (40, 40_000)])
+def test_long_records_train_the_dictionary(spark, n, size):
+    r = random.Random(n)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(500)]
+    text = lambda: " ".join(r.choices(words, k=size // 5))
+    pages = spark.createDataFrame([(k, "u", text()) for k in range(n)], "page_id long, url string, html string")
+    assert pages.where(f"length(html) <= {warc.SAMPLE_BYTES}").isEmpty()
+    assert len(warc.train(pages, "page_id", "html")) > 1000
+
+
+def test_few_short_records_make_a_full_sample(spark, monkeypatch):
+    """The sample is thinned by the number of its own rows."""
+    seen = []
+    monkeypatch.setattr(warc, "SAMPLE", 20)
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, parts, **_: (
+        seen.extend(parts), zstandard.ZstdCompressionDict(b"x" * 100))[1])
+    pages = spark.range(400).selectExpr(
+        "id AS page_id", f"repeat(cast(id AS string), IF(id % 100 = 0, 1000, {2 * warc.SAMPLE_BYTES})) AS html")
+    assert warc.train(pages, "page_id", "html") and len(seen) == 20
+
+
 def test_archives_of_no_pages(spark):
     path = scratch_path(spark, "warc-none")
     warc.write_archives(odd_pages(spark).where("false"), path)
