@@ -14,8 +14,9 @@ import tiktoken
 import zstandard
 
 import corpus_pipeline
-from docforge.llm import byte_bpe, embedding_dedup, packing, queries, token_counts, warc
+from docforge.llm import byte_bpe, embedding_dedup, packing, quality, queries, simhash, token_counts, toxicity, warc
 from docforge.session import scratch_path
+from tests.llm.test_dedup import norm, smallest_groups
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -361,5 +362,35 @@ def test_pipeline_stages(spark):
     assert pairs_of(whole, *whole.columns) == pairs_of(packed, *packed.columns)
 
 
+def test_pipeline_stages_keep_the_right_ids(spark):
+    """Each stage against a plain computation on the rows it is given."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+    stages = [stage for _, stage in corpus_pipeline.STAGES[:-1]]
+
+    def run(stage):
+        return corpus_pipeline.written(stage(spark, docs, sf_dir), "ids-test")
+
+    for stage, module, good in ((stages[0], quality, lambda s: s >= 0.5), (stages[1], toxicity, lambda s: s < 0.3)):
+        scored = module.add_scores(docs, module.fit(docs, labels)).collect()
+        after = run(stage)
+        assert ids(after.collect()) == ids(r for r in scored if good(r.score))
+        docs = after
+    least = {}
+    for r in docs.collect():
+        least[norm(r.text)] = min(least.get(norm(r.text), r.doc_id), r.doc_id)
+    docs = run(stages[2])
+    assert ids(docs.collect()) == sorted(least.values())
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    points = np.array([simhash.fingerprint(r.text) for r in rows], np.uint64)
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for i in range(len(rows))
+             for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= simhash.BITS) if i != j]
+    group = smallest_groups(pairs)
+    assert any(i != g for i, g in group.items())
+    assert ids(run(stages[3]).collect()) == [r.doc_id for r in rows if group.get(r.doc_id, r.doc_id) == r.doc_id]
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
