@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, exact_dedup, html_extract, packing, quality, simhash, token_counts, toxicity, warc
+from . import (byte_bpe, chat_format, embedding_dedup, exact_dedup, html_extract, importance, packing, quality, simhash,
+               token_alignment, token_counts, toxicity, warc)
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_subspace_join": embedding_dedup.op8_subspace_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_tree_model": html_extract.op10_html_tree_model,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 
 ORACLES = {
     "op4_warc_dictionary": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }
