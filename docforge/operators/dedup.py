@@ -13,11 +13,16 @@ rows costs one partial aggregate, not a quadratic pair list):
    only for the first copies.
 2. bucket membership rows ``(id, order, band, key)``; buckets with one member
    are dropped (their documents are trivially kept).
-3. rounds (greedy maximal independent set): per bucket the first undecided
-   document; a document that is first in all of its buckets is kept, the other
+3. rounds (greedy maximal independent set): per bucket the two first undecided
+   documents; a document that is first in all of its buckets is kept, the other
    undecided documents of a kept one's buckets are dropped, and only rows of
    documents still undecided go on.  At least the first undecided document is
    decided per round, and the loop ends when none is left.
+4. chains: a document with exactly one undecided earlier neighbour is that one's
+   opposite.  These links form a forest; pointer doubling with parity finds the root of
+   each in a number of joins that grows with the logarithm of the depth, and
+   an even distance from a kept root is kept in the same round.  So a path of n near
+   copies takes about log2(n) joins, not n / 2 rounds.
 
 Member rows and bucket rows are written tables before they are joined, so a
 bucket that holds a third of all rows is split by AQE (tests/test_skew.py).
@@ -86,6 +91,49 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(sizes, BUCKET, "left_semi")
 
 
+def first_two(members: DataFrame) -> DataFrame:
+    """(_band, _bkey, _min1, _min2): the two smallest orders of each bucket.  They come from
+    one ranking, which Spark limits to two rows per bucket in each task before it shuffles them."""
+    rank = Window.partitionBy(*BUCKET).orderBy("_ord")
+    return (members.select(*BUCKET, "_ord").withColumn("_r", F.row_number().over(rank))
+            .where("_r <= 2").groupBy(*BUCKET)
+            .agg(F.min("_ord").alias("_min1"), F.max(F.when(F.col("_r") == 2, F.col("_ord"))).alias("_min2")))
+
+
+def neighbours(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """(_id, _ord, _won, _parent) per document: whether it has no undecided earlier neighbour,
+    and the order of that neighbour if it has exactly one.  Of a bucket that is the first
+    member for the second one; a third member has two."""
+    later = F.col("_ord") != F.col("_min1")
+    seen = edges.join(low, BUCKET).groupBy("_id", "_ord").agg(
+        F.max(later).alias("_later"), F.max(F.col("_ord") > F.col("_min2")).alias("_third"),
+        F.min(F.when(later, F.col("_min1"))).alias("_p1"), F.max(F.when(later, F.col("_min1"))).alias("_p2"))
+    single = F.col("_later") & ~F.coalesce("_third", F.lit(False)) & (F.col("_p1") == F.col("_p2"))
+    return seen.select("_id", "_ord", (~F.col("_later")).alias("_won"), F.when(single, F.col("_p1")).alias("_parent"))
+
+
+def chain_kept(known: DataFrame) -> tuple[DataFrame | None, int]:
+    """(_id, _ord) kept through links to one earlier neighbour, and the joins that it took.
+    ``known`` (a written table) is that of ``neighbours``."""
+    links = known.where("_parent IS NOT NULL").select("_id", "_ord", F.col("_parent").alias("_to"),
+                                                      F.lit(True).alias("_odd"))
+    steps, moved = 0, True
+    while moved:
+        far = links.select(F.col("_ord").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_far_odd"))
+        doubled = links.join(far, "_to", "left").select(
+            "_id", "_ord", F.coalesce("_far", "_to").alias("_to"),
+            (F.col("_odd") != F.coalesce("_far_odd", F.lit(False))).alias("_odd"),
+            F.col("_far").isNotNull().alias("_moved"))
+        links = materialise(doubled, "greedy-links")
+        moved = not links.where("_moved").isEmpty()
+        steps += moved
+        links = links.drop("_moved")
+    if not steps:           # no link leads on to another: dropped with their kept neighbour's buckets
+        return None, 0
+    roots = known.where("_won").select(F.col("_ord").alias("_to"))
+    return links.where("NOT _odd").join(roots, "_to", "left_semi").select("_id", "_ord"), steps
+
+
 def greedy_rounds(members: DataFrame) -> DataFrame:
     """D1 on bucket membership rows (_id, _ord, _band, _bkey): returns
     (_id, _keep) for every id in ``members``."""
@@ -94,12 +142,13 @@ def greedy_rounds(members: DataFrame) -> DataFrame:
     kept = [alone]
     rounds = 0
     while not edges.isEmpty():
-        rounds += 1
-        first = materialise(edges.groupBy(*BUCKET).agg(F.min("_ord").alias("_first")), "greedy-first")
-        won = materialise(
-            edges.join(first, BUCKET).groupBy("_id").agg(F.min(F.col("_ord") == F.col("_first"))
-                                                         .alias("_won")).where("_won").select("_id"),
-            "greedy-kept")
+        low = materialise(first_two(edges), "greedy-first")
+        known = materialise(neighbours(edges, low), "greedy-known")
+        won = known.where("_won").select("_id")
+        through, steps = chain_kept(known)
+        if through is not None:
+            won = materialise(won.unionByName(through.select("_id")), "greedy-kept")
+        rounds += 1 + steps
         taken = materialise(edges.join(won, "_id", "left_semi").select(*BUCKET).distinct(), "greedy-taken")
         decided = edges.join(taken, BUCKET, "left_semi").select("_id").distinct()
         edges = materialise(edges.join(decided, "_id", "left_anti"), "greedy-edges")
@@ -171,14 +220,8 @@ def lsh_candidates(docs: DataFrame, id_col: str, text_col: str,
 
 
 def candidates_from_members(members: DataFrame, id_col: str) -> DataFrame:
-    """J3 on membership rows (_id, _ord, _band, _bkey); see ``lsh_candidates``.
-
-    The two smallest orders of a bucket come from one ranking, which Spark
-    limits to two rows per bucket in each task before it shuffles them."""
-    rank = Window.partitionBy(*BUCKET).orderBy("_ord")
-    low = (members.select(*BUCKET, "_ord").withColumn("_r", F.row_number().over(rank))
-           .where("_r <= 2").groupBy(*BUCKET)
-           .agg(F.min("_ord").alias("_min1"), F.max(F.when(F.col("_r") == 2, F.col("_ord"))).alias("_min2")))
+    """J3 on membership rows (_id, _ord, _band, _bkey); see ``lsh_candidates``."""
+    low = first_two(members)
     j = members.join(materialise(low, "bucket-first-two"), BUCKET)
     other = F.when(F.col("_ord") == F.col("_min1"), F.col("_min2")).otherwise(F.col("_min1"))
     return j.groupBy(F.col("_id").alias(id_col)).agg(

@@ -117,6 +117,32 @@ def test_long_path_is_decided_to_its_end(spark):
     assert _rounds(spark, [(i, i + 1) for i in range(1, n)], n) == set(range(1, n + 1, 2))
 
 
+def test_a_path_of_a_thousand_takes_few_rounds(spark, caplog):
+    """Each document of a path has one earlier neighbour: pointer doubling, not n / 2 rounds."""
+    n = 1000
+    with caplog.at_level("INFO", logger="docforge.operators.dedup"):
+        got = _rounds(spark, [(i, i + 1) for i in range(1, n)], n)
+    assert got == set(range(1, n + 1, 2))
+    assert [r.args[0] for r in caplog.records if "rounds" in r.msg][-1] <= 15
+
+
+def test_chains_among_other_edges_match_sequential(spark):
+    """Trees, cycles and hubs: links to one earlier neighbour never decide wrongly."""
+    import random
+    rng = random.Random(11)
+    for n, m in ((60, 55), (40, 90)):
+        edges = sorted({tuple(sorted(rng.sample(range(1, n + 1), 2))) for _ in range(m)})
+        edges += [(n + k, n + k + 1) for k in range(1, 20)] + [(3, n + 1)]
+        total = n + 20
+        kept, near = set(), {}
+        for a, b in edges:
+            near.setdefault(b, set()).add(a)
+        for d in range(1, total + 1):
+            if not near.get(d, set()) & kept:
+                kept.add(d)
+        assert _rounds(spark, edges, total) == kept
+
+
 def test_bands_follow_the_threshold():
     from docforge.params import HarvestParams, lsh_bands_rows
     assert (HarvestParams().bands, HarvestParams().rows) == (8, 16)

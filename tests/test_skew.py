@@ -40,11 +40,13 @@ def hot_members(spark, n=30_000):
 
 
 def test_bucket_joins_are_split(skewed):
+    """The library's own frames: shared buckets, and the join that finds neighbours."""
     members = materialise(hot_members(skewed), "m")
-    rows, plan = executed(dedup.shared_buckets(members))
+    shared = dedup.shared_buckets(members)
+    rows, plan = executed(shared)
     assert "skew=true" in plan
-    stats = materialise(members.groupBy(*dedup.BUCKET).agg(F.min("_ord").alias("_first")), "s")
-    _, plan = executed(members.join(stats, dedup.BUCKET))
+    edges = materialise(shared, "e")
+    _, plan = executed(dedup.neighbours(edges, materialise(dedup.first_two(edges), "low")))
     assert "skew=true" in plan
 
 
@@ -69,11 +71,7 @@ def test_hot_bucket_results(spark):
 
 
 def test_candidate_ranking_is_limited_before_the_shuffle(spark):
-    df = dedup.candidates_from_members(materialise(hot_members(spark, 300), "m"), "k")
-    assert df.count() == 300
-    from pyspark.sql import Window
-    rank = Window.partitionBy(*dedup.BUCKET).orderBy("_ord")
-    low = hot_members(spark, 300).withColumn("_r", F.row_number().over(rank)).where("_r <= 2")
+    low = dedup.first_two(hot_members(spark, 300))
     assert "WindowGroupLimit" in low._jdf.queryExecution().executedPlan().toString()
 
 
