@@ -7,8 +7,11 @@ Transition for paragraph ``x`` (defaults max=2000, min=200, sep="\\n\\n")::
                                  buf = x            # no separator (glue)
 
 and the final ``buf`` is discarded.  ``emit_tail`` / ``glue_bug=False`` are
-opt-in alternatives.  The fold is a per-row ``aggregate`` higher-order
-function: no shuffle, no Python, independent of partitioning.
+opt-in alternatives.
+
+The fold runs over the paragraphs' lengths alone and gives the stretch of paragraphs of
+each chunk; a chunk's text is cut once, at the end, and a count needs none.  All is a
+per-row higher-order function: no shuffle, no Python, independent of partitioning.
 """
 
 from __future__ import annotations
@@ -16,38 +19,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import bound
 from ..functions.text import paragraphs, py_strip, sql_str, sql_strip
 from ..params import HarvestParams
 
 
+def chunk_stretches(paras: Column, p: HarvestParams) -> Column:
+    """array<struct<first, n, glued>>: the paragraphs of each emitted chunk, from 0, and
+    whether the first of them goes without a separator."""
+    sep = len(p.sep)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("len"), F.lit(False).alias("glued"),
+                     F.array().cast("array<struct<first:int,n:int,glued:boolean>>").alias("out"))
+
+    def flushed(acc):
+        return F.when(acc["len"] > p.chunk_min, F.array_append(acc["out"], F.struct(
+            acc["first"].alias("first"), (acc["at"] - acc["first"]).alias("n"), acc["glued"].alias("glued")))
+        ).otherwise(acc["out"])
+
+    def step(acc, n):
+        fits = acc["len"] + n < p.chunk_max
+        return F.struct(
+            (acc["at"] + 1).alias("at"), F.when(fits, acc["first"]).otherwise(acc["at"]).alias("first"),
+            F.when(fits, acc["len"] + n + sep).otherwise(n + (0 if p.glue_bug else sep)).alias("len"),
+            F.when(fits, acc["glued"]).otherwise(F.lit(p.glue_bug)).alias("glued"),
+            F.when(fits, acc["out"]).otherwise(flushed(acc)).alias("out"))
+
+    return F.aggregate(F.transform(paras, F.length), start, step, flushed if p.emit_tail else lambda acc: acc["out"])
+
+
 def chunk_column(text: Column, p: HarvestParams = HarvestParams()) -> Column:
     """array<string> of emitted chunks for one text."""
     sep = F.lit(p.sep)
-    init = F.struct(
-        F.lit("").alias("buf"),
-        F.array().cast("array<string>").alias("out"),
-    )
 
-    def step(acc, x):
-        fits = (F.length(acc["buf"]) + F.length(x)) < F.lit(p.chunk_max)
-        flushed = F.when(
-            F.length(acc["buf"]) > F.lit(p.chunk_min),
-            F.array_append(acc["out"], py_strip(acc["buf"])),
-        ).otherwise(acc["out"])
-        restart = x if p.glue_bug else F.concat(x, sep)
-        return F.when(
-            fits, F.struct(F.concat(acc["buf"], x, sep).alias("buf"), acc["out"].alias("out"))
-        ).otherwise(F.struct(restart.alias("buf"), flushed.alias("out")))
-
-    def finish(acc):
-        if not p.emit_tail:
-            return acc["out"]
-        return F.when(
-            F.length(acc["buf"]) > F.lit(p.chunk_min),
-            F.array_append(acc["out"], py_strip(acc["buf"])),
-        ).otherwise(acc["out"])
+    def cut(paras, c):
+        after = F.slice(paras, c["first"] + 2, c["n"] - 1)
+        return py_strip(F.concat(
+            F.get(paras, c["first"]), F.when(c["glued"], F.lit("")).otherwise(sep),
+            F.array_join(after, p.sep), F.when(c["n"] > 1, sep).otherwise(F.lit(""))))
 
-    return F.aggregate(paragraphs(text, p.sep), init, step, finish)
+    return bound(paragraphs(text, p.sep), lambda paras: F.transform(
+        chunk_stretches(paras, p), lambda c: cut(paras, c)))
 
 
 def chunk(df: DataFrame, text_col: str = "text", p: HarvestParams = HarvestParams(),
@@ -60,7 +71,7 @@ def chunk(df: DataFrame, text_col: str = "text", p: HarvestParams = HarvestParam
 
 
 def chunk_count(text: Column, p: HarvestParams = HarvestParams()) -> Column:
-    return F.size(chunk_column(text, p)).cast("bigint")
+    return F.size(chunk_stretches(paragraphs(text, p.sep), p)).cast("bigint")
 
 
 def sql_chunk_list(expr: str, p: HarvestParams = HarvestParams()) -> str:
