@@ -1,9 +1,9 @@
 """S5 state_save / S6 state_load: the crawl's state as append-only tables.
 
 Every step of a run writes its own folder ``step=N`` below the state directory:
-``log`` (visited URLs with their decisions), ``samples``, ``buckets`` (of kept
-documents, the dedup index), ``frontier`` (the queue after the step).  A small
-marker file, written under another name and renamed, commits the step.  The state
+``log`` (visited URLs with their decisions), ``samples``, ``frontier`` (the queue after
+the step).  Beside them lie two key histories by step (history.py): ``visited`` URLs and
+the ``buckets`` of kept documents, the dedup index.  A small marker file, written under another name and renamed, commits the step.  The state
 is the union of the committed steps and the last one's frontier; a step without
 marker is not part of it and is overwritten by the next run.  An unreadable
 marker ends the committed steps there: a state is complete or absent, never half.
@@ -25,7 +25,6 @@ TABLES = {
     "log": "url string, depth int, crawl_key array<bigint>, page_id long, gate_reason string, "
            "n_samples long",
     "samples": "url string, chunk_no long, instruction string, input string, output string",
-    "buckets": "band int, bkey string",
     "frontier": "url string, depth int, crawl_key array<bigint>",
 }
 
@@ -62,10 +61,13 @@ class CrawlState:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        #: committed steps, samples so far, smallest depth in the queue (None: empty)
-        self.steps, self.collected, self.depth = 0, 0, None
+        from .history import KeyHistory
+        self.visited = KeyHistory(spark, os.path.join(path, "visited"), "url string")
+        self.buckets = KeyHistory(spark, os.path.join(path, "buckets"), "band int, bkey string")
+        #: committed steps, samples and URLs so far, smallest depth in the queue (None: empty)
+        self.steps, self.collected, self.processed, self.depth = 0, 0, 0, None
         while (meta := self._marker(self.steps)) is not None:
-            self.collected, self.depth = int(meta["collected_count"]), meta["depth"]
+            self.collected, self.processed, self.depth = int(meta["collected_count"]), int(meta["processed"]), meta["depth"]
             self.steps += 1
 
     def folder(self, step: int, table: str) -> str:
@@ -77,7 +79,7 @@ class CrawlState:
             if text is None:
                 return None
             meta = json.loads(text)
-            int(meta["collected_count"]), meta["depth"]
+            int(meta["collected_count"]), int(meta["processed"]), meta["depth"]
             return meta
         except Exception as e:  # unreadable: the state ends before this step
             log.error("crawl state %s, step %d is unreadable: %s", self.path, step, e)
@@ -90,11 +92,11 @@ class CrawlState:
         df.select(*schema.fieldNames()).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def commit(self, collected: int, depth: int | None) -> None:
+    def commit(self, collected: int, depth: int | None, processed: int) -> None:
         """The marker goes last, after all tables of the step."""
         _write_text(self.spark, self.folder(self.steps, MARKER),
-                    json.dumps({"collected_count": collected, "depth": depth}))
-        self.collected, self.depth = collected, depth
+                    json.dumps({"collected_count": collected, "processed": processed, "depth": depth}))
+        self.collected, self.processed, self.depth = collected, processed, depth
         self.steps += 1
 
     def read(self, table: str) -> DataFrame:
