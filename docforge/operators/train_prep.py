@@ -42,22 +42,26 @@ def split_boundary(keys: DataFrame, k: int, seed: int = SPLIT_SEED, few: int = 4
     """(hash, key) of the row of rank ``k`` (from 1) in (hash, key) order of
     ``keys`` (key), or None.  Counts per hash prefix, 4096 at most a round,
     narrow the rank down to a prefix with ``few`` rows at most."""
-    h = keys.select(split_hash(F.col("key"), seed).alias("h"), "key")
+    # equal keys are one row with a count, so what is left under a prefix is few distinct keys
+    h = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(
+        split_hash(F.col("key"), seed).alias("h"), "key", "n"), "split-hashes")
     prefix, rank = "", k
     while rank > 0:
         digits = len(prefix) + 3
         counts = sorted(h.where(F.startswith("h", F.lit(prefix))).groupBy(
-            F.substring("h", 1, digits).alias("p")).count().collect())
-        for part, n in counts:
+            F.substring("h", 1, digits).alias("p")).agg(F.sum("n"), F.count(F.lit(1))).collect())
+        for part, n, distinct in counts:
             if rank <= n:
                 break
             rank -= n
         else:
             return None
         prefix = part
-        if n <= few or digits >= 30:
-            rows = h.where(F.startswith("h", F.lit(prefix))).orderBy("h", "key").limit(rank).collect()
-            return rows[-1].h, rows[-1].key
+        if distinct <= few or digits >= 30:     # 30 digits are one key, but for md5 collisions
+            for row in h.where(F.startswith("h", F.lit(prefix))).orderBy("h", "key").collect():
+                if rank <= row.n:
+                    return row.h, row.key
+                rank -= row.n
     return None
 
 

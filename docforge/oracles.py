@@ -432,14 +432,15 @@ def page_gate_report(p: HarvestParams = HarvestParams()) -> str:
     FROM crawled GROUP BY 1, 2"""
 
 
-def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
-    """Batch equivalent of the incremental harvest: files come in page_id order."""
+def _stream_ctes(p: HarvestParams) -> str:
+    """CTEs ending in ``ch(url, chunk_no, chunk)``: batch equivalent of the incremental harvest,
+    whose files come in page_id order."""
     return f"""
-    WITH pg AS (
+    hosts AS (SELECT {sql_netloc('url')} AS h FROM pages WHERE url LIKE 'https:%'),
+    pg AS (
         SELECT page_id, url, html FROM (
             SELECT *, min(page_id) OVER (PARTITION BY url) AS m FROM pages
-            WHERE {sql_netloc('url')} IN (
-                SELECT {sql_netloc('url')} FROM pages WHERE url LIKE 'https:%'))
+            WHERE {sql_netloc('url')} IN (SELECT h FROM hosts))
         WHERE page_id = m),
     tx AS (SELECT page_id, url, html, {sql_main_text('html')} AS text FROM pg),
     reasons AS (
@@ -453,6 +454,12 @@ def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
     ch AS (
         SELECT url, unnest(range(len(c)))::BIGINT AS chunk_no, unnest(c) AS chunk
         FROM (SELECT url, {sql_chunk_list('text', p)} AS c FROM kept))
+    """
+
+
+def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
+    return f"""
+    WITH {_stream_ctes(p)}
     SELECT url, chunk_no,
            {sql_instruction('url', 'chunk_no', sql_netloc('url'), p.templates, p.seed)} AS instruction,
            'Source: ' || url AS input, chunk AS output
@@ -460,6 +467,47 @@ def stream_harvest(p: HarvestParams = HarvestParams()) -> str:
     """
 
 
+def stream_jsonl(p: HarvestParams = HarvestParams()) -> str:
+    return f"SELECT instruction, input, output FROM ({stream_harvest(p)})"
+
+
+def stream_decisions(p: HarvestParams = HarvestParams()) -> str:
+    return f"""
+    WITH {_stream_ctes(p)},
+    n AS (SELECT url, count(*) AS n FROM ch GROUP BY url)
+    SELECT page_id, url, gate_reason, n_samples FROM (
+        SELECT pages.page_id, pages.url,
+               CASE WHEN {sql_netloc('pages.url')} NOT IN (SELECT h FROM hosts) THEN 'not_allowed'
+                    WHEN r.page_id IS NULL THEN 'repeated'
+                    WHEN r.r <> 'pass' THEN r.r WHEN v.keep THEN 'kept' ELSE 'duplicate' END AS gate_reason,
+               CASE WHEN v.keep THEN coalesce(n.n, 0) ELSE 0 END::BIGINT AS n_samples
+        FROM pages LEFT JOIN reasons r ON r.page_id = pages.page_id AND r.url = pages.url
+        LEFT JOIN verdict v ON v.id = r.page_id LEFT JOIN n ON n.url = pages.url AND v.keep)
+    """
+
+
+def bytes_pages(p: HarvestParams = HarvestParams()) -> str:
+    """What comes out of the bytes is what the text gives, but for the broken ones."""
+    return f"""
+    SELECT page_id, r AS gate_reason, CASE WHEN r = 'pass' THEN text END AS text FROM (
+        SELECT page_id, text, CASE WHEN html IS NULL THEN 'fetch_failed'
+            WHEN ('0x' || substr(md5(page_id::VARCHAR), 1, 2))::INT % 6 = 5 THEN 'undecodable'
+            WHEN html = '' AND ('0x' || substr(md5(page_id::VARCHAR), 1, 2))::INT % 6 = 0 THEN 'fetch_failed'
+            ELSE {sql_gate_reason('text', p)} END AS r
+        FROM (SELECT page_id, html, {sql_main_text('html')} AS text FROM pages))
+    """
+
+
+def group_split(p: HarvestParams = DOC_P, seed: int = 42) -> str:
+    return f"""WITH {_harvest_ctes(p)},
+    g AS (
+        SELECT doc_id, row_number() OVER (ORDER BY md5('{seed}' || '#' || doc_id::VARCHAR), doc_id) AS r,
+               count(*) OVER () AS n
+        FROM (SELECT DISTINCT doc_id FROM samples))
+    SELECT sample_id, doc_id, CASE WHEN r <= (n + 9) // 10 THEN 'test' ELSE 'train' END AS split
+    FROM samples JOIN g USING (doc_id)"""
+
+
 def card_stats(p: HarvestParams = DOC_P) -> str:
     return f"""WITH {_split_ctes(p)},
     g AS (SELECT split, source, count(*) AS n FROM split GROUP BY split, source),

@@ -249,30 +249,81 @@ def q_sample_budget(spark, sf_dir):
     return _page_crawl(spark, sf_dir, BUDGET).log.select("url", "page_id", "gate_reason", "n_samples")
 
 
-def q_stream_harvest(spark, sf_dir):
-    """The pages as a stream of several files, one per batch in page_id order, each
-    repeating its last pages in the next file; allowed are https hosts."""
+def _stream(spark, sf_dir, jsonl=None):
+    """The pages as a stream that grows by a folder of files a run, one for each batch, in page_id
+    order; each repeats the last one's pages.  Allowed are https hosts.  Returns its folder."""
     from .session import scratch_path
-    from .streaming.incremental import read_samples_sink, start_incremental_harvest
+    from .streaming.incremental import start_incremental_harvest
     out, files = scratch_path(spark, "stream-harvest"), scratch_path(spark, "stream-pages")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    top = pages.agg(F.max("page_id")).first()[0] or 0
     hosts = pages.where(F.startswith("url", F.lit("https:"))).select(netloc(F.col("url")).alias("domain"))
-    part = F.floor(F.col("page_id") * STREAM_FILES / (top + 1)).cast("int")
-    for k in range(STREAM_FILES):       # written in turn: the stream takes files by age
-        pages.where((part == k) | (part == k - 1)).coalesce(1).write.parquet(f"{files}/part={k}")
-    q = start_incremental_harvest(spark, f"{files}/*", out, domains=hosts)
-    q.awaitTermination()
-    return read_samples_sink(spark, out).select("url", "chunk_no", "instruction", "input",
-                                                "output")
+    cuts = pages.approxQuantile("page_id", [k / STREAM_FILES for k in range(1, STREAM_FILES)], 0.01)
+    part = F.lit(0)
+    for cut in cuts:        # null ids come last
+        part = part + (F.coalesce(F.col("page_id") > cut, F.lit(True))).cast("int")
+    for k in range(STREAM_FILES):
+        pages.where((part == k) | (part == k - 1)).write.parquet(f"{files}/part={k}")
+        q = start_incremental_harvest(spark, f"{files}/*", out, domains=hosts, jsonl=jsonl, max_files_per_trigger=100_000)
+        q.awaitTermination()
+    return out
+
+
+def q_stream_harvest(spark, sf_dir):
+    from .streaming.incremental import read_samples_sink
+    return read_samples_sink(spark, _stream(spark, sf_dir)).select("url", "chunk_no", "instruction", "input", "output")
+
+
+def q_stream_decisions(spark, sf_dir):
+    """A3 of the stream: what became of each page when it first arrived.  A URL that an earlier
+    batch has seen counts as repeated, as it would in one batch."""
+    from .streaming.incremental import read_sink
+    log = read_sink(spark, _stream(spark, sf_dir), "decisions").groupBy("page_id", "url").agg(
+        F.min_by(F.struct("gate_reason", "n_samples"), "batch_id").alias("d"))
+    return log.select("page_id", "url", F.when(F.col("d.gate_reason") == "seen", F.lit("repeated")).otherwise(
+        F.col("d.gate_reason")).alias("gate_reason"), "d.n_samples")
+
+
+def q_stream_jsonl(spark, sf_dir):
+    """S3/S4 of the stream: its samples by the JSON lines of committed batches."""
+    from .session import scratch_path
+    from .sources.samples_io import read_batches
+    path = scratch_path(spark, "stream-jsonl")
+    _stream(spark, sf_dir, path)
+    return read_batches(spark, path).select("instruction", "input", "output")
+
+
+def q_bytes_pages(spark, sf_dir):
+    """every page as bytes, by a hash of its id in UTF-8 without and with mark, UTF-16 of
+    either order, Latin-1 named by a meta element (where it can be), or broken."""
+    from .plans.crawl import page_rows
+    pages = _pages(spark, sf_dir)
+    kind = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 2), 16, 10).cast("int") % 6
+    latin = ~F.rlike("html", F.lit("[^\\x00-\\x7F\\xA0-\\xFF]"))
+    marked = lambda mark, charset: F.concat(F.unhex(F.lit(mark)), F.encode("html", charset))
+    payload = (F.when(kind == 1, marked("EFBBBF", "UTF-8")).when(kind == 2, marked("FFFE", "UTF-16LE"))
+               .when(kind == 3, marked("FEFF", "UTF-16BE"))
+               .when((kind == 4) & latin, F.encode(F.concat(F.lit('<meta charset="latin1">'), "html"), "ISO-8859-1"))
+               .when(kind == 5, F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("FF"))))
+               .otherwise(F.encode("html", "UTF-8")))
+    return page_rows(pages.select("page_id", "url", payload.alias("html"))).select("page_id", "gate_reason", "text")
+
+
+def q_group_split(spark, sf_dir):
+    """O3 by group: all samples of a document on one side."""
+    from .operators.train_prep import group_split
+    return group_split(_harvest_samples(spark, sf_dir), "doc_id").select("sample_id", "doc_id", "split")
 
 
-#: files, and so batches, of the stream query
+#: batches of the stream queries
 STREAM_FILES = 3
 
 
 QUERIES.update({
     "stream_harvest": q_stream_harvest,
+    "stream_decisions": q_stream_decisions,
+    "stream_jsonl": q_stream_jsonl,
+    "bytes_pages": q_bytes_pages,
+    "group_split": q_group_split,
     "crawl_closure": q_crawl_closure,
     "sample_budget": q_sample_budget,
     "page_gate_report": q_page_gate_report,
@@ -320,6 +371,10 @@ ORACLES = {
     "prompt_table": oracles.prompt_table(),
     "sample_budget": oracles.sample_budget(BUDGET),
     "stream_harvest": oracles.stream_harvest(),
+    "stream_decisions": oracles.stream_decisions(),
+    "stream_jsonl": oracles.stream_jsonl(),
+    "bytes_pages": oracles.bytes_pages(),
+    "group_split": oracles.group_split(),
     "card_stats": oracles.card_stats(),
     "page_gate_report": oracles.page_gate_report(),
 }

@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from docforge.session import scratch_path
-from docforge.streaming.incremental import (PAGE_SCHEMA, process_batch, read_samples_sink, read_sink,
+from docforge.streaming.incremental import (PAGE_SCHEMA, decision_report, process_batch, read_samples_sink, read_sink,
                                             start_incremental_harvest)
 from tests.conftest import SF_SMALL
 from tests.test_crawl import long_text, page
@@ -87,3 +87,47 @@ def test_replayed_batch_changes_nothing_and_history_dedups(spark):
     before = outputs(spark, out)
     process_batch(spark.createDataFrame([b], PAGE_SCHEMA), 1, out)
     assert outputs(spark, out) == before and {u for u, _ in before} == {"https://h/a"}
+
+
+def test_every_page_has_a_decision(spark):
+    domains = spark.createDataFrame([("h",)], "domain string")
+    a, b = html("aaaaaa"), html("bbbbbb")
+    out = harvest(spark, [
+        [(1, "https://h/a", a), (2, "https://h/a", b), (3, "https://evil/", a), (4, None, a), (5, "https://h/s", "<p>s</p>"),
+         (6, "https://h/f", None), (None, "https://h/n", b)],
+        [(7, "https://h/a", b), (8, "https://h/c", a), (8, "https://h/c", a), (None, None, None)]], domains)
+    got = {(r.batch_id, r.page_id, r.url): (r.gate_reason, r.n_samples > 0) for r in read_sink(spark, out, "decisions").collect()}
+    assert got == {
+        (0, 1, "https://h/a"): ("kept", True), (0, 2, "https://h/a"): ("repeated", False),
+        (0, 3, "https://evil/"): ("not_allowed", False), (0, 4, None): ("no_url", False),
+        (0, 5, "https://h/s"): ("short", False), (0, 6, "https://h/f"): ("fetch_failed", False),
+        (0, None, "https://h/n"): ("kept", True), (1, 7, "https://h/a"): ("seen", False),
+        (1, 8, "https://h/c"): ("duplicate", False), (1, None, None): ("no_url", False)}
+    report = {(r.batch_id, r.gate_reason): r.n for r in decision_report(spark, out).collect()}
+    assert report[(0, "kept")] == 2 and report[(1, "seen")] == 1 and sum(report.values()) == len(got)
+    total = read_sink(spark, out, "decisions").agg(F.sum("n_samples")).first()[0]
+    assert total == read_samples_sink(spark, out).count()
+
+
+def test_json_lines_come_exactly_once(spark, monkeypatch):
+    from docforge.sources import samples_io
+    out, jsonl = scratch_path(spark, "stream-test"), scratch_path(spark, "lines")
+    batch = spark.createDataFrame([(1, "https://h/a", html("aaaaaa"))], PAGE_SCHEMA)
+    assert samples_io.read_batches(spark, jsonl).count() == 0
+
+    def killed(*a):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:     # after its files, before its manifest
+        m.setattr(samples_io, "_write_text", killed)
+        try:
+            process_batch(batch, 0, out, jsonl=jsonl)
+        except RuntimeError:
+            pass
+    assert samples_io.read_batches(spark, jsonl).count() == 0
+    process_batch(batch, 0, out, jsonl=jsonl)
+    process_batch(batch, 0, out, jsonl=jsonl)
+    want = sorted(map(str, read_samples_sink(spark, out).select("instruction", "input", "output").collect()))
+    lines = samples_io.read_batches(spark, jsonl)
+    assert want and sorted(map(str, lines.select("instruction", "input", "output").collect())) == want
+    assert not [r for r in lines.collect() if r._corrupt]

@@ -174,3 +174,16 @@ def test_state_round_trip_and_corrupt(spark, tmp_path):
     for crc in (tmp_path / "state" / "step=0").glob("._COMMITTED*.crc"):
         crc.unlink()
     assert CrawlState(spark, d).steps == 0
+
+
+def test_split_boundary_counts_repeated_keys(spark, monkeypatch):
+    """A key that most rows share is one row with a count: nothing comes to the driver for it."""
+    keys = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('k', id) END AS key")
+    import hashlib
+    want = sorted((hashlib.md5(f"42#{r.key}".encode()).hexdigest(), r.key) for r in keys.collect())
+    sent = []
+    collect = type(keys).collect
+    monkeypatch.setattr(type(keys), "collect", lambda self: sent.append(rows := collect(self)) or rows)
+    for k in (1, 500, 1500, 2999, 3000):
+        assert split_boundary(keys, k, few=7) == want[k - 1]
+    assert max(map(len, sent)) <= 4096 and sum(map(len, sent)) < 6000
