@@ -64,9 +64,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+#: scratch folders that go when the driver's JVM ends
+_SWEPT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
+    """A fresh folder under the shared checkpoint folder for written tables.  All of an
+    application's lie in one folder, which its file system deletes when the driver ends."""
+    sc = spark.sparkContext
+    base = os.path.join(ensure_checkpoint_dir(spark), f"scratch-{sc.applicationId}")
+    if base not in _SWEPT:
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(base)
+        fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(hpath)
+        fs.deleteOnExit(hpath)
+        _SWEPT.add(base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
