@@ -71,3 +71,18 @@ def bounded_sample(rows: DataFrame, key: list[str], bound: int, about: int) -> D
     if about > 4 * bound:
         rows = rows.where(at < 4 * bound / about)
     return rows.orderBy(at, *key).limit(bound)
+
+
+def labelled_rows(docs: DataFrame, sample: DataFrame, bound: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, label, text, name) of the documents in a bounded label sample, written: one row for
+    each id and text, and of those at most ``bound``, with the smallest hashes.  So rows that
+    repeat, or any number of texts under one labelled id, don't add to what a model is fitted
+    on.  ``name`` is unique, to put rows in the same order in every run."""
+    rows = written(
+        docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), row_key(text_col).alias("_key"))
+        .join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "_key"]), "labelled-rows")
+    n = rows.count()
+    if n > bound:
+        key = ["doc_id", "_key"]
+        rows = rows.join(F.broadcast(bounded_sample(rows.select(*key), key, bound, n)), key, "left_semi")
+    return rows.select("doc_id", "label", "text", F.concat_ws(":", F.col("doc_id").cast("string"), "_key").alias("name"))

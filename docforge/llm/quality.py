@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, label_sample, text_or_empty
+from .common import fold, label_sample, labelled_rows
 
 FOLDS, HELD_OUT = 3, 1
 #: labelled rows fitted on at most
@@ -152,19 +152,19 @@ def _matrix(texts: list) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS,
         held_out: int = HELD_OUT, bound: int = SAMPLE, id_col: str = "doc_id",
         text_col: str = "text") -> Discriminant:
-    """Train on the bounded label sample, broadcast to the documents."""
+    """Train on the documents of the bounded label sample, at most ``bound`` distinct ids and
+    texts; rows that repeat count once."""
     sample = label_sample(labels, label, folds, held_out, bound)
-    rows = (docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-            .join(F.broadcast(sample), "doc_id").select("label", "text"))
+    rows = labelled_rows(docs, sample, bound, id_col, text_col).select("label", "text", "name")
     width = len(FEATURES)
 
     def stats(batches):
         for pdf in batches:
             x = _matrix(pdf["text"].tolist())
-            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "x": list(x)})
+            yield pd.DataFrame({"label": pdf["label"].to_numpy(), "x": list(x), "name": pdf["name"].to_numpy()})
 
     # at most `bound` rows of a few numbers reach the driver
-    got = rows.mapInPandas(stats, "label int, x array<double>").toPandas()
+    got = rows.mapInPandas(stats, "label int, x array<double>, name string").toPandas().sort_values("name")
     if not len(got):
         return Discriminant({})
     x, y = np.vstack(got["x"]).reshape(-1, width), got["label"].to_numpy()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, label_sample, text_or_empty, written
+from .common import fold, label_sample, labelled_rows, written
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: labelled rows fitted on, lexicon entries kept, parts for cross-fitting
@@ -259,13 +259,13 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS,
         held_out: int = HELD_OUT, bound: int = SAMPLE, id_col: str = "doc_id",
         text_col: str = "text") -> ToxicityModel:
-    """Train on the bounded label sample, broadcast to the documents."""
+    """Train on the documents of the bounded label sample, at most ``bound`` distinct ids and
+    texts; rows that repeat count once."""
     sample = label_sample(labels, label, folds, held_out, bound)
     rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-        .join(F.broadcast(sample), "doc_id")
+        labelled_rows(docs, sample, bound, id_col, text_col)
         .select("label", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(PARTS)).cast("int").alias("part"),
-                "text"), "toxicity-sample")
+                "text", "name"), "toxicity-sample")
 
     def count(batches):
         """Per task one row for each mark and part: documents with it, by class."""
@@ -310,10 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = F
     def describe(batches):
         for pdf in batches:
             x = [features(t, plain_words(t), without[p]) for t, p in zip(pdf["text"], pdf["part"])]
-            yield pd.DataFrame({"label": pdf["label"], "part": pdf["part"], "x": x})
+            yield pd.DataFrame({"label": pdf["label"], "part": pdf["part"], "x": x, "name": pdf["name"]})
 
     # at most `bound` rows of a few numbers reach the driver
-    got = rows.mapInPandas(describe, "label int, part int, x array<double>").toPandas()
+    got = rows.mapInPandas(describe, "label int, part int, x array<double>, name string").toPandas().sort_values("name")
     x, y, part = np.vstack(got["x"]), got["label"].to_numpy(float), got["part"].to_numpy()
     margin = np.zeros(len(y))
     for k in everything:

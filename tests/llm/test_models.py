@@ -73,6 +73,24 @@ def test_label_sample_is_full_if_few_labels_are_usable(spark):
         assert all(r.label == r.doc_id % 2 for r in got) and {r.label for r in got} == {0, 1}
 
 
+def test_rows_that_repeat_a_labelled_id_are_bounded(spark):
+    """Two labelled ids on most rows: neither copies nor other texts under them add to the sample."""
+    from docforge.llm.common import labelled_rows
+    docs = spark.range(6000).selectExpr(
+        "id % 2 AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('text ', id) END AS text", "'x' AS label")
+    sample = spark.createDataFrame([(0, 0), (1, 1), (5, 1)], "doc_id long, label int")
+    some = labelled_rows(docs, sample, 10, "doc_id", "text")
+    got = some.collect()
+    assert len(got) == 10 == len({r.name for r in got}) and {r.label for r in got} <= {0, 1}
+    assert sorted(got) == sorted(labelled_rows(docs.repartition(7), sample, 10, "doc_id", "text").collect())
+    every = labelled_rows(docs, sample, 10_000, "doc_id", "text")
+    assert every.count() == 4002 and every.where("text = 'same'").count() == 2
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        labels = spark.createDataFrame([(k, 1 - k % 2, 1 - k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+        scores = module.add_scores(docs.limit(20), module.fit(docs, labels, label, bound=10)).collect()
+        assert all(0 <= r.score <= 1 for r in scores)
+
+
 def test_discriminant_matches_densities():
     rng = np.random.default_rng(0)
     x = [rng.normal(size=(400, 14)) @ rng.normal(size=(14, 14)) * 0.3 + m for m in (0, 0.4)]
