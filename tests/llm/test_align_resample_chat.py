@@ -7,6 +7,7 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -38,21 +39,30 @@ def test_align_cuts_at_every_common_end(a, b):
     ends_a = [sum(a[:k + 1]) for k in range(len(a))]
     ends_b = [sum(b[:k + 1]) for k in range(len(b))]
     common = sorted(set(ends_a) & set(ends_b))
-    assert token_alignment.align(ends_a, ends_b) == ([ends_a.index(e) + 1 for e in common],
-                                                     [ends_b.index(e) + 1 for e in common])
+    cuts_a, cuts_b = token_alignment.align(np.array(ends_a), np.array(ends_b))
+    assert cuts_a.tolist() == [ends_a.index(e) + 1 for e in common]
+    assert cuts_b.tolist() == [ends_b.index(e) + 1 for e in common]
 
 
-def test_align_compares_a_long_run_in_few_steps():
-    class Counting(list):
+@given(st.integers(1, 300), st.integers(0, 300))
+def test_run_length_probes_a_run_in_few_steps(run, rest):
+    class Asked(bytes):
         slices = 0
 
         def __getitem__(self, at):
-            Counting.slices += isinstance(at, slice)
-            return list.__getitem__(self, at)
+            Asked.slices += 1
+            return bytes.__getitem__(self, at)
 
-    ends = Counting(range(1, 100_001))
-    assert token_alignment.align(ends, list(ends)) == ([*range(1, 100_001)],) * 2
-    assert Counting.slices < 50
+    a, b = Asked(b"abc" + b"x" * (run + rest)), b"x" * run + b"y" * rest
+    assert token_alignment.run_length(a, b, 3, 0, width=1) == run
+    assert Asked.slices <= 2 * run.bit_length() + 2
+
+
+def test_ranks_equal_the_library(some_docs):
+    model = token_alignment.ByteLevel(PATH_A)
+    assert model._ranks is not None
+    for text in [r.text for r in some_docs.collect()] + ["don't DON'T  x", "a\t\n b  c¼²ª ½", "“q” – x…", "ŉ ǅ ʼ"]:
+        assert model.encode([text]) == [model.library(text)]
 
 
 def plain_alignment(rows):
@@ -66,7 +76,7 @@ def plain_alignment(rows):
     docs, counts = [], Counter()
     for doc, text in rows:
         a = tk.encode(" " + (text or ""), add_special_tokens=False)
-        b = sp.encode(text or "")
+        a_ids, b = a.ids, sp.encode(text or "")
         bytes_a = [bytes(chars[c] for c in t) for t in a.tokens]
         bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
                    for p in map(sp.id_to_piece, b)]
@@ -84,11 +94,11 @@ def plain_alignment(rows):
         common = sorted(ends[0].keys() & ends[1].keys())
         groups, i, j = [], 0, 0
         for e in common:
-            groups.append((a.ids[i:ends[0][e]], b[j:ends[1][e]]))
+            groups.append((a_ids[i:ends[0][e]], b[j:ends[1][e]]))
             i, j = ends[0][e], ends[1][e]
         links = [(x[-1], y[-1]) for x, y in groups]
         counts.update(links)
-        docs.append((doc, a.ids, b, groups))
+        docs.append((doc, a_ids, b, groups))
     most = defaultdict(int)
     for (_, y), n in counts.items():
         most[y] = max(most[y], n)
@@ -132,7 +142,7 @@ def test_parts_are_the_whole(some_docs):
 
 def test_alignment_keeps_tokens_and_groups(some_docs):
     documents, pairs = token_alignment.align_documents(some_docs, PATH_A, PATH_B)
-    rows = documents.collect()
+    rows = token_alignment.token_arrays(documents).collect()
     tk = Tokenizer.from_file(PATH_A)
     texts = {r.doc_id: r.text for r in some_docs.collect()}
     for r in rows:
