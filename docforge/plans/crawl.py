@@ -151,13 +151,13 @@ def _step(state: CrawlState, frontier: DataFrame, depth: int, store: PageStore,
           allowed: DataFrame, p: HarvestParams, take: int | None) -> None:
     level = frontier.where(F.col("depth") == depth).groupBy("url", "depth").agg(
         F.min("crawl_key").alias("crawl_key"))
-    level = materialise(domain_allowed(level, "url", allowed), "level")
+    level = domain_allowed(level, "url", allowed)
     level = materialise(not_visited(level, "url", state.visited.may_match(level.select("url"), state.steps)), "frontier-level")
     now = level
     if take is not None:
         now = materialise(_prefix(level, level.count(), take), "frontier-prefix")
         store.reduce_some(now)
-    facts = materialise(store.fetch(now.select("url"), ["page_id", "gate_reason", "_nchunks", "_dig", "_bkeys"]), "facts")
+    facts = store.fetch(now.select("url"), ["page_id", "gate_reason", "_nchunks", "_dig", "_bkeys"])
     # URLs with no page row (or empty HTML) are fetch_failed
     rows = cut_lineage(now.join(facts, "url", "left").withColumns({
         "gate_reason": F.coalesce("gate_reason", F.lit("fetch_failed")),
@@ -177,26 +177,28 @@ def _step(state: CrawlState, frontier: DataFrame, depth: int, store: PageStore,
     before = before.select("url", (F.lit(state.collected) + F.col("_cum") - F.col("n_samples")).alias("_before"))
     decided = cut_lineage(decided.join(before, "url").withColumn("_ok", F.col("_before") < F.lit(p.max_samples)))
     done = state.write("log", decided.where("_ok"))
-    totals = done.agg(F.sum("n_samples"), F.count(F.lit(1))).first()
+    totals = done.agg(F.sum("n_samples"), F.count(F.lit(1)), F.count_if(F.col("gate_reason") == "kept")).first()
     collected = state.collected + (totals[0] or 0)
-    good = materialise(done.where("gate_reason = 'kept'").select("url", "crawl_key"), "kept-urls")
-    chunks = chunk(store.fetch(good.select("url"), ["text"]), "text", p, keep=["url"])
+    good = store.fetch(done.where("gate_reason = 'kept'").select("url", "crawl_key"), ["text", "hrefs"])
+    chunks = chunk(good.select("url", "text"), "text", p, keep=["url"])
     state.write("samples", chunks.select(
         "url", "chunk_no",
         instruction(F.col("url"), F.col("chunk_no"), netloc(F.col("url")), p.templates, p.seed)
         .alias("instruction"),
         source_tag(F.col("url")).alias("input"), F.col("chunk").alias("output")))
-    state.buckets.write(state.steps, buckets.join(done.select(F.col("url").alias("_id")), "_id", "left_semi"))
+    # buckets of kept documents are distinct: of two that share one, the later is a duplicate
+    state.buckets.write(state.steps, buckets.join(done.select(F.col("url").alias("_id")), "_id", "left_semi"),
+                        totals[2] * p.bands)
     # L1 on processed kept pages only
-    raw = store.fetch(good, ["hrefs"]).select(
+    raw = good.select(
         F.col("url").alias("_base"), "crawl_key", F.posexplode("hrefs").alias("link_pos", "_href"))
     links = resolved(with_url_join(raw, "_base", "_href", "link").select("link", "crawl_key", "link_pos"))
     links = domain_allowed(links, "link", allowed)
     # repeated links collapse map-side before the visited set is joined
-    links = materialise(links.groupBy(F.col("link").alias("url")).agg(F.min(F.concat(
-        F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))).alias("crawl_key")), "links")
+    links = links.groupBy(F.col("link").alias("url")).agg(F.min(F.concat(
+        F.col("crawl_key"), F.array(F.col("link_pos").cast("bigint")))).alias("crawl_key"))
     links = not_visited(not_visited(links, "url", state.visited.may_match(links.select("url"), state.steps)), "url", done)
-    state.visited.write(state.steps, done.select("url"))
+    state.visited.write(state.steps, done.select("url"), totals[1])
     waiting = level.join(done.select("url"), "url", "left_anti").select("url", "depth", "crawl_key")
     queue = frontier.where(F.col("depth") > depth).unionByName(waiting).unionByName(
         links.select("url", F.lit(depth + 1).alias("depth"), "crawl_key"))

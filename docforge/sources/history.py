@@ -7,6 +7,7 @@ be quadratic over a run, so:
   filter for each part (bitmaps of 32,768 bits, made by Spark's bitmap aggregate).
 * A question sends the hashes of the batch's keys to the filters, by run and part, and
   reads only parts of which a filter holds one of them.
+* A history of few rows (``OPEN_ALL``) is read as it is.
 * Runs of like size are merged when there are ``FAN`` of them, so their number grows with
   the logarithm of the batches.
 
@@ -35,6 +36,8 @@ from .state import _fs, _read_text, _write_text
 FAN, SMALLEST = 8, 1000
 #: rows in a part; bits a row in the filter, positions a row; bits in a bitmap
 PART_ROWS, BITS, POSITIONS, BITMAP = 1_000_000, 10, 3, 32_768
+#: rows up to which asking the filters costs more than reading everything
+OPEN_ALL = 20_000
 LOW32 = (1 << 32) - 1
 
 
@@ -80,17 +83,21 @@ class KeyHistory:
     def _hash(self) -> Column:
         return F.xxhash64(*self.columns)
 
-    def _write_run(self, rows: DataFrame, first: int, last: int) -> dict | None:
-        rows = materialise(rows.select(*self.columns).distinct(), "history-rows")
-        n = rows.count()
+    def _write_run(self, rows: DataFrame, first: int, last: int, n: int | None = None) -> dict | None:
+        """``n``: number of rows, where the caller knows it and they are distinct."""
+        rows = rows.select(*self.columns)
+        if n is None:
+            rows = materialise(rows.distinct(), "history-rows")
+            n = rows.count()
         if not n:
             return None
         name, parts = f"run-{first}-{last}-{uuid.uuid4().hex[:8]}", _power_of_two(-(-n // PART_ROWS))
         at = os.path.join(self.path, name)
         part = F.pmod(F.col("_h"), F.lit(parts)).cast("int").alias("_part")
-        hashed = rows.withColumn("_h", self._hash()).select("*", part)
-        (hashed.repartition("_part").sortWithinPartitions("_part", "_h")
+        (rows.withColumn("_h", self._hash()).select("*", part)
+         .repartition("_part").sortWithinPartitions("_part", "_h")
          .write.partitionBy("_part").parquet(os.path.join(at, "rows")))
+        hashed = self.spark.read.schema("_h long, _part int").parquet(os.path.join(at, "rows"))
         bits = BITMAP * _power_of_two(-(-n * BITS // (parts * BITMAP)))
         low, high = F.col("_h").bitwiseAND(LOW32), F.shiftrightunsigned("_h", 32)
         spots = hashed.select("_part", F.explode(F.array(*[
@@ -100,8 +107,9 @@ class KeyHistory:
          .write.parquet(os.path.join(at, "filter")))
         return {"name": name, "first": first, "last": last, "rows": n, "parts": parts, "bits": bits}
 
-    def write(self, batch: int, rows: DataFrame) -> None:
-        """Append the keys of a batch; a batch that is run again replaces its own."""
+    def write(self, batch: int, rows: DataFrame, n: int | None = None) -> None:
+        """Append the keys of a batch; a batch that is run again replaces its own.  ``n``: their
+        number, if it is known and they are distinct."""
         generation, found = self._generation()
         mixed = [r for r in found["runs"] if r["first"] < batch <= r["last"]]
         if mixed:
@@ -109,7 +117,7 @@ class KeyHistory:
         runs = [r for r in found["runs"] if r["last"] < batch]
         gone = [r["name"] for r in found["runs"] if r["last"] >= batch]
         generation, retired = self._merge(generation, runs, found["retired"])
-        new = self._write_run(rows, batch, batch)
+        new = self._write_run(rows, batch, batch, n)
         self._commit(generation + 1, runs + ([new] if new else []), retired + gone)
 
     def _merge(self, generation: int, runs: list[dict], retired: list[str]) -> tuple[int, list[str]]:
@@ -147,10 +155,12 @@ class KeyHistory:
         return self._read([self._parts_of(r["name"]) for r in self.runs() if r["last"] < before])
 
     def may_match(self, keys: DataFrame, before: int) -> DataFrame:
-        """Keys of batches before ``before``, at least all that equal one of ``keys`` (a
-        written table): the rows of the parts whose filter holds one of them."""
+        """Keys of batches before ``before``, at least all that equal one of ``keys``: the
+        rows of the parts whose filter holds one of them."""
         runs = [r for r in self.runs() if r["last"] < before]
         self.opened = []
+        if sum(r["rows"] for r in runs) <= OPEN_ALL:
+            return self._read([self._parts_of(r["name"]) for r in runs])
         if runs:
             self.opened = [(runs[r.run]["name"], r["_part"]) for r in self._hits(keys, runs).collect()]
         return self._read([os.path.join(self.path, name, "rows", f"_part={part}") for name, part in self.opened])

@@ -152,11 +152,10 @@ class PageStore:
         return self.spark.read.schema(schema).parquet(*files).select("url", *columns).join(F.broadcast(urls), "url")
 
     def _hit(self, urls: DataFrame) -> list[int] | None:
-        """Buckets of a few URLs, at most half of all; None for more."""
-        at = F.pmod(F.hash("url"), F.lit(self.buckets)).alias("k")
-        if urls.count() > self.buckets // 2:
-            return None
-        return sorted(r.k for r in urls.where("url IS NOT NULL").select(at).distinct().collect())
+        """Buckets of a few URLs, at most half as many as buckets; None for more."""
+        at = F.pmod(F.hash("url"), F.lit(self.buckets))
+        row = urls.where("url IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.collect_set(at).alias("k")).first()
+        return sorted(row.k) if row.n <= self.buckets // 2 else None
 
     def fetch(self, urls: DataFrame, columns: list[str]) -> DataFrame:
         """``urls`` (a written table with distinct url) that have a reduced page, with ``columns`` of it."""

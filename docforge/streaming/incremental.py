@@ -87,7 +87,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, p: HarvestParam
     else:
         urls = urls.withColumn("_allowed", F.lit(True))
     urls = materialise(urls, "batch-urls")
-    old = materialise(seen.may_match(urls.select("url"), batch_id).distinct(), "batch-seen")
+    old = seen.may_match(urls.select("url"), batch_id).distinct()
     urls = materialise(urls.join(old.withColumn("_seen", F.lit(True)), "url", "left"), "batch-urls")
     first = materialise(urls.where("_allowed AND _seen IS NULL").select("url", F.col("_first").alias("page_id")),
                         "first-pages")
@@ -95,8 +95,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, p: HarvestParam
     rows = materialise(page_rows(spread(rows), p), "batch-pages")
     passed = rows.where("gate_reason = 'pass'")
     sigs = passed.select(F.col("url").alias("_id"), F.col("page_id").alias("_ord"), "_dig", "_bkeys")
-    own_keys = materialise(explode_bands(sigs).select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey"))
-                           .distinct(), "batch-keys")
+    own_keys = explode_bands(sigs).select(F.col("_band").alias("band"), F.col("_bkey").alias("bkey"))
     verdict, buckets = greedy_dedup_sigs(sigs, prior_buckets=kept_buckets.may_match(own_keys, batch_id), with_buckets=True)
     keep = materialise(verdict.where("keep").select(F.col("_id").alias("url")), "batch-kept")
     kept = passed.join(keep, "url", "left_semi")
@@ -113,7 +112,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, p: HarvestParam
     links = resolved(with_url_join(raw, "_base", "_href", "link").select("_base", "link_pos", "link"))
     if allowed is not None:
         links = domain_allowed(links, "link", allowed)
-    asked = materialise(links.select(F.col("link").alias("url")).distinct(), "batch-links")
+    asked = links.select(F.col("link").alias("url"))
     links = not_visited(not_visited(links, "link", seen.may_match(asked, batch_id)), "link", first)
     write(links.withColumnRenamed("_base", "page_url"), "discovered_links")
     # A3: every page of the batch, by joins of narrow written rows

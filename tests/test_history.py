@@ -7,6 +7,11 @@ from docforge.sources import history
 from docforge.sources.history import KeyHistory
 
 
+@pytest.fixture(autouse=True)
+def ask_the_filters(monkeypatch):
+    monkeypatch.setattr(history, "OPEN_ALL", 0)
+
+
 def urls(spark, names):
     return materialise(spark.createDataFrame([(n,) for n in names], "url string"), "test-urls")
 
@@ -27,6 +32,9 @@ def test_a_batch_opens_only_runs_that_hold_its_keys(spark, monkeypatch):
     assert names == [str(k) for k in range(12)]
     opened = {name.split("-")[1] for name, _ in h.opened}
     assert {"3", "9"} <= opened and len(opened) <= 4      # a filter may err towards opening
+    monkeypatch.setattr(history, "OPEN_ALL", 10**6)     # a small history is read as it is
+    assert found(h, keys, 12) == {"https://h/3/7", "https://h/9/0"} and h.opened == []
+    monkeypatch.setattr(history, "OPEN_ALL", 0)
     # batches from the asking one on are not looked at
     assert found(h, keys, 9) == {"https://h/3/7"}
     assert h.may_match(urls(spark, ["https://new/2"]), 12).count() <= 40
