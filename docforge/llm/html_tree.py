@@ -6,17 +6,25 @@ Block elements are the inner nodes; a run of inline content between block
 borders is a leaf.  Inline elements make no nodes unless their class or id says
 what they are (an advert in a span).  Fallback and foreign content (``EMBED``) is
 read like other inline content; a run knows what share of it is of that kind.
+
+Time is linear in the page, however broken: open elements are found by lists of
+their positions, and a search that has found nothing isn't made again.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
+#: a tag whose quotes leave no > to end it
+LOOSE = re.compile(r"()()()<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)")
+QUOTE = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Fixed values of HTML.
@@ -41,6 +49,12 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"table", "ul", "ol", "dl", "menu", "html"}
 #: block elements that don't end an open paragraph
 IN_P = {"button"}
+#: sets of elements that end tags don't reach over
+SCOPES = {"none": set(), "block": BLOCK, "embed": BLOCK - {"p"}, "cell": SCOPE | {"td", "th"},
+          "paragraph": SCOPE | {"td", "th", "button"}, "item": SCOPE - {"html"},
+          "foreign": BLOCK | INTEGRATION}
+_SCOPES_OF = {tag: [name for name, tags in SCOPES.items() if tag in tags]
+              for tag in BLOCK | SCOPE | INTEGRATION}
 
 # What class, id or role say: kind -> words that names are made of.
 HINTS = {
@@ -85,6 +99,23 @@ def hints(attributes: str) -> tuple[set, dict]:
     return kinds, found
 
 
+def _unended(page: str, start: int) -> tuple[list, list]:
+    """Positions of > and quotes from ``start``, and for each whether a tag that is
+    read on from there, outside of quotes, never ends.  One pass from the end:
+    a quote exchanges what follows outside and inside of quotes of its kind."""
+    at = [m.start() for m in QUOTE.finditer(page, start)]
+    never = [True] * (len(at) + 1)
+    state = {"out": True, '"': True, "'": True}
+    for k in range(len(at) - 1, -1, -1):
+        c = page[at[k]]
+        if c == ">":
+            state["out"] = False
+        else:
+            state["out"], state[c] = state[c], state["out"]
+        never[k] = state["out"]
+    return at, never
+
+
 class Node:
     """A block element (text is None) or a run of text (tag of its element)."""
     __slots__ = ("tag", "kinds", "attributes", "parent", "text", "words", "linked", "embedded")
@@ -101,6 +132,10 @@ def parse(page: str | None) -> list[Node]:
     page = page or ""
     nodes = [Node("root", set(), {}, -1)]
     stack = [("root", 0)]               # open elements: (tag, node or None for inline)
+    opened = defaultdict(list)          # positions of them by tag, and by scope
+    barriers = {name: [] for name in SCOPES}
+    unended = None                      # known after the first tag that quotes leave open
+    xmp_ends = True                     # there may be another end tag of xmp
     at_node = 0
     links = 0                           # open links
     embeds = [0]                        # open elements of EMBED inside each open node
@@ -126,6 +161,9 @@ def parse(page: str | None) -> list[Node]:
         if any(node is not None for _, node in stack[k:]):
             flush()
         for tag, node in reversed(stack[k:]):
+            opened[tag].pop()
+            for name in _SCOPES_OF.get(tag, ()):
+                barriers[name].pop()
             if tag == "a":
                 links -= 1
             foreign -= tag in FOREIGN
@@ -136,15 +174,19 @@ def parse(page: str | None) -> list[Node]:
                 embeds[-1] -= tag in EMBED
         del stack[k:]
 
+    def push(tag, node):
+        opened[tag].append(len(stack))
+        for name in _SCOPES_OF.get(tag, ()):
+            barriers[name].append(len(stack))
+        stack.append((tag, node))
+
     def close(tags, scope):
         """End the innermost open element of ``tags`` within the scope."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                pop_to(k)
-                return True
-            if stack[k][0] in scope:
-                return False
-        return False
+        k = max([opened[t][-1] for t in tags if opened[t]], default=0)
+        if not k or barriers[scope] and barriers[scope][-1] > k:
+            return False
+        pop_to(k)
+        return True
 
     pos, size = 0, len(page)
     while pos < size:
@@ -152,7 +194,8 @@ def parse(page: str | None) -> list[Node]:
         if start < 0:
             add(page[pos:])
             break
-        m = TOKEN.match(page, start)
+        loose = unended and unended[1][bisect_left(unended[0], start)]
+        m = loose and LOOSE.match(page, start) or TOKEN.match(page, start)
         if not m:
             add(page[pos:start + 1])
             pos = start + 1
@@ -160,6 +203,8 @@ def parse(page: str | None) -> list[Node]:
         if start > pos:
             add(page[pos:start])
         pos = m.end()
+        if m[5] and unended is None:
+            unended = _unended(page, start)
         tag = m[2] or m[5]
         if not tag:
             if page.startswith("<![CDATA[", start):
@@ -170,7 +215,7 @@ def parse(page: str | None) -> list[Node]:
             if tag == "br":
                 add(" ")
             elif tag not in ("html", "body"):
-                close({tag}, () if tag in BLOCK else BLOCK - {"p"} if tag in EMBED else BLOCK)
+                close({tag}, "none" if tag in BLOCK else "embed" if tag in EMBED else "block")
                 if tag in APART:
                     add(" ")
             continue
@@ -184,7 +229,7 @@ def parse(page: str | None) -> list[Node]:
             continue
         if tag in VOID:
             if tag == "hr":
-                close({"p"}, SCOPE | {"td", "th"})
+                close({"p"}, "cell")
                 flush()
             elif tag in ("br", "img", "wbr", "input"):
                 add("" if tag == "wbr" else " ")
@@ -197,31 +242,33 @@ def parse(page: str | None) -> list[Node]:
         literal = None
         if tag == "xmp":                # like pre, without markup up to its end tag, if any
             tag = "pre"
-            if end := XMP_END.search(page, pos):
+            if xmp_ends and (end := XMP_END.search(page, pos)):
                 literal, pos = page[pos:end.start()], end.end()
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            else:
+                xmp_ends = False
+        if tag in ("html", "body") and opened[tag]:
             continue
-        while foreign and tag in BLOCK and close(FOREIGN, BLOCK | INTEGRATION):
+        while foreign and tag in BLOCK and close(FOREIGN, "foreign"):
             pass
         if tag in BLOCK and tag not in IN_P:
-            close({"p"}, SCOPE | {"td", "th", "button"})
+            close({"p"}, "paragraph")
         if tag in ENDS:
             for _ in range(2):
-                if not close(ENDS[tag], SCOPE - {"html"}):
+                if not close(ENDS[tag], "item"):
                     break
         drawn = foreign or tag in FOREIGN       # an icon doesn't break up a paragraph
         if tag in BLOCK or not drawn and ("-" in tag or kinds - {"main", "share"}):
             flush()
             nodes.append(Node(tag, kinds, found, at_node))
             at_node = len(nodes) - 1
-            stack.append((tag, at_node))
+            push(tag, at_node)
             embeds.append(0)
             if literal is not None:
                 add(html.escape(literal))
                 pop_to(len(stack) - 1)
         else:
             links += tag == "a"
-            stack.append((tag, None))
+            push(tag, None)
         foreign += tag in FOREIGN
         if stack[-1][1] is None:
             embeds[-1] += tag in EMBED

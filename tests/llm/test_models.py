@@ -4,6 +4,7 @@ import itertools
 import math
 import re
 import zlib
+import time
 
 import numpy as np
 import pytest
@@ -251,3 +252,24 @@ def test_extract_odd_rows(spark):
     assert len(got) == 5 and got[0].text == got[1].text and got[2].text == got[3].text == ""
     assert got[4].text.count("word and words.") == 30_000
     assert html_extract.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<xmp>x", "<b '>\"<b \"'", "<a href=\"", "<div>x", "<p><i>x",
+                                  "<svg><b></svg>", "</b><b>", "<body>", "a"])
+def test_parser_is_linear(unit):
+    """Four times the page takes some four times as long (quadratic: sixteen)."""
+    def seconds(size):
+        page = "<" * (unit == "a") + unit * (size // len(unit) // 2) + "</i>" * (size // 8)
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            html_tree.parse(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+    assert seconds(2_000_000) < 9 * max(seconds(500_000), 0.05)
+
+
+def test_quotes_without_end():
+    """A tag that quotes leave open ends at its first >, wherever it stands."""
+    texts = [x.text for x in html_tree.parse("<p>a<b \"q>c</b><i 'x'>d</i><u 'z>e") if x.text]
+    assert texts == ["acde"]
