@@ -145,7 +145,7 @@ class _Page:
                 f"{few(self.notice, 0.2)}{self.top()}{middle}{self.bottom()}{tail}")
 
 
-def labelled_pages(n: int = 120, seed: int = 1) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 1) -> list[str]:
     rng = random.Random(seed)
     return [_Page(rng).page() for _ in range(n)]
 
@@ -173,6 +173,62 @@ class _EmbeddingPage(_Page):
         return super().bottom() + self.embedded()
 
 
-def embedding_pages(n: int = 30, seed: int = 2) -> list[str]:
+def embedding_pages(n: int = 100, seed: int = 2) -> list[str]:
     rng = random.Random(seed)
     return [_EmbeddingPage(rng).page() for _ in range(n)]
+
+
+class _LayoutPage(_Page):
+    """Pages whose main text has no telling tag or name: nested unnamed elements,
+    lines apart by breaks, table layouts, paragraphs right in the body; many are
+    short and have little else on them."""
+
+    def line(self) -> str:
+        return self.sentences(1, self.rng.choice([1, 1, 2, 5]))
+
+    def lines(self, tag: str) -> str:
+        n = self.rng.choice([1, 2, 2, 3, 5, 8])
+        return "".join(f"<{tag}>{self.line()}</{tag}>" for _ in range(n))
+
+    def nested(self) -> str:
+        inner = self.lines("div")
+        if self.rng.random() < 0.3:
+            inner = f"<div>{inner}</div><div>{self.lines('p')}</div>"
+        return inner
+
+    def title(self) -> str:
+        return self.some("", f"<h1>{self.words(1, 8)}</h1>", f"<h2>{self.words(1, 8)}</h2>",
+                         f"<div><h1>{self.words(2, 6)}</h1></div>")
+
+    def sections(self) -> str:
+        return "".join(f"<section><h2>{self.words(1, 5)}</h2>{self.lines('p')}</section>"
+                       for _ in range(self.rng.randint(1, 3)))
+
+    def breaks(self) -> str:
+        return "<br><br>".join(self.line() for _ in range(self.rng.randint(1, 5)))
+
+    def article(self) -> str:
+        body = self.title() + self.some(self.nested(), self.nested(), self.breaks(), self.sections(),
+                                        self.lines("p"), self.lines("section"))
+        name = self.some("story", "content", "post", "text", "article-body", "main")
+        bare = "".join(f'<p data-y="1">{self.line()}</p>' for _ in range(self.rng.randint(1, 5)))
+        return self.some(f'<div class="{name}" data-y="1">{body}</div>', f'<div data-y="1">{body}</div>',
+                         f'<div><div data-y="1">{body}</div></div>', f'<center data-y="1">{body}</center>',
+                         f'<section data-y="1">{body}</section>', f'<div id="{name}" data-y="1">{body}</div>',
+                         f'<article data-y="1">{body}</article>', f'<main data-y="1">{body}</main>',
+                         f"<table><tr><td>{self.menu()}</td><td data-y=\"1\">{body}</td></tr></table>",
+                         f'<h1 data-y="1">{self.words(1, 8)}</h1>{bare}')
+
+    def page(self) -> str:
+        few = lambda make, p: make() if self.rng.random() < p else ""
+        middle = (few(self.advert, 0.2) + self.article() + few(self.form, 0.1) + few(self.side, 0.2)
+                  + few(self.readers, 0.2))
+        if self.rng.random() < 0.3:
+            middle = f'<div{self.some("", " class=wrapper", " id=container")}>{middle}</div>'
+        return (f"<html><head><title>{self.words(2, 8)}</title></head><body>{few(self.notice, 0.1)}"
+                f"{few(self.top, 0.7)}{middle}{few(self.bottom, 0.5)}")
+
+
+def layout_pages(n: int = 300, seed: int = 3) -> list[str]:
+    rng = random.Random(seed)
+    return [_LayoutPage(rng).page() for _ in range(n)]

@@ -3,15 +3,15 @@ import html
 import itertools
 import math
 import re
-import zlib
 import time
+import zlib
 
 import numpy as np
 import pytest
 
 from docforge.llm import html_extract, html_tree, quality, toxicity
 from docforge.llm.common import label_sample
-from docforge.llm.html_pages import labelled_pages
+from docforge.llm.html_pages import embedding_pages, labelled_pages, layout_pages
 from docforge.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.1"
@@ -171,16 +171,43 @@ def test_sum_product_matches_enumeration():
         assert np.allclose(marginal, want) and np.allclose(joint[1:], want_joint)
 
 
-def test_held_out_labelled_pages():
-    model, right, total = html_extract.default_model(), 0, 0
-    for page in labelled_pages(100, seed=99):
+def test_forest_matches_sum_product():
+    """Training's messages, all trees at once, equal those of each tree by itself."""
+    trees = [html_tree.parse(page) for page in layout_pages(5, seed=7) + ["", "<p>x"]]
+    forest = html_extract.Forest(trees)
+    w = np.random.default_rng(3).normal(size=html_extract.WIDTH)
+    p1, p2, joint = forest.marginals(w)
+    at = 0
+    for nodes in trees:
+        marginal, pair = html_extract.TreeModel(w).marginals(nodes)
+        n = len(nodes)
+        assert np.allclose(np.stack([p1, p2], 1)[at:at + n], marginal)
+        assert np.allclose(joint[at + 1:at + n], np.array(pair[1:]).reshape(-1, 3))
+        at += n
+
+
+@pytest.mark.parametrize("make", [labelled_pages, embedding_pages, layout_pages])
+def test_held_out_pages(make):
+    """Under 5 % of pages of other seeds have a run that is labelled wrongly."""
+    model, wrong = html_extract.default_model(), 0
+    for page in make(200, seed=99):
         nodes = html_tree.parse(page)
         marginal, _ = model.marginals(nodes)
-        for node, state, p in zip(nodes, html_extract._states(nodes), marginal):
-            if node.text is not None:
-                total += 1
-                right += (state == 2) == (p[1] >= 0.5)
-    assert right / total > 0.97
+        wrong += any((state == 2) != (p[1] >= 0.5) for node, state, p in
+                     zip(nodes, html_extract._states(nodes), marginal) if node.text is not None)
+    assert wrong < 0.05 * 200
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<nav><a href=/>Home</a></nav><div class="story"><div>One sentence.</div><div>Another.</div></div>',
+     ["One sentence.", "Another."]),
+    ("<ul><li><a href=/>Home</a><li><a href=/x>News</a></ul><div><div>One sentence of it.</div>"
+     "<div>Another one here.</div></div><div id=footer>&copy; Us.</div>",
+     ["One sentence of it.", "Another one here."]),
+    ("<table><tr><td><ul><li><a href=/>Home</a></ul><td><h1>The title</h1>Text of it.<div>More of it.</div></table>",
+     ["The title", "Text of it.", "More of it."])])
+def test_layouts_without_names(page, want):
+    assert html_extract.default_model().blocks(page) == want
 
 
 def test_articles_of_the_pages_table(spark):
