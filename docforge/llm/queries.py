@@ -24,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op4_warc_dictionary": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_subspace_join": embedding_dedup.ORACLE,
     "op12_importance_resampling": importance.ORACLE,
     "op13_chat_format": chat_format.ORACLE,
 }

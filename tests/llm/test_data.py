@@ -331,6 +331,62 @@ def test_embedding_links(spark, monkeypatch, tile, cell):
     assert embedding_dedup.embedding_dedup(df.where("false")).count() == 0
 
 
+def candidates(x, rows, cols, reach):
+    out, found = [], embedding_dedup.near_pairs(x, rows, cols, reach)
+    while True:
+        try:
+            p, q = next(found)
+        except StopIteration as end:
+            return out, end.value or 0
+        out += [tuple(sorted(pair)) for pair in zip(p.tolist(), q.tolist())]
+
+
+@pytest.mark.parametrize("leaf", [1, 16, 1 << 14])
+def test_halving_finds_every_near_pair_once(monkeypatch, leaf):
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 3)), np.repeat(rng.normal(size=(2, 3)), 20, 0)])
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    close = lambda a, b: sorted((min(i, j), max(i, j)) for i in a for j in b
+                                if distance[i, j] <= 0.5)
+    every, some = np.arange(190), rng.permutation(190)
+    got, _ = candidates(x, every, None, 0.5)
+    assert sorted(got) == sorted((j, i) for i in range(190) for j in range(i) if distance[i, j] <= 0.5)
+    got, _ = candidates(x, some[:90], some[90:], 0.5)
+    assert sorted(got) == close(some[:90].tolist(), some[90:].tolist())
+
+
+@pytest.mark.parametrize("axes,width", [(0, 1.0), (1, 0.5), (3, 0.5), (3, 0.9)])
+def test_near_points_meet_in_one_cell(axes, width):
+    """Of two points within the radius just one comes to the other's home, or they share it."""
+    x = np.random.default_rng(9).normal(size=(300, 3))
+    home, comes = {}, defaultdict(set)
+    for at, cells, own in embedding_dedup.meetings(x[:, :axes], width, 0.5):
+        for k, c in zip(at.tolist(), map(tuple, cells.tolist())):
+            if own:
+                home[k] = c
+            else:
+                assert k not in comes[c]
+                comes[c].add(k)
+    assert len(home) == 300
+    for i in range(300):
+        for j in range(i):
+            if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= 0.5:
+                assert (home[i] == home[j]) + (i in comes[home[j]]) + (j in comes[home[i]]) == 1
+
+
+def test_block_tests_fall_with_the_number_of_points():
+    """Tests per pair of random unit vectors fall as n grows, in the task alone."""
+    def tests_per_pair(n):
+        x = np.random.default_rng(2).normal(size=(n, 64))
+        x = (x / np.sqrt((x ** 2).sum(1, keepdims=True)))[:, :8].copy()
+        edges = embedding_dedup.block_edges(64, 8)
+        _, tests = candidates(x, np.arange(n), None, embedding_dedup.radius(edges, 0, 0.98))
+        return 8 * tests / (n * (n - 1) / 2)
+    few, many = tests_per_pair(4000), tests_per_pair(16000)
+    assert many < few / 2 and many < 0.5
+
+
 def test_embedding_null_and_repeated_ids(spark):
     v = [1.0, 2.0]
     df = spark.createDataFrame([(None, v, 1), (3, v, 1), (3, v, 1), (None, None, 1)],
