@@ -345,8 +345,8 @@ def op8_subspace_join(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 usable AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0),
+    AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN e IF x <> 0]) > 0),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
     ON a.label = b.label AND a.vec_id <> b.vec_id
     WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
