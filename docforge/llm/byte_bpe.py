@@ -259,7 +259,9 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                     joined, words = word_ids(words), []
                 yield documents(row, *joined, table)
 
-    return (packed.repartition(_partitions(spark), "block").sortWithinPartitions("block", "piece")
+    # blocks grow with the scan's partitions, whatever the number of shuffle partitions
+    tasks = max(_partitions(spark), 4 * docs.rdd.getNumPartitions())
+    return (packed.repartition(tasks, "block").sortWithinPartitions("block", "piece")
             .mapInArrow(assemble, f"{id_col} {id_type.simpleString()}, token_ids array<int>, decoded binary"))
 
 
