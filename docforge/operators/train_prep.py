@@ -82,9 +82,11 @@ def group_split(df: DataFrame, group_col: str, share: float = TEST_SIZE,
                 seed: int = SPLIT_SEED) -> DataFrame:
     """O3 at group level (e.g. page): whole groups go to one side, so chunks
     of one page never straddle train and test.  The exact split runs on the
-    distinct group keys; rows get their group's side by a join on the key
-    (a hot group is handled by AQE skew-join splitting)."""
-    groups = train_test_split(df.select(group_col).distinct(), group_col, share, seed)
+    distinct group keys, which are written so that ``df`` is not computed again for them;
+    rows get their group's side by a join on the key (a hot group is handled by AQE skew-join
+    splitting)."""
+    distinct = materialise(df.select(group_col).distinct(), "split-groups")
+    groups = train_test_split(distinct, group_col, share, seed)
     return df.join(groups.select(group_col, "split"), group_col)
 
 

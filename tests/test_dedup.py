@@ -151,3 +151,31 @@ def test_bands_follow_the_threshold():
         p = HarvestParams(threshold=t)
         assert (p.bands, p.rows) == (b, r) and b * r <= 128
         assert abs((1 / b) ** (1 / r) - t) < 0.12          # where the curve turns
+
+
+def test_signatures_are_computed_once_for_the_buckets(spark):
+    """What is exploded and joined is written: no signature is left in the plan of the members."""
+    from docforge.operators.dedup import bucket_members
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    plan = bucket_members(df, "id", "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_signature_equals_the_rule_slot_by_slot(spark):
+    """Any number of tokens (blocks of 128), blanks beyond ASCII, empty and null texts; tokens
+    are taken in the worker, not by a fold in the plan."""
+    import hashlib
+    from pyspark.sql import functions as F
+    from docforge.functions.minhash import EMPTY_SLOT, MERSENNE, perm_params, signature, token_set_digest
+    texts = ["a", "a\xa0b\x85c a", " \n", "", None, " ".join(f"w{i}" for i in range(128)), " ".join(f"\xe9{i}" for i in range(300))]
+
+    def by_rule(text):
+        h = {int(hashlib.md5(t.encode()).hexdigest()[:8], 16) & MERSENNE for t in (text or "").split()}
+        return [min((a * x + b) % MERSENNE for x in h) if h else EMPTY_SLOT for a, b in perm_params()]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", signature(F.col("t")).alias("s"), token_set_digest(F.col("t")).alias("d"))
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: (r.s, r.d) for r in df.collect()}
+    assert got == {i: (by_rule(t), t if t is None else hashlib.md5(" ".join(sorted(set(t.split()))).encode()).hexdigest())
+                   for i, t in enumerate(texts)}

@@ -1,9 +1,11 @@
 """Quality gates and text scalars (FIXTURES section 3)."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from docforge.functions.text import fk_grade, py_strip, ws_tokens
+from docforge.functions.text import fk_grade, grade_parts, py_strip, ws_tokens
 from docforge.operators.gates import gate_reason
 
 SIMPLE = "See spot run. Run spot run. " * 50
@@ -40,3 +42,32 @@ def test_unicode_whitespace(spark):
     text = "a b c\x1cd\ne "
     assert _one(spark, ws_tokens, text) == text.split()
     assert _one(spark, py_strip, "　\n x y  ") == "　\n x y  ".strip()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grade_is_one_pass_over_the_text(spark):
+    """The text goes once to the count, and no fold over its tokens is left in the plan."""
+    df = spark.createDataFrame([("a b",)], "t string")
+    plan = _plan(df.select(gate_reason(F.col("t")).alias("r")))
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
+def test_grade_parts_equal_a_count_by_words(spark):
+    odd = ["", "  ", "\n", "the", "bee.", "A.B. c!?  d.", "\u0130stanbul E\u0130 e. \u0130e", "x\u2003y.\u3000Z!\x85q?", "...",
+           "!!! ?", "rhythm nth", "caf\xe9 \xe0\xc5 vol\xe0. \u0105\u0160 e", "\u212a e\xc9", "a\x1cb\x1de\x1ff", "\ufeffa b\u200bc\xa0d", "queue Eye E ",
+           "word. " * 300_000, "last one"]     # longer than a block, and texts after it
+
+    def by_words(text):
+        words = text.split()
+        groups = lambda w: len(re.findall("[aeiouy]+", w.lower()))
+        return (len(words), max(1, sum(w[-1] in ".!?" for w in words)),
+                sum(max(1, groups(w) - w.lower().endswith("e")) for w in words))
+
+    df = spark.createDataFrame(list(enumerate([*odd, None])), "i int, t string").coalesce(1)
+    got = {r.i: (r.words, r.sentences, r.syllables) for r in df.select(
+        "i", *[c.alias(k) for k, c in grade_parts(F.col("t")).items()]).collect()}
+    assert got == {i: by_words(t) for i, t in enumerate(odd)} | {len(odd): (None, 1, None)}
+    assert _one(spark, fk_grade, None) is None and _one(spark, fk_grade, " \n") is None

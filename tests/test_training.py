@@ -187,3 +187,12 @@ def test_split_boundary_counts_repeated_keys(spark, monkeypatch):
     for k in (1, 500, 1500, 2999, 3000):
         assert split_boundary(keys, k, few=7) == want[k - 1]
     assert max(map(len, sent)) <= 4096 and sum(map(len, sent)) < 6000
+
+
+def test_group_split_computes_its_rows_once(spark):
+    """The groups' sides come from written keys: the rows' plan is there once."""
+    from docforge.operators.train_prep import group_split
+    df = spark.range(40).selectExpr("id", "id % 7 AS g")
+    out = group_split(df, "g")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert out.count() == 40 and out.where("split = 'test'").select("g").distinct().count() == 1
