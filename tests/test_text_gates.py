@@ -71,3 +71,17 @@ def test_grade_parts_equal_a_count_by_words(spark):
         "i", *[c.alias(k) for k, c in grade_parts(F.col("t")).items()]).collect()}
     assert got == {i: by_words(t) for i, t in enumerate(odd)} | {len(odd): (None, 1, None)}
     assert _one(spark, fk_grade, None) is None and _one(spark, fk_grade, " \n") is None
+
+
+def test_blanks_of_the_plan_are_those_of_python(spark):
+    """One rule for split and strip over the whole basic plane; strip looks at the ends only, so no
+    pattern is tried at each blank of a text, and split asks one predicate, not one per blank."""
+    from docforge.functions.text import JAVA_WS_RUN
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = [(i, f"{c}a{c}{c}b{c}") for i, c in enumerate(chars)] + [(len(chars), "  \t"), (len(chars) + 1, "")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    out = df.select("t", py_strip(F.col("t")).alias("s"), ws_tokens(F.col("t")).alias("w"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "javaWhitespace" in plan and len(JAVA_WS_RUN) < 50
+    for r in out.collect():
+        assert (r.s, r.w) == (r.t.strip(), r.t.split()), ascii(r.t)
