@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.samples import instruction, source_tag
 from ..operators.chunk import chunk
 from ..operators.gates import apply_gates, gate_reason
-from ..functions.minhash import band_keys, signature, token_set_digest
+from ..functions.minhash import dedup_keys
 from ..operators.dedup import greedy_dedup_sigs
 from ..params import HarvestParams
 from ..session import cut_lineage, materialise
@@ -59,10 +59,9 @@ def document_reasons(docs: DataFrame, p: HarvestParams = DOC_PARAMS,
     obs = Observation("gates")
     base = base.observe(obs, *[F.count(F.when(F.col("_reason") == r, 1)).alias(r)
                                for r in ("no_text", "short", "low_grade", "pass")])
+    keys = dedup_keys(text_ok, p.num_perm, p.bands, p.rows)
     narrow = cut_lineage(base.select(
-        "doc_id", "source", "_reason",
-        F.when(ok, token_set_digest(text_ok)).alias("_dig"),
-        F.when(ok, band_keys(signature(text_ok, p.num_perm), p.bands, p.rows)).alias("_bkeys")))
+        "doc_id", "source", "_reason", keys["digest"].alias("_dig"), keys["bkeys"].alias("_bkeys")))
     log.info("gate counts: %s", obs.get)
     sigs = narrow.where(ok).select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_ord"),
                                    "_dig", "_bkeys")

@@ -179,3 +179,21 @@ def test_signature_equals_the_rule_slot_by_slot(spark):
     got = {r.i: (r.s, r.d) for r in df.collect()}
     assert got == {i: (by_rule(t), t if t is None else hashlib.md5(" ".join(sorted(set(t.split()))).encode()).hexdigest())
                    for i, t in enumerate(texts)}
+
+
+def test_dedup_keys_are_digest_and_band_keys_of_one_pass(spark):
+    """Equal to the two columns they stand for; one Python function, which takes the tokens once."""
+    from pyspark.sql import functions as F
+    from docforge.functions.minhash import band_keys, dedup_keys, signature, token_set_digest
+    from docforge.operators.dedup import doc_signatures
+    texts = ["a", "b a\xa0b", " \n", "", None, " ".join(f"w{i}" for i in range(700)), "a", " ".join(f"w{i % 9}" for i in range(50))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.coalesce("t", F.lit(""))
+    for bands, rows in ((8, 16), (3, 50)):          # the last band of the second has 28 slots
+        want = df.select("i", token_set_digest(t).alias("d"), band_keys(signature(t), bands, rows).alias("b")).collect()
+        k = dedup_keys(t, 128, bands, rows)
+        assert sorted(df.select("i", k["digest"].alias("d"), k["bkeys"].alias("b")).collect()) == sorted(want)
+    null = df.select(dedup_keys(F.col("t"), 128, 8, 16).alias("k")).where("t IS NULL").first().k
+    assert null is None or (null.digest, null.bkeys) == (None, None)
+    plan = doc_signatures(df, "i", "i", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("dedup_keys(") == 1 and "minhash_signature(" not in plan and "token_set_md5(" not in plan
