@@ -196,3 +196,13 @@ def test_group_split_computes_its_rows_once(spark):
     out = group_split(df, "g")
     assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
     assert out.count() == 40 and out.where("split = 'test'").select("g").distinct().count() == 1
+
+
+def test_packing_reads_the_texts_once(spark):
+    """The split and the packing of the query read written lengths: no text is cut again for them."""
+    from docforge.queries import QUERIES
+    from tests.conftest import SF_SMALL
+    df = QUERIES["pack_blocks"](spark, SF_SMALL)
+    assert not [f for f in df.inputFiles() if "documents" in f]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and df.count() > 0
